@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .store import materialise
 from .texts import slices
-from .tokens import encoder
+from .tokens import TEXT_BYTES, encoder
 
 CAPACITY = 2048
 #: A pattern is [(length, how many)], in the order in which pieces stand.
@@ -153,7 +153,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            for text in slices(batch.column(1)):
+            for text in slices(batch.column(1), TEXT_BYTES):
                 found, n = tok.encode([t or "" for t in batch.column(1).slice(text.row, len(text)).to_pylist()])
                 ids = np.insert(found, np.cumsum(n), end_id).astype("<u4")
                 n = n + 1

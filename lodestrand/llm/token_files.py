@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .store import materialise, partitions
 from .texts import slices
-from .tokens import encoder
+from .tokens import TEXT_BYTES, encoder
 
 #: Ids in a block at least, but for a part's last one. A document is never divided.
 BLOCK_IDS = 1 << 18
@@ -73,7 +73,7 @@ def _tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_type: str) -> Da
             return out
 
         for batch in batches:
-            for piece in slices(batch.column(1)):
+            for piece in slices(batch.column(1), TEXT_BYTES):
                 rows = batch.column(1).slice(piece.row, len(piece)).to_pylist()
                 found, n = tok.encode([t or "" for t in rows])
                 keys.append(batch.column(0).slice(piece.row, len(piece)))

@@ -15,8 +15,10 @@ from itertools import repeat
 import numpy as np
 
 #: Pieces kept per worker; the cache starts afresh beyond that.
-CACHE_PIECES = 1_000_000
-_JOINED = 256
+CACHE_PIECES = 600_000
+#: Bytes of text that callers hand over at once, and new pieces that go to the tokenizer at once and in one text.
+TEXT_BYTES = 1 << 20
+_AT_ONCE, _JOINED = 8192, 256
 _SAFE_SPLIT = re.compile(r" (?=\S)")
 _UNSAFE, _MISSING = -2, -1
 
@@ -94,7 +96,9 @@ class PieceEncoder:
         out = np.fromiter(map(self.index.get, pieces, repeat(_MISSING)), np.int64, len(pieces))
         missing = np.flatnonzero(out == _MISSING)
         if len(missing):
-            self._add(list({pieces[i]: 0 for i in missing}))
+            new = list({pieces[i]: 0 for i in missing})
+            for k in range(0, len(new), _AT_ONCE):
+                self._add(new[k : k + _AT_ONCE])
             out[missing] = np.fromiter(map(self.index.get, [pieces[i] for i in missing]), np.int64, len(missing))
         return out
 
