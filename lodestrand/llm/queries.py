@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, sharding, token_files, url_rules
+from . import decontamination, licences, packing, quality, sharding, token_files, toxicity, url_rules
 from .store import fresh_path
 
 
@@ -29,6 +29,10 @@ def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 16).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -36,6 +40,15 @@ def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), path)
@@ -46,10 +59,17 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_licence_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_rules": op1_url_rules,
     "op2_quality_ledger": op2_quality_ledger,
+    "op3_template_leaks": op3_template_leaks,
     "op4_byte_shards": op4_byte_shards,
+    "op6_ftrl_toxicity": op6_ftrl_toxicity,
     "op8_token_files": op8_token_files,
     "op9_best_fit": op9_best_fit,
+    "op10_licence_automaton": op10_licence_automaton,
 }
