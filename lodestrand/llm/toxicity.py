@@ -21,8 +21,8 @@ from .texts import ALNUM, U64, Texts, mix, slices
 BITS = 24
 #: Labelled documents that training takes at most: those with the smallest hashes of their ids.
 SAMPLE = 16_384
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.0, 0.1
+EPOCHS = 5
+ALPHA, BETA, L1, L2 = 4.0, 1.0, 4.0, 0.0
 THRESHOLD = 0.7
 _KINDS = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9))
 
