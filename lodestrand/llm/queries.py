@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licences, packing, quality, sharding, token_files, toxicity, url_rules
+from . import decontamination, licences, near_duplicates, packing, quality, sharding, token_files, toxicity, url_rules
 from .store import fresh_path
 
 
@@ -40,6 +40,10 @@ def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_ledger": op2_quality_ledger,
     "op3_template_leaks": op3_template_leaks,
     "op4_byte_shards": op4_byte_shards,
+    "op5_bag_minhash": op5_bag_minhash,
     "op6_ftrl_toxicity": op6_ftrl_toxicity,
     "op8_token_files": op8_token_files,
     "op9_best_fit": op9_best_fit,
