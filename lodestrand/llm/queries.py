@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licences, near_duplicates, packing, quality, sharding, token_files, toxicity, url_rules
+from . import decontamination, licences, near_duplicates, packing, quality, repeated_spans, sharding, token_files, toxicity, url_rules
 from .store import fresh_path
 
 
@@ -53,6 +53,12 @@ def op6_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans.remaining(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), path)
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_shards": op4_byte_shards,
     "op5_bag_minhash": op5_bag_minhash,
     "op6_ftrl_toxicity": op6_ftrl_toxicity,
+    "op7_suffix_family": op7_suffix_family,
     "op8_token_files": op8_token_files,
     "op9_best_fit": op9_best_fit,
     "op10_licence_automaton": op10_licence_automaton,

@@ -91,7 +91,10 @@ class Texts:
 
     def runs(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and text numbers of maximal runs of bytes in the class; runs never cross texts."""
-        inside = table[self.data]
+        return self.runs_where(table[self.data])
+
+    def runs_where(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of bytes for which `inside` is true."""
         if not len(inside):
             none = np.zeros(0, dtype=np.int64)
             return none, none, none
