@@ -175,11 +175,9 @@ def _bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return sifted.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("bag").alias("bag"))
 
 
-def _similarities(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _similarities(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     """(a, b, similarity) of distinct pairs of document ids."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    bags = materialise(_bags(docs, ids), "near-bags")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    id_type = bags.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,6 +220,32 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
+def _stranger_links(named: DataFrame, banded: DataFrame, bags: DataFrame) -> DataFrame:
+    """(a, b): links between a stranger of a bucket and another member that isn't in its class.
+
+    All is decided in the join's condition, cheap tests first, so that only links come out of it: the classes differ,
+    the similarities to the leader allow a link, sizes allow one, the bucket is the first that both share, and the bags
+    agree. Sort-merge joins keep no bucket in memory, and Spark splits the hot ones.
+    """
+    mixed = named.join(named.where("stranger").select("key").distinct(), "key", "left_semi")
+    full = mixed.join(banded, "rep").join(bags.withColumnRenamed("doc_id", "rep"), "rep")
+    full = full.select("key", "rep", "similarity", "mine", "stranger", "bands", "bag")
+    a = full.where("stranger").select(*(F.col(c).alias(f"a_{c}") for c in full.columns))
+    b = full.select(*(F.col(c).alias(f"b_{c}") for c in full.columns))
+    size = [F.size("a_bag"), F.size("b_bag")]
+    tests = (
+        (F.col("a_mine") != F.col("b_mine")) & (~F.col("b_stranger") | (F.col("b_rep") < F.col("a_rep"))),
+        F.abs(F.col("a_similarity") - F.col("b_similarity")) <= 1 - SIMILARITY + 1e-9,
+        F.least(*size) >= SIMILARITY * F.greatest(*size),
+        F.array_intersect("a_bands", "b_bands")[0] == F.col("a_key"),
+        F.size(F.array_intersect("a_bag", "b_bag")) * (1 + SIMILARITY) >= SIMILARITY * (size[0] + size[1]) - 1e-9,
+    )
+    linked = F.lit(True)
+    for test in reversed(tests):
+        linked = F.when(test, linked).otherwise(False)
+    return a.join(b, (F.col("a_key") == F.col("b_key")) & linked).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id, the smallest id of all documents linked to it, itself included.
 
@@ -237,7 +261,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     buckets = members.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last")
     star = materialise(members.join(buckets.select("key", "leader"), "key"), "near-star")
     pairs = star.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    near = materialise(_similarities(materialise(pairs, "near-pairs"), docs), "near-links")
+    pairs = materialise(pairs, "near-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    bags = materialise(_bags(docs, ids), "near-bags")
+    near = materialise(_similarities(pairs, bags), "near-links")
     links = near.where(F.col("similarity") >= SIMILARITY)
     label = components(links)
 
@@ -247,17 +274,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     named = named.join(label.select(F.col("node").alias("leader"), F.col("label").alias("theirs")), "leader", "left")
     named = named.select("key", "rep", "similarity", F.coalesce("mine", "rep").alias("mine"), F.coalesce("theirs", "leader").alias("theirs"))
     named = materialise(named.withColumn("stranger", F.col("mine") != F.col("theirs")), "near-members")
-    odd = named.where("stranger").select("key", F.col("rep").alias("a"), F.col("similarity").alias("sa"), F.col("mine").alias("ca"))
-    rest = (
-        odd.join(named, "key")
-        .where((F.col("mine") != F.col("ca")) & (~F.col("stranger") | (F.col("rep") < F.col("a"))))
-        .where(F.abs(F.col("similarity") - F.col("sa")) <= 1 - SIMILARITY + 1e-9)
-        .select("a", F.col("rep").alias("b")).distinct()
-    )
-    rest = materialise(rest, "near-rest")
-    if not rest.isEmpty():
-        more = _similarities(rest, docs).where(F.col("similarity") >= SIMILARITY)
-        label = components(links.select("a", "b").union(more.select("a", "b")))
+    more = materialise(_stranger_links(named, copies.select("rep", "bands"), bags), "near-rest")
+    if not more.isEmpty():
+        label = components(links.select("a", "b").union(more))
     named_copies = copies.join(label, copies.rep == label.node, "left").select("c1", "c2", F.coalesce("label", "rep").alias("class_id"))
     found = worded.select("doc_id", "c1", "c2").join(named_copies, ["c1", "c2"]).select("doc_id", "class_id")
     alone = sketched.where(F.col("doc_id").isNull() | (F.size("bands") == 0)).select("doc_id", F.col("doc_id").alias("class_id"))
