@@ -160,7 +160,9 @@ class Family:
         while len(self.levels) > 1:
             self._merge()
         if self.levels:
-            context, anchor, doc, at, more = self.levels.pop()
+            # By place: neighbours' rows are alike, and shuffle files small.
+            order = np.lexsort((self.levels[0][3], self.levels[0][2]))
+            context, anchor, doc, at, more = (x[order] for x in self.levels.pop())
             order = np.argsort(anchor, kind="stable")
             ranked = anchor[order]
             twin = np.zeros(len(ranked), dtype=bool)
@@ -259,7 +261,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.append(True, w[1:] != w[:-1])[: len(w)]
         first = np.maximum.accumulate(np.where(head, np.arange(len(w)), 0))
         again = ~head & _later(doc, p, doc[first], p[first])
-        yield _window_rows(w[head], doc[head], p[head], np.zeros(int(head.sum()), np.int64))
+        by_place = np.flatnonzero(head)[np.argsort(order[head])]
+        yield _window_rows(w[by_place], doc[by_place], p[by_place], np.zeros(len(by_place), np.int64))
         doc, start, end = _merged(doc[again], p[again], p[again] + MATCH)
         yield _window_rows(mix(doc.view(U64)).view(np.int64), doc, start, end)
 
