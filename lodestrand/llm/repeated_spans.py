@@ -330,10 +330,13 @@ def _kept(part: Texts, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _with_ranges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    found = repeats(docs, id_col, text_col).withColumnRenamed("doc", "_doc").withColumnRenamed("ranges", "_ranges")
+    found = repeats(docs, id_col, text_col)
     empty = F.array().cast("array<struct<a:int,b:int>>")
-    joined = docs.join(found.hint("shuffle_hash"), docs[id_col] == found["_doc"], "left")
-    return joined.select(*(docs[c] for c in docs.columns), F.coalesce("_ranges", empty).alias("_ranges"))
+    name = "_ranges"
+    while name in docs.columns:
+        name += "_"
+    joined = docs.join(found.hint("shuffle_hash"), docs[id_col] == found["doc"], "left")
+    return joined.select(*(docs[c] for c in docs.columns), F.coalesce(found["ranges"], empty).alias(name))
 
 
 def remaining(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
