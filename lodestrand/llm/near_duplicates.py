@@ -35,6 +35,8 @@ REGISTERS = BANDS * ROWS
 _REACH = 8.0
 #: Bits of the fixed-size map of wanted documents that goes to every task.
 _MAP_BITS = 24
+#: Bits of a bag's own map, in 64-bit words; see _stranger_links.
+_BAG_WORDS = 32
 _STEP = U64(0x9E3779B97F4A7C15)
 
 
@@ -144,7 +146,9 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
 
 def _bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, bag) of wanted documents: names of shingle occurrences, sorted. Others are sifted out before any work.
+    """(doc_id, bag, bits) of wanted documents: names of shingle occurrences, sorted, and a map of their top bits.
+
+    Others are sifted out before any work.
 
     A map of fixed size tells whose hash is wanted; the exact join follows, so a full map costs time only.
     """
@@ -166,13 +170,20 @@ def _bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 owner = np.repeat(text, weight)
                 names = names[np.lexsort((names, owner))].view(np.int64)
                 ends = np.append(0, np.cumsum(np.bincount(owner, minlength=len(part)))).astype(np.int32)
+                bits = np.zeros((len(part), _BAG_WORDS), dtype=U64)
+                place = (names.view(U64) >> U64(32)).astype(np.int64) % (64 * _BAG_WORDS)
+                np.bitwise_or.at(bits, (np.sort(owner), place // 64), U64(1) << (place % 64).astype(U64))
+                rows = pa.array(np.arange(len(part) + 1, dtype=np.int32) * _BAG_WORDS)
                 yield pa.RecordBatch.from_arrays(
-                    [chosen.column(0).slice(part.row, len(part)), pa.ListArray.from_arrays(pa.array(ends), pa.array(names))], ["doc_id", "bag"]
-                )
+                    [chosen.column(0).slice(part.row, len(part)), pa.ListArray.from_arrays(pa.array(ends), pa.array(names)),
+                     pa.ListArray.from_arrays(rows, pa.array(bits.reshape(-1).view(np.int64)))],
+                    ["doc_id", "bag", "bits"],
+                )
 
-    sifted = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, f"doc_id {id_type}, bag array<bigint>")
+    sifted = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, f"doc_id {id_type}, bag array<bigint>, bits array<bigint>")
     # Repeated rows of an id are one bag: the smallest.
-    return sifted.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("bag").alias("bag"))
+    exact = sifted.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    return exact.groupBy("doc_id").agg(F.min(F.struct("bag", "bits")).alias("x")).select("doc_id", "x.bag", "x.bits")
 
 
 def _similarities(pairs: DataFrame, bags: DataFrame) -> DataFrame:
@@ -213,9 +224,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = materialise(down(small.union(least.select("a", F.col("m").alias("b")))), "star")
-        sums = [e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for e in (edges, after)]
         edges = after
-        if sums[0] == sums[1]:
+        # Done when each node hangs under one node, which itself hangs under none.
+        ups = edges.groupBy("a").agg(F.count("*").alias("n"))
+        if ups.where("n > 1").isEmpty() and edges.join(ups.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
@@ -224,21 +236,34 @@ def _stranger_links(named: DataFrame, banded: DataFrame, bags: DataFrame) -> Dat
     """(a, b): links between a stranger of a bucket and another member that isn't in its class.
 
     All is decided in the join's condition, cheap tests first, so that only links come out of it: the classes differ,
-    the similarities to the leader allow a link, sizes allow one, the bucket is the first that both share, and the bags
-    agree. Sort-merge joins keep no bucket in memory, and Spark splits the hot ones.
+    the similarities to the leader allow a link, sizes allow one, the bucket is the first that both share, the bags'
+    maps allow a link (each bit that only the first bag has is an occurrence that the second lacks), and the bags agree.
+    No test but the last needs more than a few machine instructions a word. Sort-merge joins keep no bucket in memory,
+    and Spark splits the hot ones.
     """
     mixed = named.join(named.where("stranger").select("key").distinct(), "key", "left_semi")
     full = mixed.join(banded, "rep").join(bags.withColumnRenamed("doc_id", "rep"), "rep")
-    full = full.select("key", "rep", "similarity", "mine", "stranger", "bands", "bag")
+    full = full.select(
+        "key", "rep", "similarity", "mine", "stranger", F.array_position("bands", F.col("key")).alias("band"),
+        *(F.get("bands", F.lit(k)).alias(f"k{k}") for k in range(BANDS - 1)), *(F.get("bits", F.lit(k)).alias(f"w{k}") for k in range(_BAG_WORDS)),
+        "bag", F.size("bag").alias("size"),
+    )
     a = full.where("stranger").select(*(F.col(c).alias(f"a_{c}") for c in full.columns))
     b = full.select(*(F.col(c).alias(f"b_{c}") for c in full.columns))
-    size = [F.size("a_bag"), F.size("b_bag")]
+    size = [F.col("a_size"), F.col("b_size")]
+    earlier, alone = F.lit(False), F.lit(0)
+    for k in range(BANDS - 1):
+        earlier = earlier | ((F.col("a_band") > k + 1) & (F.col(f"a_k{k}") == F.col(f"b_k{k}")))
+    for k in range(_BAG_WORDS):
+        alone = alone + F.bit_count(F.col(f"a_w{k}").bitwiseAND(F.bitwise_not(F.col(f"b_w{k}"))))
+    enough = SIMILARITY * (size[0] + size[1]) - 1e-9
     tests = (
         (F.col("a_mine") != F.col("b_mine")) & (~F.col("b_stranger") | (F.col("b_rep") < F.col("a_rep"))),
         F.abs(F.col("a_similarity") - F.col("b_similarity")) <= 1 - SIMILARITY + 1e-9,
         F.least(*size) >= SIMILARITY * F.greatest(*size),
-        F.array_intersect("a_bands", "b_bands")[0] == F.col("a_key"),
-        F.size(F.array_intersect("a_bag", "b_bag")) * (1 + SIMILARITY) >= SIMILARITY * (size[0] + size[1]) - 1e-9,
+        ~earlier,
+        (size[0] - alone) * (1 + SIMILARITY) >= enough,
+        F.size(F.array_intersect("a_bag", "b_bag")) * (1 + SIMILARITY) >= enough,
     )
     linked = F.lit(True)
     for test in reversed(tests):
