@@ -238,7 +238,7 @@ def _merge_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(w, doc, p, e): hashes of border windows, each once per batch at its first place (e = 0), and ranges of repeats."""
     for batch in batches:
-        ids, lists = batch.column(0).to_numpy(), batch.column(2)
+        ids, lists = batch.column(0).to_numpy().astype(np.int64), batch.column(2)
         offsets, flat = np.asarray(lists.offsets), lists.values
         low, high = (flat.field(k).to_numpy().astype(np.int64) for k in (0, 1))
         found = []
@@ -296,11 +296,21 @@ def _window_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _FOUND = "doc bigint, a int, b int, border boolean"
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, ranges): the byte ranges [a, b) of each document that are to go; ranges may overlap.
+def _named(docs: DataFrame, id_col: str, found: DataFrame, ranges: str) -> DataFrame:
+    """docs, all columns, with each document's ranges (null without any) as the last one, under a name of its own."""
+    name = "_ranges"
+    while name in docs.columns:
+        name += "_"
+    joined = docs.join(found.hint("shuffle_hash"), docs[id_col] == found["doc"], "left")
+    return joined.select(*(docs[c] for c in docs.columns), found[ranges].alias(name))
+
+
+def with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, and as the last one the byte ranges [a, b) of each text that are to go; ranges may overlap.
 
     Rows with a null id are neither indexed nor cut; null texts are empty. Rows that share an id are taken as one document:
-    they don't repeat each other. Other columns are ignored.
+    they don't repeat each other. Texts are shuffled once: both joins read the same exchange, which is why the first
+    keeps all rows and columns.
     """
     n = partitions(docs.sparkSession)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
@@ -308,15 +318,26 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = materialise(
         left_over.repartition(n, "at").sortWithinPartitions("at", "ctx", "doc", "meta").mapInArrow(_merge_scan, _FOUND), "repeats"
     )
+    dealt = docs.repartition(n, id_col)
     pair = F.struct("a", "b")
     borders = found.where("border").groupBy("doc").agg(F.collect_list(pair).alias("runs"))
-    hashed = texts.join(borders.hint("shuffle_hash"), "doc").select("doc", "text", "runs").mapInArrow(_windows, "w bigint, doc bigint, p int, e int")
-    partly = hashed.repartition(n, "w").sortWithinPartitions("w", "doc", "p").mapInArrow(_window_scan, _FOUND)
-    return found.where("not border").union(partly).groupBy("doc").agg(F.collect_list(pair).alias("ranges"))
+    places = [docs.columns.index(c) for c in (id_col, text_col)]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(batch.column(batch.num_columns - 1).is_valid())
+            columns = [some.column(k) for k in (*places, some.num_columns - 1)]
+            yield from _windows(iter([pa.RecordBatch.from_arrays(columns, ["doc", "text", "runs"])]))
+
+    windows = _named(dealt, id_col, borders, "runs").mapInArrow(hashed, "w bigint, doc bigint, p int, e int")
+    partly = windows.repartition(n, "w").sortWithinPartitions("w", "doc", "p").mapInArrow(_window_scan, _FOUND)
+    ranges = found.where("not border").union(partly).groupBy("doc").agg(F.collect_list(pair).alias("ranges"))
+    return _named(dealt, id_col, ranges, "ranges")
 
 
 def _kept(part: Texts, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The remaining bytes of some texts, their bounds, and each text's number of removed runs."""
+    lists = lists.fill_null([])
     offsets, flat = np.asarray(lists.offsets), lists.values
     a, b = offsets[part.row], offsets[part.row + len(part)]
     text = np.repeat(np.arange(len(part)), np.diff(offsets[part.row : part.row + len(part) + 1]))
@@ -329,16 +350,6 @@ def _kept(part: Texts, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.
     return part.data[~gone], np.append(0, np.cumsum(~gone))[part.bounds], spans
 
 
-def _with_ranges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    found = repeats(docs, id_col, text_col)
-    empty = F.array().cast("array<struct<a:int,b:int>>")
-    name = "_ranges"
-    while name in docs.columns:
-        name += "_"
-    joined = docs.join(found.hint("shuffle_hash"), docs[id_col] == found["doc"], "left")
-    return joined.select(*(docs[c] for c in docs.columns), F.coalesce(found["ranges"], empty).alias(name))
-
-
 def remaining(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -356,7 +367,7 @@ def remaining(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 )
 
     schema = f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
-    return _with_ranges(docs, "doc_id", "text").mapInArrow(run, schema)
+    return with_repeats(docs).mapInArrow(run, schema)
 
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -379,4 +390,4 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             columns[place] = pa.array(texts, batch.column(place).type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    return _with_ranges(docs, id_col, text_col).mapInArrow(run, docs.schema)
+    return with_repeats(docs, id_col, text_col).mapInArrow(run, docs.schema)
