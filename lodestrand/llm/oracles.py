@@ -19,7 +19,7 @@ m AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text
         coalesce(n_lines, 0)::BIGINT AS n_lines, length(regexp_replace(text, '[^!]', '', 'g'))::BIGINT AS n_bangs
       FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN lines USING (doc_id)),
 f AS (SELECT *, ((CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
-        + (CASE WHEN 2 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END)
+        + (CASE WHEN 4 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END)
         + (CASE WHEN 3 * n_bangs > n_words THEN 16 ELSE 0 END) + (CASE WHEN word_chars < 2 * n_words THEN 32 ELSE 0 END)
         + (CASE WHEN word_chars > 20 * n_words THEN 64 ELSE 0 END))::BIGINT AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
