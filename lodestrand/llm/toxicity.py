@@ -22,7 +22,7 @@ BITS = 24
 #: Labelled documents that training takes at most: those with the smallest hashes of their ids.
 SAMPLE = 16_384
 EPOCHS = 5
-ALPHA, BETA, L1, L2 = 4.0, 1.0, 4.0, 0.0
+ALPHA, BETA, L1, L2 = 8.0, 1.0, 8.0, 0.0
 THRESHOLD = 0.7
 _KINDS = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9))
 
@@ -128,8 +128,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .select(F.xxhash64("_id", "text").alias("place"), F.col("_toxic").cast("int").alias("toxic"), "text")
         .mapInArrow(look, "place bigint, toxic int, features binary")
     )
-    # The sample's bound makes this one task's memory bounded; without examples the task sees no rows.
+    # The sample's bound makes this one task's memory bounded.
     row = examples.repartition(1).sortWithinPartitions("place", "toxic").mapInArrow(learn, "at binary, weight binary, bias double").first()
+    if row is None:
+        return train([], [])
     return Model(np.frombuffer(row.at, "<u4").astype(np.int64), np.frombuffer(row.weight, "<f8"), row.bias)
 
 
