@@ -26,4 +26,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
 """
 
-ORACLES: dict[str, str] = {"op2_quality_ledger": OP2}
+#: The checksum is computed byte by byte from its polynomial.
+OP4 = """
+WITH RECURSIVE bits AS (SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+b AS (SELECT doc_id, (strlen(coalesce(text, '')) + 1)::BIGINT AS size,
+        list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM documents),
+c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])),
+        4294967295) AS text_crc32 FROM b, tab),
+p AS (SELECT *, sum(size) OVER () AS total, coalesce(sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_byte FROM c),
+s AS (SELECT *, (((2 * first_byte + size) * 16) // (2 * total))::INT AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, NULL::INT AS grown_shard FROM s
+"""
+
+ORACLES: dict[str, str] = {"op2_quality_ledger": OP2, "op4_byte_shards": OP4}

@@ -24,6 +24,10 @@ def test_query(spark, small, small_docs):
     assert max(loads) - min(loads) <= 2 * max(r.size for r in got)
 
 
+def test_query_has_its_sql(same_rows):
+    same_rows("op4_byte_shards")
+
+
 def test_odd_rows(odd, odd_rows, empty):
     for shards in (1, 3, 16):
         got = [(r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in sharding.shard_by_bytes(odd, shards).collect()]
