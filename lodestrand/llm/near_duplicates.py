@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import materialise, materialise_joined
 from .texts import ALNUM, U64, Texts, mix, slices, windows
 
 SHINGLE = 5
@@ -215,7 +215,7 @@ def components(edges: DataFrame) -> DataFrame:
     def down(e: DataFrame) -> DataFrame:
         return e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    edges = materialise(down(edges), "star")
+    edges = materialise_joined(down(edges), "star")
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -223,7 +223,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = down(large)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = materialise(down(small.union(least.select("a", F.col("m").alias("b")))), "star")
+        after = materialise_joined(down(small.union(least.select("a", F.col("m").alias("b")))), "star")
         edges = after
         # Done when each node hangs under one node, which itself hangs under none.
         ups = edges.groupBy("a").agg(F.count("*").alias("n"))
@@ -284,12 +284,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     copies = materialise(worded.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-copies")
     members = copies.select("rep", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last")
-    star = materialise(members.join(buckets.select("key", "leader"), "key"), "near-star")
+    star = materialise_joined(members.join(buckets.select("key", "leader"), "key"), "near-star")
     pairs = star.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    pairs = materialise(pairs, "near-pairs")
+    pairs = materialise_joined(pairs, "near-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    bags = materialise(_bags(docs, ids), "near-bags")
-    near = materialise(_similarities(pairs, bags), "near-links")
+    bags = materialise_joined(_bags(docs, ids), "near-bags")
+    near = materialise_joined(_similarities(pairs, bags), "near-links")
     links = near.where(F.col("similarity") >= SIMILARITY)
     label = components(links)
 
@@ -298,8 +298,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     named = own.join(label.select(F.col("node").alias("rep"), F.col("label").alias("mine")), "rep", "left")
     named = named.join(label.select(F.col("node").alias("leader"), F.col("label").alias("theirs")), "leader", "left")
     named = named.select("key", "rep", "similarity", F.coalesce("mine", "rep").alias("mine"), F.coalesce("theirs", "leader").alias("theirs"))
-    named = materialise(named.withColumn("stranger", F.col("mine") != F.col("theirs")), "near-members")
-    more = materialise(_stranger_links(named, copies.select("rep", "bands"), bags), "near-rest")
+    named = materialise_joined(named.withColumn("stranger", F.col("mine") != F.col("theirs")), "near-members")
+    more = materialise_joined(_stranger_links(named, copies.select("rep", "bands"), bags), "near-rest")
     if not more.isEmpty():
         label = components(links.select("a", "b").union(more))
     named_copies = copies.join(label, copies.rep == label.node, "left").select("c1", "c2", F.coalesce("label", "rep").alias("class_id"))

@@ -35,5 +35,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_joined(df: DataFrame, name: str) -> DataFrame:
+    """The same for a result of joins: Spark may have split its hot partitions into thousands, which needn't be files."""
+    return materialise(df.coalesce(partitions(df.sparkSession)), name)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
