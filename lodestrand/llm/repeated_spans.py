@@ -32,6 +32,8 @@ MATCH, GRAM = 100, 37
 CHOICES = MATCH - GRAM + 1
 #: Entries of a task's family at most; a fuller one is handed on and a new one begun.
 FAMILY = 2_000_000
+#: Rows that a task hands to Spark at once.
+BATCH_ROWS = 1 << 16
 _ENTRY, _BORDER, _SIGNAL, _MARK = range(4)
 _LEAST = np.iinfo(np.int64).min
 _ODD = U64(0xD1342543DE82EF95)
@@ -171,16 +173,21 @@ class Family:
             border = np.zeros(len(anchor), dtype=bool)
             border[order] = twin
             key = np.where(border, mix(context), anchor).view(np.int64)
-            yield _rows(key, context.view(np.int64), doc, at << 16 | more << 8 | np.where(border, _BORDER, _ENTRY))
+            yield from _dealt(_rows(key, context.view(np.int64), doc, at << 16 | more << 8 | np.where(border, _BORDER, _ENTRY)))
             signals = np.unique(anchor[border]).view(np.int64)
             same = lambda value: np.full(len(signals), value, dtype=np.int64)
             yield _rows(signals, same(_LEAST), same(0), same(_SIGNAL))
         if self.marks:
             doc, start, end = _merged(*(np.concatenate(x) for x in zip(*self.marks)))
-            yield _rows(mix(doc.view(U64)).view(np.int64), end, doc, start << 16 | _MARK)
+            yield from _dealt(_rows(mix(doc.view(U64)).view(np.int64), end, doc, start << 16 | _MARK))
         self.__init__()
 
 
+def _dealt(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(rows), BATCH_ROWS):
+        yield rows.slice(k, BATCH_ROWS)
+
+
 def _rows(*columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["at", "ctx", "doc", "meta"])
 
@@ -262,7 +269,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.maximum.accumulate(np.where(head, np.arange(len(w)), 0))
         again = ~head & _later(doc, p, doc[first], p[first])
         by_place = np.flatnonzero(head)[np.argsort(order[head])]
-        yield _window_rows(w[by_place], doc[by_place], p[by_place], np.zeros(len(by_place), np.int64))
+        yield from _dealt(_window_rows(w[by_place], doc[by_place], p[by_place], np.zeros(len(by_place), np.int64)))
         doc, start, end = _merged(doc[again], p[again], p[again] + MATCH)
         yield _window_rows(mix(doc.view(U64)).view(np.int64), doc, start, end)
 

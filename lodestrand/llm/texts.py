@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text handled at once; a longer text makes a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -47,7 +47,7 @@ def _grown(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    return _grown(max(21, int(n).bit_length()))
+    return _grown(max(20, int(n).bit_length()))
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:

@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         examples, toxic = [], []
         for batch in batches:
             toxic += batch.column(1).to_pylist()
-            examples += [np.frombuffer(x, dtype="<u4").astype(np.int64) for x in batch.column(2).to_pylist()]
+            examples += [np.frombuffer(x, dtype="<u4") for x in batch.column(2).to_pylist()]
         model = train(examples, toxic)
         yield pa.RecordBatch.from_arrays(
             [pa.array([model.at.astype("<u4").tobytes()], pa.binary()), pa.array([model.weight.astype("<f8").tobytes()], pa.binary()), pa.array([model.bias])],
