@@ -151,7 +151,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
+        tok, part, seen = encoder(tokenizer, added=True), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
             for text in slices(batch.column(1), TEXT_BYTES):
                 found, n = tok.encode([t or "" for t in batch.column(1).slice(text.row, len(text)).to_pylist()])

@@ -56,7 +56,7 @@ def _tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_type: str) -> Da
     """Blocks of plain ids: (part, block, first, doc_ids, counts, ids), in the order of the input's partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, part, block, first = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        tok, part, block, first = encoder(tokenizer, added=True), TaskContext.get().partitionId(), 0, 0
         keys, counts, ids = [], [], []
 
         def flush():

@@ -24,15 +24,25 @@ _UNSAFE, _MISSING = -2, -1
 
 
 class PieceEncoder:
-    """Ids of texts, as `Tokenizer.encode(text, add_special_tokens=False)` gives them; special tokens are plain text."""
+    """Ids of texts, as `Tokenizer.encode(text, add_special_tokens=False)` gives them.
 
-    def __init__(self, path: str):
+    With `added`, as operators use it, the content of an added token (`<|endoftext|>`) in a text is that token, which is
+    the library's default; without, it is plain text, as with `encode_special_tokens`.
+    """
+
+    def __init__(self, path: str, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path if os.sep in path else public_tokenizers.path(path))
+        # Texts are cut at added tokens before their pieces come here, so pieces are always plain.
         self.tokenizer.encode_special_tokens = True
+        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()} if added else {}
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError(f"{path}: added tokens that don't match their plain content are not supported")
+        # The library finds them from left to right, the longest first, in the text as it is.
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
         vocab = self.tokenizer.get_vocab()
         # Byte-level vocabularies write a space as U+0120 and begin a piece with it; word vocabularies end words with a mark.
         self.spaced = "Ġthe" in vocab
@@ -110,6 +120,24 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and each text's number of ids."""
+        if not any(content in t for content in self.added for t in texts):
+            return self._plain(texts)
+        parts, firsts, tokens, places = [], [], [], []
+        for t in texts:
+            firsts.append(len(parts))
+            end = 0
+            for m in self.cut.finditer(t):
+                parts += [t[end : m.start()], ""]
+                places.append(len(parts) - 1)
+                tokens.append(self.added[m[0]])
+                end = m.end()
+            parts.append(t[end:])
+        ids, n = self._plain(parts)
+        ids = np.insert(ids, np.cumsum(n)[places], np.array(tokens, dtype=ids.dtype))
+        n[places] = 1
+        return ids, np.add.reduceat(n, firsts)
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > CACHE_PIECES:
             self.clear()
         lists = [self._pieces(t) for t in texts]
@@ -135,6 +163,6 @@ def _room(array: np.ndarray, n: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> PieceEncoder:
-    """One encoder per worker process and file."""
-    return PieceEncoder(path)
+def encoder(path: str, added: bool = False) -> PieceEncoder:
+    """One encoder per worker process, file and treatment of added tokens."""
+    return PieceEncoder(path, added)
