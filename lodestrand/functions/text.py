@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 WS = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 EDGES = rf"^[{WS}]+|[{WS}]+$"
 LEFT_EDGE = rf"^[{WS}]+"
+#: The same characters as a string, and all but the line feed for a character class.
+WS_CHARS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+WS_IN_LINE = WS.replace(r"\n", "")
 #: Accepted file names, and short month names of the display dates.
 ACCEPTED = r"(?i)\.(pdf|doc|docx|pptx?|xlsx?|txt|md|html|ipynb|tex)$"
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "Mei", "Jun", "Jul", "Agu", "Sep", "Okt", "Nov", "Des")
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, EDGES, "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def trim_start(c: Column) -> Column:
-    return F.regexp_replace(c, LEFT_EDGE, "")
+    return F.ltrim(c, F.lit(WS_CHARS))
 
 
 def lines(c: Column) -> Column:

@@ -6,11 +6,13 @@ contract: eight languages, at least ten characters, a threshold of 5, `unknown`
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import trim
-from .normalize import normalize
+from .normalize import normalize, once
 
 THRESHOLD, SHORTEST = 5, 10
 #: Language -> (pattern, weight); ties go to the language that stands first. Patterns mean the same in Java and RE2.
@@ -29,22 +31,29 @@ LANGUAGES = tuple(PATTERNS)
 ALIASES = ("py", "js", "jsx", "ts", "tsx", "c++", "cc", "h", "hpp", "kt", "kts", "mysql", "rscript")
 
 
-def score(code: Column, language: str) -> Column:
+def literal(pattern: str) -> str:
+    """The longest text that each match of a pattern holds as it is (in lower case, of a pattern for either case)."""
+    flat = re.sub(r"\\[wbsd][*+]?|\[(?:\\.|[^\]\\])*\][*+]?|(?<!\\)\([^)]*\)", "\0", pattern.removeprefix("(?i)"))
+    return max((re.sub(r"\\(.)", r"\1", part) for part in flat.split("\0")), key=len)
+
+
+def score(code: Column, low: Column, language: str) -> Column:
+    """The language's total. A pattern is counted only in texts that hold its literal part, which a plain search tells."""
     total = F.lit(0)
     for pattern, weight in PATTERNS[language]:
-        total = total + F.regexp_count(code, F.lit(pattern)) * weight
+        there = (low if pattern.startswith("(?i)") else code).contains(literal(pattern))
+        total = total + F.when(there, F.regexp_count(code, F.lit(pattern)) * weight).otherwise(0)
     return total
 
 
 def detect(code: Column) -> Column:
-    clean = normalize(code)
-    scores = F.transform(F.array(clean), lambda x: F.array(*(score(x, name) for name in LANGUAGES)))[0]
-    best = F.transform(F.array(scores), lambda s: F.struct(F.array_max(s).alias("top"), F.array_position(s, F.array_max(s)).alias("at")))[0]
-    label = F.transform(
-        F.array(best),
-        lambda b: F.when(b["top"] >= THRESHOLD, F.element_at(F.array(*map(F.lit, LANGUAGES)), b["at"].cast("int"))).otherwise("unknown"),
-    )[0]
-    return F.when(F.length(trim(code)) < SHORTEST, "unknown").otherwise(label)
+    scores = lambda clean: once(
+        F.struct(clean.alias("code"), F.lower(clean).alias("low")), lambda x: F.array(*(score(x["code"], x["low"], name) for name in LANGUAGES))
+    )
+    best = lambda s: F.struct(F.array_max(s).alias("top"), F.array_position(s, F.array_max(s)).alias("at"))
+    label = lambda b: F.when(b["top"] >= THRESHOLD, F.element_at(F.array(*map(F.lit, LANGUAGES)), b["at"].cast("int"))).otherwise("unknown")
+    found = once(once(once(normalize(code), scores), best), label)
+    return F.when(F.length(trim(code)) < SHORTEST, "unknown").otherwise(found)
 
 
 def known(hint: Column) -> Column:

@@ -5,19 +5,26 @@ Each gives array<struct<lang, code>>. All are built-in expressions: no Python ru
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, first_truthy, trim
 from .detect import SHORTEST, detect, known
-from .normalize import drop_output_lines, normalize
+from .normalize import drop_output_lines, normalize, once
 
 #: Beginnings and ends of labelled code, and fences. Possessive, so that blanks don't backtrack.
 ANCHOR = rf"(?i)kode[{WS}]++[\w{WS}]*+:|syntax[{WS}]*+:|script[{WS}]*+:|program[{WS}]*+:"
 ANCHOR_END = rf"(?im)output[{WS}]+yang[{WS}]+dihasilkan|interpretasi[{WS}]|^contoh[{WS}]+[0-9]|penugasan"
 FENCE = r"```(\w*)\n?([\s\S]*?)```|~~~(\w*)\n?([\s\S]*?)~~~"
-#: Characters taken after a label without an end.
-REACH = 2000
+#: Words of which each label has one.
+LABEL_WORDS = ("kode", "syntax", "script", "program")
+#: Characters taken after a label without an end, and those of the shortest label.
+REACH, SHORTEST_LABEL = 2000, 6
+#: Parts in which an end mark is looked for at first.
+NEAR = 64
 NOTEBOOK = "struct<cells:array<struct<cell_type:string,source:array<string>>>>"
 
 
@@ -33,15 +40,44 @@ def _long(codes: Column) -> Column:
     return F.filter(codes, lambda c: F.length(c) >= SHORTEST)
 
 
+def _rest(array: Column) -> Column:
+    return F.slice(array, F.lit(2), F.size(array))
+
+
 def anchor_candidates(text: Column) -> Column:
-    """Of each label the text that it heads: up to the next end mark, or REACH characters. Labels don't end blocks."""
-    split = F.split(text, ANCHOR, -1)
+    """Of each label the text that it heads: up to the next end mark, or REACH characters. Labels don't end blocks.
+
+    The text is cut once, behind each label; a part reaches from there to the end of the next label, so no end mark
+    crosses two parts. A block is the beginning of its label's part, or that part and the following ones up to the first
+    with an end mark, so only what is given is ever copied.
+    """
+    none = F.array().cast("array<string>")
     marks = F.regexp_extract_all(text, F.lit(ANCHOR), F.lit(0))
-    lengths = F.zip_with(split, marks, lambda s, m: F.length(s) + F.coalesce(F.length(m), F.lit(0)))
-    upto = lambda i: F.aggregate(F.slice(lengths, 1, i + 1), F.lit(0), lambda a, n: a + n)
-    rests = F.transform(marks, lambda m, i: F.substr(text, upto(i) + 1))
-    cut = F.transform(rests, lambda r: F.struct(F.split(r, ANCHOR_END, 2).alias("p"), r.alias("r")))
-    return F.transform(cut, lambda x: trim(F.when(F.size(x["p"]) == 2, x["p"][0]).otherwise(F.substr(x["r"], F.lit(1), F.lit(REACH)))))
+    pieces = lambda x: F.zip_with(_rest(x["between"]), _rest(x["marks"]), lambda s, m: F.concat(s, F.coalesce(m, F.lit(""))))
+    between = lambda m: F.when(F.size(m) > 0, once(F.struct(F.split(text, ANCHOR, -1).alias("between"), m.alias("marks")), pieces)).otherwise(none)
+    heads = once(F.lower(text), lambda low: reduce(or_, (low.contains(word) for word in LABEL_WORDS)))
+    cut = F.when(heads, once(marks, between)).otherwise(none)
+    # Where a part's first end mark begins, from 1; 0 without. Only for the part's own label is its beginning one of a line.
+    own = lambda p: F.regexp_instr(p, F.lit(ANCHOR_END))
+    later = lambda p, n: F.when(n != 1, n).otherwise(F.greatest(F.regexp_instr(F.concat(F.lit(":"), p), F.lit(ANCHOR_END)) - 1, F.lit(0)))
+    ends = lambda p: F.struct(p.alias("parts"), F.transform(p, own).alias("own"))
+    both = lambda x: F.struct(x["parts"], x["own"], F.zip_with(x["parts"], x["own"], later).alias("later"))
+    with_flag = lambda x: F.struct(x["parts"], x["own"], x["later"], F.transform(x["later"], lambda n: n > 0).alias("ended"), (F.array_max(x["later"]) > 0).alias("some"))
+    return once(once(once(once(cut, ends), both), with_flag), lambda x: F.transform(x["parts"], lambda p, i: trim(_block(x, p, i))))
+
+
+def _block(x: Column, part: Column, i: Column) -> Column:
+    """The block of label i, from the parts and the places of end marks in them."""
+    own = F.get(x["own"], i)
+    # The next part with an end mark, counted from 1 behind this one; 0 without. Mostly it is near.
+    ahead = lambda many: F.array_position(F.slice(x["ended"], i + 2, many), F.lit(True)).cast("int")
+    near = F.when(x["some"], once(ahead(F.lit(NEAR)), lambda n: F.when(n > 0, n).otherwise(ahead(F.size(x["ended"])))))
+    upto = lambda n: F.concat(
+        F.array_join(F.slice(x["parts"], i + 1, n), ""), F.substr(F.get(x["parts"], i + n), F.lit(1), F.get(x["later"], i + n) - 1)
+    )
+    reach = F.substr(F.array_join(F.slice(x["parts"], i + 1, F.lit(REACH // SHORTEST_LABEL + 1)), ""), F.lit(1), F.lit(REACH))
+    far = once(F.coalesce(near, F.lit(0)), lambda n: F.when(n > 0, upto(n)).otherwise(reach))
+    return F.when(own > 0, F.substr(part, F.lit(1), own - 1)).otherwise(far)
 
 
 def anchor_blocks(text: Column) -> Column:
@@ -52,11 +88,13 @@ def anchor_blocks(text: Column) -> Column:
 def fence_sections(text: Column) -> Column:
     """array<struct<hint, code>> of all fences whose code is long enough."""
     group = lambda k: F.regexp_extract_all(text, F.lit(FENCE), F.lit(k))
-    zipped = F.arrays_zip(group(1).alias("a"), group(2).alias("b"), group(3).alias("c"), group(4).alias("d"))
+    fenced = text.contains("```") | text.contains("~~~")
+    zipped = F.when(fenced, F.arrays_zip(group(1).alias("a"), group(2).alias("b"), group(3).alias("c"), group(4).alias("d")))
     sections = F.transform(
         zipped, lambda x: F.struct(F.lower(first_truthy(x["a"], x["c"])).alias("hint"), trim(first_truthy(x["b"], x["d"])).alias("code"))
     )
-    return F.filter(sections, lambda x: F.length(x["code"]) >= SHORTEST)
+    none = F.array().cast("array<struct<hint:string,code:string>>")
+    return F.when(text.isNotNull(), F.coalesce(F.filter(sections, lambda x: F.length(x["code"]) >= SHORTEST), none))
 
 
 def fence_blocks(text: Column) -> Column:

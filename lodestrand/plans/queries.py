@@ -13,7 +13,7 @@ from ..operators import detect as D
 from ..operators import normalize as N
 from ..operators import strategies as S
 from ..sources import derived, dims
-from ..sources.documents import read_files
+from ..sources.documents import read_files, spread
 from .extract import EMPTY, NO_FILE, NOTHING, block_rows, extract
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.corpus(spread(table(spark, sf_dir, "documents")))
+
+
 def query(sql: str | None = None):
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -110,7 +114,7 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY nth) - 1 AS
 
 
 def rows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return block_rows(extract(derived.corpus(table(spark, sf_dir, "documents"))))
+    return block_rows(extract(corpus(spark, sf_dir)))
 
 
 def exploded(df: DataFrame, column, *fields: str) -> DataFrame:
@@ -146,7 +150,7 @@ def date_id(spark, sf_dir):
 
 @query(f"SELECT doc_id, lower(string_split(filename, '.')[-1]) AS ext, regexp_matches(filename, {q(T.ACCEPTED)}) AS accepted FROM ({CORPUS})")
 def accepted_files(spark, sf_dir):
-    docs = derived.corpus(table(spark, sf_dir, "documents"))
+    docs = corpus(spark, sf_dir)
     return docs.select("doc_id", T.file_ext(F.col("filename")).alias("ext"), T.accepted(F.col("filename")).alias("accepted"))
 
 
@@ -155,42 +159,42 @@ def accepted_files(spark, sf_dir):
 
 @query(CORPUS)
 def derived_corpus(spark, sf_dir):
-    return derived.corpus(table(spark, sf_dir, "documents"))
+    return corpus(spark, sf_dir)
 
 
 @query(f"SELECT doc_id, {sql_normalize('text')} AS code, CAST(len(string_split({sql_normalize('text')}, chr(10))) AS INTEGER) AS lines FROM ({CORPUS})")
 def normalize_code(spark, sf_dir):
-    docs = derived.corpus(table(spark, sf_dir, "documents")).select("doc_id", N.normalize(F.col("text")).alias("code"))
+    docs = corpus(spark, sf_dir).select("doc_id", N.normalize(F.col("text")).alias("code"))
     return docs.select("doc_id", "code", T.line_count(F.col("code")).alias("lines"))
 
 
 @query(ANCHORS)
 def anchor_candidates(spark, sf_dir):
-    docs = derived.corpus(table(spark, sf_dir, "documents"))
+    docs = corpus(spark, sf_dir)
     found = docs.select("doc_id", F.posexplode(S.anchor_candidates(F.col("text"))).alias("nth", "code"))
     return found.select("doc_id", F.col("nth").cast("bigint").alias("nth"), "code")
 
 
 @query(f"SELECT doc_id, nth - 1 AS nth, hint, code FROM ({FENCES})")
 def fence_sections(spark, sf_dir):
-    docs = derived.corpus(table(spark, sf_dir, "documents"))
+    docs = corpus(spark, sf_dir)
     return exploded(docs, S.fence_sections(F.col("text")), "hint", "code")
 
 
 @query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY nth) - 1 AS BIGINT) AS nth, lang, code FROM ({FENCE_BLOCKS})")
 def fence_blocks(spark, sf_dir):
-    docs = derived.corpus(table(spark, sf_dir, "documents"))
+    docs = corpus(spark, sf_dir)
     return exploded(docs, S.fence_blocks(F.col("text")), "lang", "code")
 
 
 @query(f"SELECT doc_id, found AS lang FROM ({sql_detected(CORPUS, 'text')})")
 def detect_lang(spark, sf_dir):
-    return derived.corpus(table(spark, sf_dir, "documents")).select("doc_id", D.detect(F.col("text")).alias("lang"))
+    return corpus(spark, sf_dir).select("doc_id", D.detect(F.col("text")).alias("lang"))
 
 
 @query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY nth) - 1 AS BIGINT) AS nth, code FROM ({NOTEBOOKS})")
 def notebook_cells(spark, sf_dir):
-    docs = derived.corpus(table(spark, sf_dir, "documents"))
+    docs = corpus(spark, sf_dir)
     found = docs.select("doc_id", F.posexplode(S.notebook_codes(F.col("text"))).alias("nth", "code"))
     return found.select("doc_id", F.col("nth").cast("bigint").alias("nth"), "code")
 
@@ -213,7 +217,7 @@ FAULTY = f"SELECT doc_id, CASE WHEN doc_id % 17 = 3 THEN NULL ELSE filename END
 
 @query(STATUS.replace("SOURCE", FAULTY).replace("BLOCKS_OF", BLOCKS))
 def extract_status(spark, sf_dir):
-    docs = derived.corpus(table(spark, sf_dir, "documents"))
+    docs = corpus(spark, sf_dir)
     docs = docs.withColumns({
         "filename": F.when(F.col("doc_id") % 17 != 3, F.col("filename")),
         "text": F.when(F.col("doc_id") % 13 == 5, " \n").otherwise(F.col("text")),
@@ -223,7 +227,7 @@ def extract_status(spark, sf_dir):
 
 @query(f"SELECT doc_id, 404 AS status, {q(NOTHING)} AS error FROM documents")
 def raw_documents_status(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("x.txt").alias("filename"), F.lit(1).alias("size"), "text")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.lit("x.txt").alias("filename"), F.lit(1).alias("size"), "text")
     return extract(docs).select("doc_id", "status", "error")
 
 
@@ -245,7 +249,7 @@ CHOICE = "(['python', 'r', 'sql', 'java'])[doc_id % 4 + 1]"
 
 @query(f"SELECT doc_id, {CHOICE} AS selected, arg_min(index, CASE WHEN lang = {CHOICE} THEN 0 ELSE 1000000 END + index) AS index, arg_min(lang, CASE WHEN lang = {CHOICE} THEN 0 ELSE 1000000 END + index) AS lang FROM ({BLOCKS}) GROUP BY doc_id")
 def active_block(spark, sf_dir):
-    docs = extract(derived.corpus(table(spark, sf_dir, "documents"))).where("status = 200")
+    docs = extract(corpus(spark, sf_dir)).where("status = 200")
     selected = F.element_at(F.array(*map(F.lit, ("python", "r", "sql", "java"))), (F.col("doc_id") % 4 + 1).cast("int"))
     chosen = docs.select("doc_id", selected.alias("selected"), B.active_block(F.col("blocks"), selected).alias("b"))
     return chosen.select("doc_id", "selected", "b.index", "b.lang")
@@ -302,7 +306,7 @@ def merge_by_lang(spark, sf_dir):
 
 @query(f"SELECT doc_id, CASE WHEN n > 0 THEN n || ' BLOK' ELSE 'GAGAL' END AS state, CASE WHEN n > 0 THEN CASE WHEN lang <> 'unknown' THEN lang ELSE 'python' END ELSE 'python' END AS next_lang, CAST(langs AS INTEGER) AS n_langs FROM (SELECT d.doc_id, coalesce(n, 0) AS n, b.lang AS lang, coalesce(langs, 0) AS langs FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, arg_min(lang, index) AS lang, count(DISTINCT lang) AS langs FROM ({BLOCKS}) GROUP BY doc_id) b USING (doc_id))")
 def result_states(spark, sf_dir):
-    docs = extract(derived.corpus(table(spark, sf_dir, "documents")))
+    docs = extract(corpus(spark, sf_dir))
     return docs.select(
         "doc_id", B.result_state(F.coalesce("total", F.lit(0)), F.col("error")).alias("state"), B.next_language(F.col("blocks"), F.lit("python")).alias("next_lang"),
         F.coalesce(F.when(F.col("blocks").isNotNull(), F.size(B.distinct_langs(F.col("blocks")))), F.lit(0)).alias("n_langs"),

@@ -11,6 +11,12 @@ from ..functions.text import file_ext
 TEXT_TYPES = ("ipynb", "txt", "md", "html", "tex")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: rows of a scan with fewer partitions (one file, one row group) are dealt out before heavy work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per file. A file that isn't text has null text and an error; content is decoded as UTF-8."""
     files = spark.read.format("binaryFile").load(path)
