@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,16 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder under the cluster's shared one; a local master without the setting uses its own temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="lodestrand-")
+    return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -255,6 +267,35 @@ def active_block(spark, sf_dir):
     return chosen.select("doc_id", "selected", "b.index", "b.lang")
 
 
+VISIBLE = f"""
+SELECT d.doc_id, d.filter, b.index, b.lang FROM (SELECT doc_id, (['all', 'python', 'sql', 'r'])[doc_id % 4 + 1] AS filter, doc_id % 3 AS wanted FROM documents) d
+JOIN ({BLOCKS}) b USING (doc_id) WHERE d.filter IN ('all', b.lang)
+QUALIFY row_number() OVER (PARTITION BY d.doc_id ORDER BY CASE WHEN b.index = d.wanted THEN 0 ELSE 1 END, b.index) = 1
+"""
+
+
+@query(VISIBLE)
+def active_visible(spark, sf_dir):
+    docs = extract(corpus(spark, sf_dir)).where("status = 200")
+    lang = F.element_at(F.array(*map(F.lit, ("all", "python", "sql", "r"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    chosen = docs.select("doc_id", lang.alias("filter"), B.active_visible(F.col("blocks"), lang, (F.col("doc_id") % 3).cast("int")).alias("b"))
+    return chosen.where("b IS NOT NULL").select("doc_id", "filter", "b.index", "b.lang")
+
+
+@query(f"SELECT lang, count(*) AS n_blocks FROM ({BLOCKS}) GROUP BY lang")
+def filter_all(spark, sf_dir):
+    return B.filter_lang(rows_of(spark, sf_dir), "all").groupBy("lang").agg(F.count("*").alias("n_blocks"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'MENUNGGU' WHEN 1 THEN 'GAGAL' WHEN 2 THEN 'MENUNGGU' ELSE (doc_id % 5 + 1) || ' BLOK' END AS state FROM documents")
+def result_labels(spark, sf_dir):
+    """All states: blocks found, an error, and neither (an error text that is empty is none)."""
+    k = F.col("doc_id") % 4
+    n_blocks = F.when(k == 3, F.col("doc_id") % 5 + 1).otherwise(0)
+    error = F.when(k == 1, NOTHING).when(k == 2, "")
+    return table(spark, sf_dir, "documents").select("doc_id", B.result_state(n_blocks, error).alias("state"))
+
+
 DIM = f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(q, r)) + ')' for r in dims.LANGUAGES)}) AS t(id, label, emoji, color, ext))"
 
 
@@ -304,6 +345,17 @@ def merge_by_lang(spark, sf_dir):
     return B.merge_by_lang(rows_of(spark, sf_dir))
 
 
+@query(
+    f"SELECT doc_id, coalesce('blocks_' || lang || '.' || ext, 'blocks_' || lang || '.txt') AS filename, lang, content FROM (SELECT doc_id, lang, "
+    f"string_agg(code, {q(B.SEPARATOR)} ORDER BY index) AS content FROM ({BLOCKS}) GROUP BY doc_id, lang) m LEFT JOIN {DIM} d ON m.lang = d.id"
+)
+def merged_files(spark, sf_dir):
+    """The files of the merged download, written and read back."""
+    path = scratch_path(spark, "merged")
+    B.write_merged(rows_of(spark, sf_dir), dims.languages(spark), path)
+    return spark.read.schema("doc_id bigint, filename string, content string, lang string").parquet(path)
+
+
 @query(f"SELECT doc_id, CASE WHEN n > 0 THEN n || ' BLOK' ELSE 'GAGAL' END AS state, CASE WHEN n > 0 THEN CASE WHEN lang <> 'unknown' THEN lang ELSE 'python' END ELSE 'python' END AS next_lang, CAST(langs AS INTEGER) AS n_langs FROM (SELECT d.doc_id, coalesce(n, 0) AS n, b.lang AS lang, coalesce(langs, 0) AS langs FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, arg_min(lang, index) AS lang, count(DISTINCT lang) AS langs FROM ({BLOCKS}) GROUP BY doc_id) b USING (doc_id))")
 def result_states(spark, sf_dir):
     docs = extract(corpus(spark, sf_dir))

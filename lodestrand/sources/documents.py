@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import file_ext
+from .office import office_rows
 
-#: Types that are text as they are. Office formats need a reader of their own; they get an error, not a failed job.
-TEXT_TYPES = ("ipynb", "txt", "md", "html", "tex")
+#: Types that are text as they are, and those that `office` reads. Others get an error, not a failed job.
+TEXT_TYPES, OFFICE_TYPES = ("ipynb", "txt", "md", "html", "tex"), ("docx", "pptx", "xlsx")
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -18,12 +19,18 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file. A file that isn't text has null text and an error; content is decoded as UTF-8."""
+    """One row per file: path, filename, size, text, error. Text files are decoded as UTF-8, office files by `office`.
+
+    A file of another type, one that isn't UTF-8 and one that can't be unpacked has a null text and an error. Of a file without
+    bytes Spark's reader gives no row. Only office files pass through Python.
+    """
     files = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/", -1), -1)
-    text = file_ext(name).isin(*TEXT_TYPES)
-    return files.select(
-        "path", name.alias("filename"), F.col("length").alias("size"),
-        F.when(text, F.try_validate_utf8(F.col("content").cast("string"))).alias("text"),
-        F.when(~text, F.concat(F.lit("no reader for ."), file_ext(name))).alias("error"),
-    )
+    files = files.select("path", name.alias("filename"), F.col("length").alias("size"), file_ext(name).alias("kind"), "content")
+    office = files.where(F.col("kind").isin(*OFFICE_TYPES))
+    read = office.mapInArrow(office_rows, "path string, filename string, size bigint, text string, error string")
+    plain = files.where(~F.col("kind").isin(*OFFICE_TYPES))
+    is_text = F.col("kind").isin(*TEXT_TYPES)
+    text = F.when(is_text, F.try_validate_utf8(F.col("content").cast("string")))
+    error = F.when(~is_text, F.concat(F.lit("no reader for ."), F.col("kind"))).when(text.isNull(), "not UTF-8")
+    return plain.select("path", "filename", "size", text.alias("text"), error.alias("error")).unionByName(read)
