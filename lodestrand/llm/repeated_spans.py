@@ -3,16 +3,22 @@
 A byte goes if it lies in a string of MATCH bytes that also starts earlier: in a document with a smaller id, or before
 in the same one. The suffixes that are indexed start at anchors: each window of MATCH bytes picks the GRAM-byte string
 inside it whose hash is smallest, so equal windows pick equal anchors, and about one position in 32 is one. An anchor's
-entry stands for its run of windows: it has the hash of the anchor, the hash of the run's whole context, and the place.
-
-Each task keeps an index family of its documents' entries. A new batch becomes a sorted array; it is merge-scanned
-against the arrays there already, and entries whose context is known are marked as repeats at the later place; what is
-new becomes a level, and levels of like size merge, so an entry is merged a logarithmic number of times. What a task has
-left over - the first places of its contexts - is sorted by Spark across the cluster and scanned once more. A context
-that repeats anywhere is thus sent once per task at most, however many copies there are.
-
-Anchors with more than one context are the borders of repeats, where only some windows of the run agree. Their windows,
-and no others, are hashed one by one from the texts and compared in the same manner. Hashes have 64 bits.
+entry stands for its run of windows: it has the run's bytes from the anchor on, which is the suffix as far as a match
+of these windows can reach, then those before the anchor, backwards.
+
+Each task keeps an index family of its documents' suffixes. A batch of texts becomes a suffix array, in the order of the
+bytes; it is merge-scanned against the arrays there already, and suffixes that agree to the end of their run are marked as
+repeats at the later place; what is new becomes a level, and levels of like size merge, so an entry is merged a
+logarithmic number of times. Neighbours in the merged array whose common prefix is an anchor at least, but not the run,
+are the borders of repeats, where only some windows agree. What a task has left over - the first places of its runs - goes
+to the cluster's last merge: suffixes of other tasks meet there by 64-bit hashes of anchor and run, since the bytes
+themselves would be several times the input in the shuffle. A run that repeats anywhere is thus sent once per
+family at most, however many copies there are.
+
+The windows of borders, and no others, are hashed one by one from the texts and compared in the same manner.
+
+A document is a row with its id and text. Rows of one id with different texts are different documents: ids that come several
+times get a second key, the hash of the text, which orders them.
 """
 
 from __future__ import annotations
@@ -30,8 +36,13 @@ from .texts import SLICE_BYTES, U64, Texts, _powers, mix, slices
 MATCH, GRAM = 100, 37
 #: Anchors that a window chooses from: a power of two.
 CHOICES = MATCH - GRAM + 1
+#: Bytes of an entry in the suffix order: those from its anchor on, those before it, and the two lengths, which are never 0.
+AFTER, BEFORE = MATCH, CHOICES - 1
+SUFFIX = AFTER + BEFORE + 2
 #: Entries of a task's family at most; a fuller one is handed on and a new one begun.
-FAMILY = 2_000_000
+FAMILY = 250_000
+#: Bits of the fixed-size map of ids that come several times.
+_MAP_BITS = 24
 #: Rows that a task hands to Spark at once.
 BATCH_ROWS = 1 << 16
 _ENTRY, _BORDER, _SIGNAL, _MARK = range(4)
@@ -42,11 +53,11 @@ Columns = tuple[np.ndarray, ...]
 
 
 def entries(texts: Texts) -> Columns:
-    """(anchor's hash, context's hash, text, first window, windows after it) of each run of windows with one anchor."""
+    """(suffix, anchor's hash, run's hash, text, first window, windows after it) of each run of windows with one anchor."""
     data = texts.data
     if len(data) < MATCH:
         none = np.zeros(0, dtype=np.int64)
-        return none.view(U64), none.view(U64), none, none, none
+        return np.zeros(0, f"S{SUFFIX}"), none.view(U64), none.view(U64), none, none, none
     sums = texts.prefix_hash()
     _, inverse = _powers(len(data))
     grams = (sums[GRAM:] - sums[:-GRAM]) * inverse[: len(data) - GRAM + 1]
@@ -71,7 +82,19 @@ def entries(texts: Texts) -> Columns:
     context = texts.hashes(sums, low, high + MATCH)
     context = mix(context + (at - low).astype(U64) * _ODD)
     text = texts.owner(low)
-    return mix(grams[at]), context, text, low - texts.bounds[text], high - low
+    return _suffixes(data, at, low, high + MATCH), mix(grams[at]), context, text, low - texts.bounds[text], high - low
+
+
+def _suffixes(data: np.ndarray, at: np.ndarray, low: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of each run [low, end) with its anchor at `at`: the bytes that order it, as one fixed-length string."""
+    out = np.zeros((len(at), SUFFIX), dtype=np.uint8)
+    after, before = end - at, at - low
+    k = np.arange(AFTER)
+    out[:, :AFTER] = np.where(k < after[:, None], data[np.minimum(at[:, None] + k, len(data) - 1)], 0)
+    k = np.arange(BEFORE)
+    out[:, AFTER : AFTER + BEFORE] = np.where(k < before[:, None], data[np.maximum(at[:, None] - 1 - k, 0)], 0)
+    out[:, -2], out[:, -1] = after, before + 1
+    return out.reshape(-1).view(f"S{SUFFIX}")
 
 
 def _segments(column: pa.Array) -> Iterator[tuple[Texts, int, int]]:
@@ -85,64 +108,77 @@ def _segments(column: pa.Array) -> Iterator[tuple[Texts, int, int]]:
             yield Texts(piece, np.array([0, len(piece)]), part.row), part.row, start
 
 
-def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> Columns:
+def _merged(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, end: np.ndarray) -> Columns:
     """Byte ranges joined where they touch, by document."""
     if not len(doc):
-        return doc, start, end
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
+        return doc, tie, start, end
+    order = np.lexsort((start, tie, doc))
+    doc, tie, start, end = doc[order], tie[order], start[order], end[order]
     # Ends are made to grow across documents, so that one running maximum serves all.
-    group = np.cumsum(np.append(0, doc[1:] != doc[:-1]))
+    group = np.cumsum(np.append(0, (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])))
     span = int(end.max()) + 1
     reach = np.maximum.accumulate(end + group * span)
     new = np.ones(len(doc), dtype=bool)
     new[1:] = start[1:] + group[1:] * span > reach[:-1]
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(doc)) - 1
-    return doc[first], start[first], reach[last] - group[last] * span
+    return doc[first], tie[first], start[first], reach[last] - group[last] * span
+
+
+def _later(place: Columns, than: Columns) -> np.ndarray:
+    """Whether places (document, tie, start) come after others."""
+    (doc, tie, at), (than_doc, than_tie, than_at) = place, than
+    same = doc == than_doc
+    return (doc > than_doc) | same & (tie > than_tie) | same & (tie == than_tie) & (at > than_at)
 
 
-def _later(doc: np.ndarray, at: np.ndarray, than_doc: np.ndarray, than_at: np.ndarray) -> np.ndarray:
-    return (doc > than_doc) | (doc == than_doc) & (at > than_at)
+def _at(columns: Columns, rows: np.ndarray) -> Columns:
+    return tuple(x[rows] for x in columns)
+
+
+def _heads(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows: whether each is the first with its values, and where that first one is."""
+    head = np.ones(len(columns[0]), dtype=bool)
+    if len(head):
+        head[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return head, np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
 
 
 class Family:
-    """Sorted arrays of entries with distinct contexts, in sizes that fall geometrically; and the repeats found so far."""
+    """Suffix arrays with distinct runs, in sizes that fall geometrically; and the repeats found so far."""
 
     def __init__(self):
-        #: Of each level: context, anchor, document, first window, windows after it; sorted by context.
+        #: Of each level: suffix, anchor, run, document, tie, first window, windows after it; in the order of the suffixes.
         self.levels: list[Columns] = []
         self.marks: list[Columns] = []
 
     def __len__(self) -> int:
         return sum(len(x[0]) for x in self.levels)
 
-    def _mark(self, doc: np.ndarray, at: np.ndarray, more: np.ndarray) -> None:
-        self.marks.append(_merged(doc, at, at + more + MATCH))
-
-    def add(self, context: np.ndarray, anchor: np.ndarray, doc: np.ndarray, at: np.ndarray, more: np.ndarray) -> None:
-        order = np.lexsort((at, doc, context))
-        new = tuple(x[order] for x in (context, anchor, doc, at, more))
-        head = np.ones(len(order), dtype=bool)
-        head[1:] = new[0][1:] != new[0][:-1]
-        first = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
-        again = ~head & _later(new[2], new[3], new[2][first], new[3][first])
-        self._mark(*(x[again] for x in new[2:]))
-        new = tuple(x[head] for x in new)
+    def _mark(self, doc: np.ndarray, tie: np.ndarray, at: np.ndarray, more: np.ndarray) -> None:
+        self.marks.append(_merged(doc, tie, at, at + more + MATCH))
+
+    def add(self, *batch: np.ndarray) -> None:
+        """Columns as in a level, in any order."""
+        new = _at(batch, np.lexsort((batch[5], batch[4], batch[3], batch[0])))
+        head, first = _heads(new[0])
+        again = ~head & _later(new[3:6], _at(new[3:6], first))
+        self._mark(*_at(new[3:], again))
+        new = _at(new, head)
         for level in self.levels:
             place = np.minimum(np.searchsorted(level[0], new[0]), len(level[0]) - 1)
             known = level[0][place] == new[0]
             mine, theirs = np.flatnonzero(known), place[known]
-            later = _later(new[2][mine], new[3][mine], level[2][theirs], level[3][theirs])
-            self._mark(*(x[mine[later]] for x in new[2:]))
+            later = _later(_at(new[3:6], mine), _at(level[3:6], theirs))
+            self._mark(*_at(new[3:], mine[later]))
             # An earlier place takes over, and the one so far is a repeat.
             mine, theirs = mine[~later], theirs[~later]
-            moved = _later(level[2][theirs], level[3][theirs], new[2][mine], new[3][mine])
+            moved = _later(_at(level[3:6], theirs), _at(new[3:6], mine))
             mine, theirs = mine[moved], theirs[moved]
-            self._mark(*(x[theirs] for x in level[2:]))
-            for k in (2, 3):
+            self._mark(*_at(level[3:], theirs))
+            for k in (3, 4, 5):
                 level[k][theirs] = new[k][mine]
-            new = tuple(x[~known] for x in new)
+            new = _at(new, ~known)
         if len(new[0]):
             self.levels.append(new)
         while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
@@ -150,36 +186,33 @@ class Family:
 
     def _merge(self) -> None:
         both = [np.concatenate(x) for x in zip(self.levels.pop(), self.levels.pop())]
-        order = np.argsort(both[0], kind="stable")
-        self.levels.append(tuple(x[order] for x in both))
+        self.levels.append(_at(both, np.argsort(both[0], kind="stable")))
 
     def hand_on(self) -> Iterator[pa.RecordBatch]:
-        """Rows (at, ctx, doc, meta) for the cluster's sort, and an empty family.
+        """Rows (at, ctx, doc, tie, meta) for the cluster's merge, and an empty family.
 
-        An anchor with several contexts here is a border for sure: its entries are sent by context, which spreads them,
+        An anchor with several runs here is a border for sure: its entries are sent by run, which spreads them,
         and one signal row by the anchor tells the other tasks.
         """
         while len(self.levels) > 1:
             self._merge()
         if self.levels:
+            suffix, *columns = self.levels.pop()
+            # Neighbours with a common prefix as long as an anchor have the same one: all the array's runs are distinct.
+            gram = suffix.view(np.uint8).reshape(-1, SUFFIX)[:, :GRAM]
+            near = (gram[1:] == gram[:-1]).all(axis=1)
+            border = np.append(near, False) | np.append(False, near)
             # By place: neighbours' rows are alike, and shuffle files small.
-            order = np.lexsort((self.levels[0][3], self.levels[0][2]))
-            context, anchor, doc, at, more = (x[order] for x in self.levels.pop())
-            order = np.argsort(anchor, kind="stable")
-            ranked = anchor[order]
-            twin = np.zeros(len(ranked), dtype=bool)
-            twin[1:] = ranked[1:] == ranked[:-1]
-            twin[:-1] |= ranked[1:] == ranked[:-1]
-            border = np.zeros(len(anchor), dtype=bool)
-            border[order] = twin
+            order = np.lexsort((columns[4], columns[3], columns[2]))
+            border, (anchor, context, doc, tie, at, more) = border[order], _at(columns, order)
             key = np.where(border, mix(context), anchor).view(np.int64)
-            yield from _dealt(_rows(key, context.view(np.int64), doc, at << 16 | more << 8 | np.where(border, _BORDER, _ENTRY)))
+            yield from _dealt(_rows(key, context.view(np.int64), doc, tie, at << 16 | more << 8 | np.where(border, _BORDER, _ENTRY)))
             signals = np.unique(anchor[border]).view(np.int64)
             same = lambda value: np.full(len(signals), value, dtype=np.int64)
-            yield _rows(signals, same(_LEAST), same(0), same(_SIGNAL))
+            yield _rows(signals, same(_LEAST), same(0), same(0), same(_SIGNAL))
         if self.marks:
-            doc, start, end = _merged(*(np.concatenate(x) for x in zip(*self.marks)))
-            yield from _dealt(_rows(mix(doc.view(U64)).view(np.int64), end, doc, start << 16 | _MARK))
+            doc, tie, start, end = _merged(*(np.concatenate(x) for x in zip(*self.marks)))
+            yield from _dealt(_rows(mix(doc.view(U64) ^ tie.view(U64)).view(np.int64), end, doc, tie, start << 16 | _MARK))
         self.__init__()
 
 
@@ -189,67 +222,72 @@ def _dealt(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(*columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["at", "ctx", "doc", "meta"])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["at", "ctx", "doc", "tie", "meta"])
 
 
-def _ranges(doc: np.ndarray, a: np.ndarray, b: np.ndarray, border: bool) -> pa.RecordBatch:
+def _ranges(doc: np.ndarray, tie: np.ndarray, a: np.ndarray, b: np.ndarray, border: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(np.full(len(doc), border))],
-        ["doc", "a", "b", "border"],
+        [pa.array(doc), pa.array(tie), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(np.full(len(doc), border))],
+        ["doc", "tie", "a", "b", "border"],
     )
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     family = Family()
     for batch in batches:
-        ids = batch.column(0).to_numpy()
-        for part, row, offset in _segments(batch.column(1)):
-            anchor, context, text, at, more = entries(part)
+        ids, ties = (batch.column(k).to_numpy() for k in (0, 1))
+        for part, row, offset in _segments(batch.column(2)):
+            suffix, anchor, context, text, at, more = entries(part)
             if len(anchor):
-                family.add(context, anchor, ids[row + text], at + offset, more)
+                family.add(suffix, anchor, context, ids[row + text], ties[row + text], at + offset, more)
             if len(family) > FAMILY:
                 yield from family.hand_on()
     yield from family.hand_on()
 
 
 def _merge_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeats and border runs from rows sorted by (at, ctx, doc, meta). Only the last context's first row is kept."""
+    """Repeats and border runs from rows sorted by (at, ctx, doc, tie, meta). Only the last run's first row is kept."""
     kept, several, sent = None, False, False
     for batch in batches:
-        at, ctx, doc, meta = (c.to_numpy() for c in batch.columns)
-        mark = meta & 0xFF == _MARK
+        rows = tuple(c.to_numpy() for c in batch.columns)
+        mark = rows[4] & 0xFF == _MARK
         if mark.any():
-            yield _ranges(doc[mark], meta[mark] >> 16, ctx[mark], False)
-            at, ctx, doc, meta = (x[~mark] for x in (at, ctx, doc, meta))
-        if not len(at):
+            _, end, doc, tie, meta = _at(rows, mark)
+            yield _ranges(doc, tie, meta >> 16, end, False)
+            rows = _at(rows, ~mark)
+        if not len(rows[0]):
             continue
         if kept is not None:
-            at, ctx, doc, meta = (np.insert(x, 0, k) for x, k in zip((at, ctx, doc, meta), kept))
+            rows = tuple(np.insert(x, 0, k) for x, k in zip(rows, kept))
+        at, ctx, doc, tie, meta = rows
         kind, more, first_window = meta & 0xFF, meta >> 8 & 0xFF, meta >> 16
-        new_at = np.append(True, at[1:] != at[:-1])
-        head = new_at | np.append(True, ctx[1:] != ctx[:-1])
-        first = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-        again = ~head & (kind != _SIGNAL) & _later(doc, first_window, doc[first], first_window[first])
-        yield _ranges(doc[again], first_window[again], (first_window + more + MATCH)[again], False)
+        head, first = _heads(at, ctx)
+        place = (doc, tie, first_window)
+        again = ~head & (kind != _SIGNAL) & _later(place, _at(place, first))
+        yield _ranges(*_at(place, again), (first_window + more + MATCH)[again], False)
+        new_at, _ = _heads(at)
         group = np.cumsum(new_at) - 1
         contexts = np.bincount(group, head)
         contexts[0] += several
         border = head & (kind != _SIGNAL) & ((contexts[group] > 1) | (kind == _BORDER))
         border[0] &= not sent
-        yield _ranges(doc[border], first_window[border], (first_window + more)[border], True)
+        yield _ranges(*_at(place, border), (first_window + more)[border], True)
         k = first[-1]
-        kept, several = (at[k], ctx[k], doc[k], meta[k]), bool(contexts[group[k]] > 1)
+        kept, several = tuple(x[k] for x in rows), bool(contexts[group[k]] > 1)
         sent = several or kind[k] == _BORDER
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(w, doc, p, e): hashes of border windows, each once per batch at its first place (e = 0), and ranges of repeats."""
+    """(w, doc, tie, p, e): hashes of border windows, each once per batch at its first place (e = 0), and ranges of repeats.
+
+    Batches are (doc, tie, text, runs).
+    """
     for batch in batches:
-        ids, lists = batch.column(0).to_numpy().astype(np.int64), batch.column(2)
+        ids, ties, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
         offsets, flat = np.asarray(lists.offsets), lists.values
         low, high = (flat.field(k).to_numpy().astype(np.int64) for k in (0, 1))
         found = []
-        for part in slices(batch.column(1)):
+        for part in slices(batch.column(2)):
             sums = part.prefix_hash()
             a, b = offsets[part.row], offsets[part.row + len(part)]
             text = np.repeat(np.arange(len(part)), np.diff(offsets[part.row : part.row + len(part) + 1]))
@@ -257,89 +295,115 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low[a:b], n)
             text = np.repeat(text, n)
             start = p + part.bounds[text]
-            inside = start + MATCH <= part.bounds[text + 1]  # a repeated id may have a shorter text
-            p, text, start = p[inside], text[inside], start[inside]
-            found.append((part.hashes(sums, start, start + MATCH).view(np.int64), ids[part.row + text], p))
+            found.append((part.hashes(sums, start, start + MATCH).view(np.int64), ids[part.row + text], ties[part.row + text], p))
         if not found:
             continue
-        w, doc, p = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((p, doc, w))
-        w, doc, p = w[order], doc[order], p[order]
-        head = np.append(True, w[1:] != w[:-1])[: len(w)]
-        first = np.maximum.accumulate(np.where(head, np.arange(len(w)), 0))
-        again = ~head & _later(doc, p, doc[first], p[first])
+        w, *place = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((*reversed(place), w))
+        w, place = w[order], _at(place, order)
+        head, first = _heads(w)
+        again = ~head & _later(place, _at(place, first))
         by_place = np.flatnonzero(head)[np.argsort(order[head])]
-        yield from _dealt(_window_rows(w[by_place], doc[by_place], p[by_place], np.zeros(len(by_place), np.int64)))
-        doc, start, end = _merged(doc[again], p[again], p[again] + MATCH)
-        yield _window_rows(mix(doc.view(U64)).view(np.int64), doc, start, end)
+        yield from _dealt(_window_rows(w[by_place], *_at(place, by_place), np.zeros(len(by_place), np.int64)))
+        doc, tie, start, end = _merged(*_at(place, again), place[2][again] + MATCH)
+        yield _window_rows(mix(doc.view(U64) ^ tie.view(U64)).view(np.int64), doc, tie, start, end)
 
 
-def _window_rows(w: np.ndarray, doc: np.ndarray, p: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(w), pa.array(doc), pa.array(p.astype(np.int32)), pa.array(e.astype(np.int32))], ["w", "doc", "p", "e"]
-    )
+def _window_rows(w: np.ndarray, doc: np.ndarray, tie: np.ndarray, p: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(w), pa.array(doc), pa.array(tie), pa.array(p.astype(np.int32)), pa.array(e.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, ["w", "doc", "tie", "p", "e"])
 
 
 def _window_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeats from rows sorted by (w, doc, p)."""
+    """Repeats from rows sorted by (w, doc, tie, p)."""
     kept = None
     for batch in batches:
-        w, doc, p, e = (c.to_numpy() for c in batch.columns)
-        mark = e > 0
-        yield _ranges(doc[mark], p[mark], e[mark], False)
-        w, doc, p = w[~mark], doc[~mark], p[~mark]
-        if not len(w):
+        rows = tuple(c.to_numpy() for c in batch.columns)
+        mark = rows[4] > 0
+        yield _ranges(*_at(rows[1:], mark), False)
+        rows = _at(rows[:4], ~mark)
+        if not len(rows[0]):
             continue
         if kept is not None:
-            w, doc, p = (np.insert(x, 0, k) for x, k in zip((w, doc, p), kept))
-        head = np.append(True, w[1:] != w[:-1])
-        first = np.maximum.accumulate(np.where(head, np.arange(len(w)), 0))
-        again = ~head & _later(doc, p, doc[first], p[first])
-        yield _ranges(*_merged(doc[again], p[again].astype(np.int64), p[again].astype(np.int64) + MATCH), False)
-        k = first[-1]
-        kept = w[k], doc[k], p[k]
+            rows = tuple(np.insert(x, 0, k) for x, k in zip(rows, kept))
+        w, *place = rows
+        head, first = _heads(w)
+        again = ~head & _later(place, _at(place, first))
+        start = place[2][again].astype(np.int64)
+        yield _ranges(*_merged(place[0][again], place[1][again], start, start + MATCH), False)
+        kept = tuple(x[first[-1]] for x in rows)
+
+
+_FOUND = "doc bigint, tie bigint, a int, b int, border boolean"
 
 
-_FOUND = "doc bigint, a int, b int, border boolean"
+def _fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Those names, made longer until docs has no column of them."""
+    taken = {c.lower() for c in docs.columns}
+    return [next(n for k in range(len(taken) + 1) if (n := name + "_" * k) not in taken) for name in names]
 
 
-def _named(docs: DataFrame, id_col: str, found: DataFrame, ranges: str) -> DataFrame:
-    """docs, all columns, with each document's ranges (null without any) as the last one, under a name of its own."""
-    name = "_ranges"
-    while name in docs.columns:
-        name += "_"
-    joined = docs.join(found.hint("shuffle_hash"), docs[id_col] == found["doc"], "left")
-    return joined.select(*(docs[c] for c in docs.columns), found[ranges].alias(name))
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, document and tie, that name a row's document; and their names.
+
+    The tie is 0 but for rows with a null id and ids that come several times; a map of such ids of fixed size tells these (an id
+    that it takes for one of them just gets a tie, too).
+    """
+    doc, tie, word, bits = _fresh(docs, "_doc", "_tie", "_word", "_bits")
+    h = F.xxhash64(F.col(id_col).cast("bigint"))
+    place = F.shiftrightunsigned(h, 64 - _MAP_BITS)
+    twice = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(place.alias("place"))
+    bit = lambda p: F.expr(f"shiftleft(1L, cast({p} & 63 as int))")
+    words = twice.groupBy(F.shiftright("place", 6).alias(word)).agg(F.bit_or(bit("place")).alias(bits))
+    words = materialise(words, "shared-ids")  # at most 2**(_MAP_BITS - 6) rows
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    looked_up = docs.withColumn(tie, place).join(F.broadcast(words), F.shiftright(F.col(tie), 6) == F.col(word), "left")
+    shared = F.col(id_col).isNull() | (F.expr(f"shiftrightunsigned(coalesce(`{bits}`, 0L), cast(`{tie}` & 63 as int)) & 1") == 1)
+    return looked_up.select(
+        *(docs[c] for c in docs.columns), F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LEAST)).alias(doc),
+        F.when(shared, text_hash).otherwise(F.lit(0)).alias(tie),
+    ), doc, tie
+
+
+def _with_list(docs: DataFrame, key: tuple[str, str], found: DataFrame, name: str) -> DataFrame:
+    """docs, and each document's list of ranges (null without any) as the last column.
+
+    Lists are a small part of their documents' bytes, and their side of the join is the one that is built.
+    """
+    d, t = key
+    lists = found.groupBy("doc", "tie").agg(F.collect_list(F.struct("a", "b")).alias(name)).hint("shuffle_hash")
+    return docs.join(lists, (docs[d] == lists["doc"]) & (docs[t] == lists["tie"]), "left").select(*(docs[c] for c in docs.columns), lists[name])
 
 
 def with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, and as the last one the byte ranges [a, b) of each text that are to go; ranges may overlap.
 
-    Rows with a null id are neither indexed nor cut; null texts are empty. Rows that share an id are taken as one document:
-    they don't repeat each other. Texts are shuffled once: both joins read the same exchange, which is why the first
-    keeps all rows and columns.
+    Ids are integers. Null ids come before all others. Rows of one id, or without one, are different documents if their texts
+    differ, in the order of the texts' hashes; with the same text they are one document, given several times. Null
+    texts are empty. Columns of any names are kept, and an empty table gives no rows. A text of any length is handled in
+    parts. Texts are shuffled once: both joins read the same exchange, which is why the first keeps all rows and columns.
     """
     n = partitions(docs.sparkSession)
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
-    left_over = texts.mapInArrow(_index, "at bigint, ctx bigint, doc bigint, meta bigint")
+    keyed, doc, tie = _keyed(docs, id_col, text_col)
+    texts = keyed.select(doc, tie, F.col(text_col))
+    left_over = texts.mapInArrow(_index, "at bigint, ctx bigint, doc bigint, tie bigint, meta bigint")
     found = materialise(
-        left_over.repartition(n, "at").sortWithinPartitions("at", "ctx", "doc", "meta").mapInArrow(_merge_scan, _FOUND), "repeats"
+        left_over.repartition(n, "at").sortWithinPartitions("at", "ctx", "doc", "tie", "meta").mapInArrow(_merge_scan, _FOUND), "repeats"
     )
-    dealt = docs.repartition(n, id_col)
-    pair = F.struct("a", "b")
-    borders = found.where("border").groupBy("doc").agg(F.collect_list(pair).alias("runs"))
-    places = [docs.columns.index(c) for c in (id_col, text_col)]
+    dealt = keyed.repartition(n, doc, tie)
+    (name,) = _fresh(keyed, "_ranges")
+    places = [dealt.columns.index(c) for c in (doc, tie, text_col)]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             some = batch.filter(batch.column(batch.num_columns - 1).is_valid())
             columns = [some.column(k) for k in (*places, some.num_columns - 1)]
-            yield from _windows(iter([pa.RecordBatch.from_arrays(columns, ["doc", "text", "runs"])]))
+            yield from _windows(iter([pa.RecordBatch.from_arrays(columns, ["doc", "tie", "text", "runs"])]))
 
-    windows = _named(dealt, id_col, borders, "runs").mapInArrow(hashed, "w bigint, doc bigint, p int, e int")
-    partly = windows.repartition(n, "w").sortWithinPartitions("w", "doc", "p").mapInArrow(_window_scan, _FOUND)
-    ranges = found.where("not border").union(partly).groupBy("doc").agg(F.collect_list(pair).alias("ranges"))
-    return _named(dealt, id_col, ranges, "ranges")
+    windows = _with_list(dealt, (doc, tie), found.where("border"), name).mapInArrow(hashed, "w bigint, doc bigint, tie bigint, p int, e int")
+    partly = windows.repartition(n, "w").sortWithinPartitions("w", "doc", "tie", "p").mapInArrow(_window_scan, _FOUND)
+    everything = _with_list(dealt, (doc, tie), found.where("not border").union(partly), name)
+    return everything.select(*(everything[c] for c in docs.columns), everything[name])
 
 
 def _kept(part: Texts, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -358,7 +422,10 @@ def _kept(part: Texts, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def remaining(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes).
+
+    Null ids and texts, repeated rows and ids, long texts and empty tables: as in `with_repeats`. Other columns are ignored.
+    """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -380,7 +447,8 @@ def remaining(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all rows and columns, with texts that have lost their repeated bytes.
 
-    Characters of which a part went go whole. Texts without repeats, nulls among them, stay as they are.
+    Characters of which a part went go whole. Texts without repeats, nulls among them, stay as they are. Null ids,
+    repeated rows and ids, long texts, columns of any names and empty tables: as in `with_repeats`.
     """
     place = docs.columns.index(text_col)
 
