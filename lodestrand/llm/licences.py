@@ -25,7 +25,7 @@ from .texts import ALNUM, U64, Texts, slices, text_hash
 #: Phrases that count by themselves, with their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Label and wording of licence notices and of the openings of licence texts.
+#: Label and wording of licence notices, of openings of licence texts, and of whole short ones.
 TEMPLATES = (
     ("mit", "released under the mit license"),
     ("mit", "licensed under the mit license"),
@@ -42,6 +42,10 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("bsd-2-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("warranty", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
 )
 
@@ -55,8 +59,8 @@ class SuffixAutomaton:
     def __init__(self, texts: list[list[int]]):
         self.step: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        #: Of each state: template -> a place where its runs end (words before it, inclusive).
-        self.ends: list[dict[int, int]] = [{}]
+        #: Of each state: template -> the places where its runs end (words before them, inclusive).
+        self.ends: list[dict[int, list[int]]] = [{}]
         finals = []
         for t, words in enumerate(texts):
             last = 0
@@ -64,8 +68,8 @@ class SuffixAutomaton:
                 last = self._extend(last, w)
                 finals.append((last, t, k + 1))
         for state, t, k in finals:
-            while state > 0 and t not in self.ends[state]:
-                self.ends[state][t] = k
+            while state > 0:
+                self.ends[state].setdefault(t, []).append(k)
                 state = self.link[state]
 
     def _state(self, length: int, link: int, step: dict[int, int]) -> int:
@@ -129,6 +133,13 @@ class Scanner:
         self.here: list[list[tuple[int, int]]] = [[] for _ in a.link]
         for state in sorted(range(1, len(a.link)), key=a.length.__getitem__):
             self.here[state] = [*self.here[a.link[state]], *own.get(state, [])]
+        #: Words in a match that counts for chains, by template.
+        self.least = [min(LONG, n) for n in self.sizes]
+        #: Of each state: (template, longest run, its places) for templates with a long run that ends wherever it is reached.
+        self.long: list[list[tuple[int, int, list[int]]]] = [[] for _ in a.link]
+        for state in sorted(range(1, len(a.link)), key=a.length.__getitem__):
+            mine = [(t, a.length[state], x) for t, x in a.ends[state].items() if t >= self.phrases and a.length[state] >= self.least[t]]
+            self.long[state] = mine + [x for x in self.long[a.link[state]] if x[0] not in a.ends[state]]
 
     def words(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """The vocabulary number (or -1) and the text of each word."""
@@ -142,42 +153,54 @@ class Scanner:
         out[some[right]] = self.numbers[at[right]]
         return out, owner
 
-    def stream(self, words: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
-        """Of one stretch: (phrase, start) of all phrases, and (state, start, length) of the maximal matches."""
+    def stream(self, words: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, list[int]]]]:
+        """Of one stretch: (phrase, start) of all phrases, and (template, start, length, places of its end) of its long matches.
+
+        Each template has matching statistics of its own, so one that lies within a longer match of another is not hidden.
+        A match is given where it can't go on.
+        """
         a, state, length = self.automaton, 0, 0
         phrases, matches = [], []
+        now: dict[int, tuple[int, list[int]]] = {}
         for k, w in enumerate([*words, -1]):
-            was, was_length = state, length
             while state and w not in a.step[state]:
                 state = a.link[state]
                 length = a.length[state]
             if w in a.step[state]:
                 state, length = a.step[state][w], length + 1
-            if length <= was_length and was_length:
-                matches.append((was, k - was_length, was_length))
+            then = {t: (min(length, most), places) for t, most, places in self.long[state] if min(length, most) >= self.least[t]}
+            for t, (n, places) in now.items():
+                if t not in then or then[t][0] != n + 1:
+                    matches.append((t, k - n, n, places))
+            now = then
             phrases += [(p, k - n + 1) for p, n in self.here[state] if length >= n] if w >= 0 else []
         return phrases, matches
 
-    def chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """(template, first word, end, share) of the best chain of each template, from maximal matches in text order."""
-        ends = self.automaton.ends
-        best: dict[int, tuple[int, int, float]] = {}
-        open_: dict[int, tuple[int, int, int, int]] = {}  # template: first word, end in text, end in template, covered
-        for state, start, length in matches:
-            for t, there in ends[state].items():
-                if t < self.phrases or length < min(LONG, self.sizes[t]):
-                    continue
-                chain = open_.get(t)
-                if chain and 0 < start + length - chain[1] and start - chain[1] <= GAP and there > chain[2]:
-                    gain = min(length, there - chain[2], start + length - chain[1])
-                    chain = (chain[0], start + length, there, chain[3] + gain)
-                else:
-                    chain = (start, start + length, there, length)
-                open_[t] = chain
-                share = chain[3] / self.sizes[t]
-                if share > best.get(t, (0, 0, 0.0))[2]:
-                    best[t] = (chain[0], chain[1], share)
-        return [(t, *x) for t, x in best.items()]
+    def chains(self, matches: list[tuple[int, int, int, list[int]]]) -> list[tuple[int, int, int, float]]:
+        """(template, first word, end, share) of the best chain of each template, from matches in text order.
+
+        A chain's matches follow each other in the text, with at most GAP words between, and in the template. It covers
+        the words of its first match and, of each further one, those that are new in the text and in the template.
+        """
+        of: dict[int, list[tuple[int, int, int]]] = {}  # template: start, end, place in the template
+        for t, start, length, places in matches:
+            of.setdefault(t, []).extend((start, start + length, k) for k in places)
+        return [(t, *self._best_chain(found, self.sizes[t])) for t, found in of.items()]
+
+    @staticmethod
+    def _best_chain(found: list[tuple[int, int, int]], size: int) -> tuple[int, int, float]:
+        covers: list[tuple[int, int]] = []  # of the best chain that ends with each match: words covered, minus its first word
+        for k, (start, end, place) in enumerate(found):
+            best = end - start, -start
+            for j in range(k - 1, -1, -1):
+                _, before, at = found[j]
+                if before < start - GAP:  # ends ascend
+                    break
+                if before < end and at < place:
+                    best = max(best, (covers[j][0] + min(end - start, place - at, end - before), covers[j][1]))
+            covers.append(best)
+        covered, first, end = max((c, f, -found[k][1]) for k, (c, f) in enumerate(covers))
+        return -first, -end, covered / size
 
     def scan(self, texts: Texts) -> list[dict]:
         """Of each text: n_words, phrase places, and template spans."""
@@ -196,7 +219,7 @@ class Scanner:
                 phrases, matches = self.stream(words[a:b].tolist())
                 base = a - int(first[text])
                 out[text]["places"] += [(p, base + s) for p, s in phrases]
-                out[text]["matches"] += [(s, base + k, n) for s, k, n in matches]
+                out[text]["matches"] += [(t, base + k, n, places) for t, k, n, places in matches]
         for row in out:
             row["spans"] = self.chains(row.pop("matches"))
         return out
@@ -216,7 +239,8 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, id_col: str = "d
     Words are runs of ASCII letters and digits and of other characters beyond ASCII, A-Z lower-cased. Places of phrases
     count wherever they stand, even when they overlap; first_word and last_word are the smallest and largest start, null
     without any. `labels` adds those of templates of which a chain covers SHARE; score is the largest share of any
-    template, or 1 where a phrase stands. A null text is an empty one. Repeated rows each give a row; other columns are ignored.
+    template, or 1 where a phrase stands. A null text is an empty one. Repeated rows and null ids each give a row; other columns
+    are ignored; an empty table gives no rows. Texts of any length are read whole, in slices of whole texts.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 
