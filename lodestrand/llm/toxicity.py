@@ -94,7 +94,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model from labelled documents outside the held-out fold.
 
     `labels` has (label_id, toxic). Labels of one document that differ count as toxic; null labels and ids don't count.
-    The sample's ids and labels are broadcast (at most `sample` rows), so no text is shuffled but the sample's.
+    The sample's ids and labels are broadcast (at most `sample` rows), so no text is shuffled but the sample's. Of rows
+    that share an id one is taken, whatever their number; null texts are empty; long texts are read whole. Empty tables
+    give a model that scores everything 0.5. Other columns are ignored.
     """
     chosen = (
         labels.where(F.col("toxic").isNotNull() & F.col(label_id).isNotNull() & ~held_out(F.col(label_id)))
@@ -104,12 +106,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(2)):
+            for part in slices(batch.column(3)):
                 feature, owner = features(part)
                 keys = np.unique(owner << BITS | feature)
                 parts = np.split((keys & (1 << BITS) - 1).astype("<u4"), np.searchsorted(keys >> BITS, np.arange(1, len(part))))
-                rows = [c.slice(part.row, len(part)) for c in batch.columns[:2]]
-                yield pa.RecordBatch.from_arrays([*rows, pa.array([p.tobytes() for p in parts], pa.binary())], ["place", "toxic", "features"])
+                rows = [c.slice(part.row, len(part)) for c in batch.columns[:3]]
+                yield pa.RecordBatch.from_arrays([*rows, pa.array([p.tobytes() for p in parts], pa.binary())], ["_id", "place", "toxic", "features"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples, toxic = [], []
@@ -125,10 +127,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     examples = (
         texts.join(F.broadcast(chosen), "_id")
-        .select(F.xxhash64("_id", "text").alias("place"), F.col("_toxic").cast("int").alias("toxic"), "text")
-        .mapInArrow(look, "place bigint, toxic int, features binary")
+        .select("_id", F.xxhash64("_id", "text").alias("place"), F.col("_toxic").cast("int").alias("toxic"), "text")
     )
-    # The sample's bound makes this one task's memory bounded.
+    # An id's rows are one example, the one with the least hash: so no more than the sample's rows reach the one task.
+    id_type = docs.schema[id_col].dataType.simpleString()
+    examples = examples.mapInArrow(look, f"_id {id_type}, place bigint, toxic int, features binary")
+    examples = examples.groupBy("_id").agg(F.min(F.struct("place", "toxic", "features")).alias("x")).select("x.*")
     row = examples.repartition(1).sortWithinPartitions("place", "toxic").mapInArrow(learn, "at binary, weight binary, bias double").first()
     if row is None:
         return train([], [])
@@ -136,9 +140,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every column of docs that fits, as (doc_id, score): the chance in 0..1 that the whole text is toxic.
+    """(doc_id, score) of each row of docs: the chance in 0..1 that the whole text is toxic.
 
-    Null and empty texts have no features and get the score of the bias. Repeated rows and null ids each get a score.
+    Null and empty texts have no features and get the score of the bias. Repeated rows and null ids each get a score. Texts of
+    any length are read whole. An empty table gives no rows. Other columns are ignored.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -153,7 +158,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, whose text scores below the threshold."""
+    """The rows of docs, all columns, whose text scores below the threshold.
+
+    Null and empty texts score the bias, so they stay unless that reaches the threshold. Repeated rows and null ids are judged by
+    their text alone. Columns of any names are kept. An empty table gives no rows.
+    """
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

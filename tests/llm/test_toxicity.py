@@ -1,3 +1,5 @@
+import math
+import random
 import zlib
 
 import numpy as np
@@ -49,3 +51,53 @@ def test_features_are_words_pairs_and_skips():
 
     one, two, three, cased = of("a b c", "a x c", "a b", "A, B! c")
     assert len(one) == 6 and one == cased and len(one & two) == 3 and three < one
+
+
+def plain_ftrl(examples, labels):
+    """FTRL-proximal, one coordinate at a time."""
+    z, n, bias, bias_n = {}, {}, 0.0, 0.0
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= X.L1:
+            return 0.0
+        return -(z[i] - math.copysign(X.L1, z[i])) / ((X.BETA + math.sqrt(n[i])) / X.ALPHA + X.L2)
+
+    for _ in range(X.EPOCHS):
+        for x, y in zip(examples, labels):
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-max(-50, min(50, sum(w.values()) + bias))))
+            g = p - y
+            for i in x:
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / X.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+            bias_n += g * g
+            bias -= X.ALPHA / (X.BETA + math.sqrt(bias_n)) * g
+    return {i: weight(i) for i in z if weight(i)}, bias
+
+
+def test_training_is_plain_ftrl(monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(X, "L1", 0.3)
+    monkeypatch.setattr(X, "ALPHA", 0.5)
+    examples = [sorted(rng.sample(range(300), 25)) for _ in range(200)]
+    labels = [int(sum(i < 40 for i in x) > 3) for x in examples]
+    model = X.train([np.array(x, dtype="<u4") for x in examples], labels)
+    weights, bias = plain_ftrl(examples, labels)
+    assert set(model.at.tolist()) == set(weights) and 20 < len(weights) < 300
+    assert np.allclose(model.weight, [weights[i] for i in model.at.tolist()], atol=1e-3) and abs(model.bias - bias) < 1e-3
+
+
+def test_one_example_of_each_id(spark, words):
+    a, b, c = [i for i in range(30) if zlib.crc32(str(i).encode()) % 3 != 1][:3]
+    docs = spark.createDataFrame([(a, words(20, k)) for k in range(50)] + [(b, words(20, 99))] * 30 + [(c, words(20, 98))], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id bigint, toxic int")
+    train, seen = X.train, []
+    found = X.fit(docs, labels)
+    rows = {i: [t for j, t in docs.collect() if j == i] for i in (a, b, c)}
+    place = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(doc_id, text) AS h").collect()}
+    for i, texts in rows.items():
+        text = min(texts, key=place.__getitem__)
+        seen.append((place[text], i % 2, np.unique(X.features(next(slices(pa.array([text]))))[0]).astype("<u4")))
+    want = train([x for *_, x in sorted(seen, key=lambda x: x[:2])], [t for _, t, _ in sorted(seen, key=lambda x: x[:2])])
+    assert len(seen) == 3 and found.bias == want.bias and np.array_equal(found.weight, want.weight)
