@@ -22,7 +22,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     """One row per document: doc_id, size, text_crc32, shard, slot, first_byte.
 
     Size is the text's UTF-8 bytes plus 1; a null text counts as empty. Null ids sort first; rows that tie in
-    id are ordered by checksum and size, so repeated rows are interchangeable. Other columns are ignored. An
+    id are ordered by checksum and size, repeated rows by where they were read, so that many of them don't fall into one
+    range. Texts of any length count whole. Other columns are ignored. An
     empty table gives no rows. The text is read once; everything later works on three numbers per document.
     """
     sized = materialise(
@@ -30,10 +31,11 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
             F.col(id_col).alias("doc_id"),
             (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"),
             F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
+            F.monotonically_increasing_id().alias("tie"),
         ),
         "shard-sizes",
     )
-    order = ["doc_id", "text_crc32", "size"]
+    order = ["doc_id", "text_crc32", "size", "tie"]
     ranged = materialise(
         sized.repartitionByRange(RANGES * partitions(docs.sparkSession), *order).withColumn(
             "range", F.spark_partition_id()
