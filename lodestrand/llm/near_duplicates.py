@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialise, materialise_joined
@@ -33,6 +33,8 @@ BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
 #: Expected points per register within the first time limit.
 _REACH = 8.0
+#: Nodes at most whose edges are joined by a broadcast.
+HUBS = 2000
 #: Bits of the fixed-size map of wanted documents that goes to every task.
 _MAP_BITS = 24
 #: Bits of a bag's own map, in 64-bit words; see _stranger_links.
@@ -206,6 +208,24 @@ def _similarities(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, f"a {id_type}, b {id_type}, similarity double")
 
 
+def _under_least(edges: DataFrame, least: Column, which: Column, also: Column | None = None) -> DataFrame:
+    """(b, m) of the chosen edges (a, b), with m from a's least b; and, with `also`, (that, m) of each a.
+
+    A node with more than a 1/HUBS of all edges is a hub. There are fewer than HUBS, so hubs and their least neighbours are
+    broadcast, and their edges stay where they lie; the others are joined by shuffles that no node can make uneven.
+    """
+    ends = materialise_joined(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "star-least")
+    ends = ends.select("a", least.alias("m"), "n")
+    limit = ends.agg(F.sum("n")).first()[0] / HUBS
+    hubs = F.broadcast(ends.where(F.col("n") > limit).select("a", F.col("m").alias("hub")))
+    chosen = edges.where(which).join(hubs, "a", "left")
+    far = chosen.where("hub IS NULL").select("a", "b").join(ends.where(F.col("n") <= limit).select("a", "m"), "a").select("b", "m")
+    out = chosen.where("hub IS NOT NULL").select("b", "hub").union(far)
+    if also is not None:
+        out = out.union(ends.select(also, "m"))
+    return out.toDF("a", "b")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes in edges (a, b); the label is the component's smallest node.
 
@@ -216,15 +236,11 @@ def components(edges: DataFrame) -> DataFrame:
         return e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     edges = materialise_joined(down(edges), "star")
-    while True:
+    while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = down(large)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = materialise_joined(down(small.union(least.select("a", F.col("m").alias("b")))), "star")
-        edges = after
+        large = materialise_joined(down(_under_least(both, F.least("a", "m"), F.col("b") > F.col("a"))), "star")
+        # Each node stays under its least neighbour, and the others go there, too.
+        edges = materialise_joined(down(_under_least(large, F.col("m"), F.lit(True), F.col("a"))), "star")
         # Done when each node hangs under one node, which itself hangs under none.
         ups = edges.groupBy("a").agg(F.count("*").alias("n"))
         if ups.where("n > 1").isEmpty() and edges.join(ups.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
