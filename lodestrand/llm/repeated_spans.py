@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .keys import fresh, with_shared
 from .store import materialise, partitions
 from .texts import SLICE_BYTES, U64, Texts, _powers, mix, slices
 
@@ -41,8 +42,6 @@ AFTER, BEFORE = MATCH, CHOICES - 1
 SUFFIX = AFTER + BEFORE + 2
 #: Entries of a task's family at most; a fuller one is handed on and a new one begun.
 FAMILY = 250_000
-#: Bits of the fixed-size map of ids that come several times.
-_MAP_BITS = 24
 #: Rows that a task hands to Spark at once.
 BATCH_ROWS = 1 << 16
 _ENTRY, _BORDER, _SIGNAL, _MARK = range(4)
@@ -337,31 +336,17 @@ def _window_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _FOUND = "doc bigint, tie bigint, a int, b int, border boolean"
 
 
-def _fresh(docs: DataFrame, *names: str) -> list[str]:
-    """Those names, made longer until docs has no column of them."""
-    taken = {c.lower() for c in docs.columns}
-    return [next(n for k in range(len(taken) + 1) if (n := name + "_" * k) not in taken) for name in names]
-
-
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, str]:
     """docs with two more columns, document and tie, that name a row's document; and their names.
 
-    The tie is 0 but for rows with a null id and ids that come several times; a map of such ids of fixed size tells these (an id
-    that it takes for one of them just gets a tie, too).
+    The tie is 0 but for rows with a null id and ids that come several times.
     """
-    doc, tie, word, bits = _fresh(docs, "_doc", "_tie", "_word", "_bits")
-    h = F.xxhash64(F.col(id_col).cast("bigint"))
-    place = F.shiftrightunsigned(h, 64 - _MAP_BITS)
-    twice = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(place.alias("place"))
-    bit = lambda p: F.expr(f"shiftleft(1L, cast({p} & 63 as int))")
-    words = twice.groupBy(F.shiftright("place", 6).alias(word)).agg(F.bit_or(bit("place")).alias(bits))
-    words = materialise(words, "shared-ids")  # at most 2**(_MAP_BITS - 6) rows
+    marked, shared = with_shared(docs, id_col)
+    doc, tie = fresh(marked, "_doc", "_tie")
     text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    looked_up = docs.withColumn(tie, place).join(F.broadcast(words), F.shiftright(F.col(tie), 6) == F.col(word), "left")
-    shared = F.col(id_col).isNull() | (F.expr(f"shiftrightunsigned(coalesce(`{bits}`, 0L), cast(`{tie}` & 63 as int)) & 1") == 1)
-    return looked_up.select(
-        *(docs[c] for c in docs.columns), F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LEAST)).alias(doc),
-        F.when(shared, text_hash).otherwise(F.lit(0)).alias(tie),
+    return marked.select(
+        *(marked[c] for c in docs.columns), F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LEAST)).alias(doc),
+        F.when(F.col(shared), text_hash).otherwise(F.lit(0)).alias(tie),
     ), doc, tie
 
 
@@ -391,7 +376,7 @@ def with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         left_over.repartition(n, "at").sortWithinPartitions("at", "ctx", "doc", "tie", "meta").mapInArrow(_merge_scan, _FOUND), "repeats"
     )
     dealt = keyed.repartition(n, doc, tie)
-    (name,) = _fresh(keyed, "_ranges")
+    (name,) = fresh(keyed, "_ranges")
     places = [dealt.columns.index(c) for c in (doc, tie, text_col)]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

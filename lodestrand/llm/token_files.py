@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .keys import with_shared
 from .store import materialise, partitions
 from .texts import slices
 from .tokens import TEXT_BYTES, encoder
@@ -53,84 +54,115 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def _tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_type: str) -> DataFrame:
-    """Blocks of plain ids: (part, block, first, doc_ids, counts, ids), in the order of the input's partitions."""
+    """(doc_id, tie, width, ids) of (doc_id, text, tie): ids are little-endian integers of `width` bytes, 2 for small vocabularies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, part, block, first = encoder(tokenizer, added=True), TaskContext.get().partitionId(), 0, 0
-        keys, counts, ids = [], [], []
-
-        def flush():
-            nonlocal block, first, keys, counts, ids
-            every = np.concatenate(ids)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()),
-                 pa.ListArray.from_arrays(pa.array([0, sum(map(len, keys))], pa.int32()), pa.concat_arrays(keys)),
-                 pa.ListArray.from_arrays(pa.array([0, sum(map(len, counts))], pa.int32()), pa.array(np.concatenate(counts))),
-                 pa.array([every.astype("<u4").tobytes()], pa.binary())],
-                ["part", "block", "first", "doc_ids", "counts", "ids"],
-            )
-            block, first, keys, counts, ids = block + 1, first + len(every), [], [], []
-            return out
-
+        tok = encoder(tokenizer, added=True)
+        width = 2 if max(len(tok.marks), end_id + 1) <= 1 << 16 else 4
         for batch in batches:
             for piece in slices(batch.column(1), TEXT_BYTES):
                 rows = batch.column(1).slice(piece.row, len(piece)).to_pylist()
                 found, n = tok.encode([t or "" for t in rows])
-                keys.append(batch.column(0).slice(piece.row, len(piece)))
-                counts.append(n + 1)
-                ids.append(np.insert(found, np.cumsum(n), end_id))
-                if sum(map(len, ids)) >= BLOCK_IDS:
-                    yield flush()
-        if ids:
-            yield flush()
+                ids = np.insert(found, np.cumsum(n), end_id).astype(f"<u{width}")
+                ends = np.append(0, np.cumsum(n + 1) * width)
+                coded = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(k).slice(piece.row, len(piece)) for k in (0, 2)), pa.array(np.full(len(n), width, np.int32)), coded.cast(pa.binary())],
+                    ["doc_id", "tie", "width", "ids"],
+                )
 
-    return docs.mapInArrow(
-        run, f"part int, block int, first bigint, doc_ids array<{id_type}>, counts array<bigint>, ids binary"
-    )
+    return docs.mapInArrow(run, f"doc_id {id_type}, tie string, width int, ids binary")
+
+
+def _ids_of(batch: pa.RecordBatch, width: int, ids: int) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a batch one after another, and each row's number of them."""
+    if not len(batch):
+        return np.zeros(0, "<u2"), np.zeros(0, np.int64)
+    size, column = batch.column(width)[0].as_py(), batch.column(ids)
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    flat = np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].view(f"<u{size}")
+    return flat, np.diff(ends) // size
 
 
-def _frequencies(blocks: DataFrame) -> DataFrame:
+def _frequencies(coded: DataFrame) -> DataFrame:
     """(id, n): at most a row per id of the vocabulary from each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                now = np.bincount(np.frombuffer(ids.as_buffer(), dtype="<u4"))
-                if len(now) > len(total):
-                    total, now = now, total
-                total[: len(now)] += now
+            now = np.bincount(_ids_of(batch, 0, 1)[0])
+            if len(now) > len(total):
+                total, now = now, total
+            total[: len(now)] += now
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
 
-    return blocks.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return coded.select("width", "ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def _blocks(ordered: DataFrame, rank_of: np.ndarray, id_type: str) -> DataFrame:
+    """Blocks of (doc_id, tie, width, ids), in the order of the input's partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, block, first = TaskContext.get().partitionId(), 0, 0
+        keys, counts, ranks = [], [], []
+
+        def flush():
+            nonlocal block, first, keys, counts, ranks
+            every = np.concatenate(ranks)
+            n = np.concatenate(counts)
+            control, data = encode_ranks(every)
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()),
+                 pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), pa.concat_arrays(keys)),
+                 pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), pa.array(n)),
+                 pa.array([control], pa.binary()), pa.array([data], pa.binary())],
+                ["part", "block", "first", "doc_ids", "counts", "control", "data"],
+            )
+            block, first, keys, counts, ranks = block + 1, first + len(every), [], [], []
+            return out
+
+        for batch in batches:
+            ids, n = _ids_of(batch, 2, 3)
+            ends, row = np.cumsum(n), 0
+            while row < len(n):
+                begin = ends[row] - n[row]
+                until = max(row + 1, int(np.searchsorted(ends, begin + BLOCK_IDS - sum(map(len, ranks)), side="left")) + 1)
+                until = min(until, len(n))
+                keys.append(batch.column(0).slice(row, until - row))
+                counts.append(n[row:until])
+                ranks.append(rank_of[ids[begin : ends[until - 1]]])
+                row = until
+                if sum(map(len, ranks)) >= BLOCK_IDS:
+                    yield flush()
+        if ranks:
+            yield flush()
+
+    schema = f"part int, block int, first bigint, doc_ids array<{id_type}>, counts array<bigint>, control binary, data binary"
+    return ordered.mapInArrow(run, schema)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0,
           id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of all documents, in ascending id order (null ids first), to files under path.
 
-    A null text is an empty one: only the end id. Rows that tie in id are ordered by text. Other columns are ignored.
-    An empty table gives files without rows. Texts are tokenized once; only the vocabulary's counts reach the driver.
+    A null text is an empty one: only the end id. Rows that tie in id are ordered by text, null first. Texts of any length
+    are tokenized whole. Other columns are ignored. An empty table gives files without rows. Texts are tokenized once, where
+    they lie; what is shuffled are their ids, and texts only of ids that come several times, for their order. Only
+    the vocabulary's counts reach the driver.
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sorted_docs = plain.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    blocks = materialise(_tokenized(sorted_docs, tokenizer, end_id, id_type), "token-ids")
-    counts = [(r.id, r.n) for r in _frequencies(blocks).collect()]  # at most the vocabulary
+    plain, shared = with_shared(plain, "doc_id")
+    plain = plain.select("doc_id", "text", F.when(F.col(shared), F.col("text")).alias("tie"))
+    coded = materialise(_tokenized(plain, tokenizer, end_id, id_type), "token-ids")
+    counts = [(r.id, r.n) for r in _frequencies(coded).collect()]  # at most the vocabulary
     order = np.array([i for i, _ in sorted(counts, key=lambda x: (-x[1], x[0]))], dtype=np.int64)
     rank_of = np.zeros(int(order.max(initial=0)) + 1, dtype=np.uint32)
     rank_of[order] = np.arange(len(order), dtype=np.uint32)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            coded = [encode_ranks(rank_of[np.frombuffer(x.as_buffer(), dtype="<u4")]) for x in batch.column(5)]
-            streams = [pa.array([c[k] for c in coded], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *streams], [*batch.schema.names[:5], "control", "data"])
-
-    schema = f"part int, block int, first bigint, doc_ids array<{id_type}>, counts array<bigint>, control binary, data binary"
-    blocks.mapInArrow(run, schema).write.parquet(f"{path}/blocks")
+    ordered = coded.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    _blocks(ordered, rank_of, id_type).write.parquet(f"{path}/blocks")
     ranked = spark.createDataFrame([(k, int(i)) for k, i in enumerate(order)], "rank int, id int")
     ranked.coalesce(1).write.parquet(f"{path}/ids")
 
