@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .quality import BIT, POLICIES
+
 OP2 = r"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, text FROM docs),
@@ -42,4 +44,11 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
        row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, NULL::INT AS grown_shard FROM s
 """
 
-ORACLES: dict[str, str] = {"op2_quality_ledger": OP2, "op4_byte_shards": OP4}
+_RULES = ", ".join(f"('{p.name}', {p.version}, {p.mask}, '{r}', {BIT[r]})" for p in POLICIES for r in p.rules)
+ABLATIONS = f"""
+SELECT policy, version, rule, count(*) FILTER (WHERE (failed & bit) <> 0) AS n_failed, count(*) FILTER (WHERE (failed & mask) = bit) AS n_failed_alone,
+       count(*) FILTER (WHERE (failed & mask) = 0) AS n_kept
+FROM ({OP2}), (VALUES {_RULES}) AS p(policy, version, mask, rule, bit) GROUP BY policy, version, rule
+"""
+
+ORACLES: dict[str, str] = {"op2_quality_ledger": OP2, "quality_ablations": ABLATIONS, "op4_byte_shards": OP4}

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .texts import NOT_NEWLINE, NOT_SPACE, U64, Texts, byte_class, mix, slices, windows
 
 MEASURES = (
-    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs", "n_longest_word",
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs",
 )
 
 #: Bit position by place; SQL over the measurements, true where the rule fails.
@@ -81,8 +81,6 @@ def measure(texts: Texts) -> dict[str, np.ndarray]:
     covered = np.zeros(len(starts), dtype=bool)
     for k in range(3):
         covered[twice + k] = True
-    longest = np.zeros(n, dtype=np.int64)
-    np.maximum.at(longest, owner, ends - starts)
     return {
         "n_words": per_text(owner),
         "word_chars": of_texts(chars),
@@ -91,7 +89,6 @@ def measure(texts: Texts) -> dict[str, np.ndarray]:
         "n_repeat_words": per_text(owner[covered]),
         "n_lines": per_text(line_owner),
         "n_bangs": of_texts(bangs),
-        "n_longest_word": longest,
     }
 
 
@@ -114,7 +111,8 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """doc_id, the measurements and `failed`, with bit k set where rule k fails.
 
     A null text counts as empty: no words, so it fails few_words alone of the ratio rules, which are written as
-    products and hold for zero words. Repeated rows and null ids each give their own row; other columns are ignored.
+    products and hold for zero words. Repeated rows and null ids each give their own row; texts of any length are read whole;
+    an empty table gives no rows; other columns are ignored.
     """
     bits = " + ".join(f"(case when {test} then {BIT[name]} else 0 end)" for name, test in RULES)
     return measured(docs, id_col, text_col).withColumn("failed", F.expr(f"bigint({bits})"))

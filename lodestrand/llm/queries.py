@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.documents import spread
 from . import decontamination, licences, near_duplicates, packing, quality, repeated_spans, sharding, token_files, toxicity, url_rules
 from .store import fresh_path
 
@@ -15,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt to all cores where they lie in fewer partitions."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).select(
         "page_id", "host", "path", "rule", "verdict", "mined"
@@ -22,15 +28,20 @@ def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = quality.ledger(table(spark, sf_dir, "documents"))
+    book = quality.ledger(documents(spark, sf_dir))
     return book.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~quality.passes(quality.BASE)).alias("base_failed"), quality.passes(quality.POLICIES[-1]).alias("kept"), "failed",
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule costs under each policy, from the ledger's bits alone."""
+    return quality.ablations(quality.ledger(documents(spark, sf_dir)))
+
+
 def op3_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,11 +52,11 @@ def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.classes(table(spark, sf_dir, "documents"))
+    return near_duplicates.classes(documents(spark, sf_dir))
 
 
 def op6_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return scored.select(
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
@@ -54,7 +65,7 @@ def op6_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans.remaining(table(spark, sf_dir, "documents")).select(
+    return repeated_spans.remaining(documents(spark, sf_dir)).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
 
@@ -66,16 +77,17 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(documents(spark, sf_dir))
 
 
 def op10_licence_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(table(spark, sf_dir, "documents")).drop("spans")
+    return licences.scan(documents(spark, sf_dir)).drop("spans")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_rules": op1_url_rules,
     "op2_quality_ledger": op2_quality_ledger,
+    "quality_ablations": quality_ablations,
     "op3_template_leaks": op3_template_leaks,
     "op4_byte_shards": op4_byte_shards,
     "op5_bag_minhash": op5_bag_minhash,

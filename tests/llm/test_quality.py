@@ -22,6 +22,7 @@ def brute(text):
 
 def test_query_has_its_sql(same_rows):
     same_rows("op2_quality_ledger")
+    same_rows("quality_ablations")
 
 
 def test_odd_rows_are_brute_force(odd, odd_rows, empty):
