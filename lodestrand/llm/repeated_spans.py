@@ -41,7 +41,7 @@ CHOICES = MATCH - GRAM + 1
 AFTER, BEFORE = MATCH, CHOICES - 1
 SUFFIX = AFTER + BEFORE + 2
 #: Entries of a task's family at most; a fuller one is handed on and a new one begun.
-FAMILY = 250_000
+FAMILY = 150_000
 #: Rows that a task hands to Spark at once.
 BATCH_ROWS = 1 << 16
 _ENTRY, _BORDER, _SIGNAL, _MARK = range(4)
