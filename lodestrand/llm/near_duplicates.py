@@ -22,7 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from .keys import fresh, with_shared
 from .store import materialise, materialise_joined
 from .texts import ALNUM, U64, Texts, mix, slices, windows
 
@@ -129,22 +131,24 @@ def bands(registers: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    """(key, doc_id, c1, c2, bands) of each row of docs (key, doc_id, text): its content's hash and its bands' keys."""
+    types = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("key", "doc_id")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(2)):
                 text, keys, weight, content = shingles(part)
                 found = bands(signatures(text, keys, weight, len(part)))
                 empty = np.bincount(text, minlength=len(part)) == 0
                 ends = np.cumsum(np.where(empty, 0, BANDS)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(part.row, len(part)), pa.array(content[:, 0].view(np.int64)), pa.array(content[:, 1].view(np.int64)),
+                    [*(batch.column(k).slice(part.row, len(part)) for k in (0, 1)), pa.array(content[:, 0].view(np.int64)),
+                     pa.array(content[:, 1].view(np.int64)),
                      pa.ListArray.from_arrays(pa.array(np.append(np.int32(0), ends)), pa.array(found[~empty].reshape(-1).view(np.int64)))],
-                    ["doc_id", "c1", "c2", "bands"],
+                    ["key", "doc_id", "c1", "c2", "bands"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, c1 bigint, c2 bigint, bands array<bigint>")
+    return docs.mapInArrow(run, f"{', '.join(types)}, c1 bigint, c2 bigint, bands array<bigint>")
 
 
 def _bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -287,24 +291,32 @@ def _stranger_links(named: DataFrame, banded: DataFrame, bags: DataFrame) -> Dat
     return a.join(b, (F.col("a_key") == F.col("b_key")) & linked).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id, the smallest id of all documents linked to it, itself included.
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """docs with one more column, a key that names a row's document, and that column's name.
 
-    Documents with the same words are copies. Null, empty and wordless texts are like nothing and in classes of their own; so
-    are rows with a null id, whose class is null. Rows that share an id are taken as one document. Other columns are
-    ignored, and an empty table gives no rows.
+    The key is the id; for ids that come several times it is a 64-bit hash of id and text, for null ids it is null.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    marked, shared = with_shared(docs, id_col)
+    (key,) = fresh(marked, "_key")
+    ids, kind = F.col(id_col), docs.schema[id_col].dataType
+    kind = "bigint" if isinstance(kind, IntegralType) else kind.simpleString()
+    named = F.when(ids.isNotNull() & F.col(shared), F.xxhash64(id_col, text_col).cast(kind)).otherwise(ids.cast(kind))
+    return marked.select(*(marked[c] for c in docs.columns), named.alias(key)), key
+
+
+def _classed(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, class_id) of each row of docs (key, doc_id, text)."""
     sketched = materialise(_sketches(docs), "near-sketches")
-    worded = sketched.where(F.col("doc_id").isNotNull() & (F.size("bands") > 0))
-    copies = materialise(worded.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-copies")
+    worded = sketched.where(F.col("key").isNotNull() & (F.size("bands") > 0))
+    copies = worded.groupBy("c1", "c2").agg(F.min("key").alias("rep"), F.min("doc_id").alias("first"), F.first("bands").alias("bands"))
+    copies = materialise(copies, "near-copies")
     members = copies.select("rep", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last")
     star = materialise_joined(members.join(buckets.select("key", "leader"), "key"), "near-star")
     pairs = star.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
     pairs = materialise_joined(pairs, "near-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    bags = materialise_joined(_bags(docs, ids), "near-bags")
+    bags = materialise_joined(_bags(docs.select(F.col("key").alias("doc_id"), "text"), ids), "near-bags")
     near = materialise_joined(_similarities(pairs, bags), "near-links")
     links = near.where(F.col("similarity") >= SIMILARITY)
     label = components(links)
@@ -318,14 +330,36 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     more = materialise_joined(_stranger_links(named, copies.select("rep", "bands"), bags), "near-rest")
     if not more.isEmpty():
         label = components(links.select("a", "b").union(more))
-    named_copies = copies.join(label, copies.rep == label.node, "left").select("c1", "c2", F.coalesce("label", "rep").alias("class_id"))
-    found = worded.select("doc_id", "c1", "c2").join(named_copies, ["c1", "c2"]).select("doc_id", "class_id")
-    alone = sketched.where(F.col("doc_id").isNull() | (F.size("bands") == 0)).select("doc_id", F.col("doc_id").alias("class_id"))
-    return found.union(alone)
+    named_copies = copies.join(label, copies.rep == label.node, "left").select("c1", "c2", "rep", "first", F.coalesce("label", "rep").alias("class_id"))
+    # Classes with a key that is no id are named by their smallest id.
+    odd = materialise(named_copies.where("rep <> first").select("class_id").distinct(), "near-odd")
+    if not odd.isEmpty():
+        names = named_copies.join(odd, "class_id", "left_semi").groupBy("class_id").agg(F.min("first").alias("name"))
+        named_copies = named_copies.join(names, "class_id", "left").withColumn("class_id", F.coalesce("name", "class_id"))
+    found = worded.select("key", "doc_id", "c1", "c2").join(named_copies.select("c1", "c2", "class_id"), ["c1", "c2"])
+    alone = sketched.where(F.col("key").isNull() | (F.size("bands") == 0)).select("key", "doc_id", F.col("doc_id").alias("class_id"))
+    id_type = docs.schema["doc_id"].dataType
+    return found.select("key", "doc_id", F.col("class_id").cast(id_type).alias("class_id")).union(alone)
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, class_id, the smallest id of all documents linked to it, itself included.
+
+    Documents with the same words are copies. Null, empty and wordless texts are like nothing and in classes of their own; so
+    are rows with a null id, whose class is null. Rows that share an id are documents of their own, each with the class of its
+    text. Other columns are ignored, and an empty table gives no rows.
+    """
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    keyed, key = _keyed(docs, "doc_id", "text")
+    return _classed(keyed.select(F.col(key).alias("key"), "doc_id", "text")).select("doc_id", "class_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, but for documents that are not the first of their class. Null ids stay."""
-    extra = classes(docs, id_col, text_col).where("doc_id <> class_id").select(F.col("doc_id").alias("_extra")).distinct()
-    kept = docs.join(extra, docs[id_col] == extra["_extra"], "left_anti")
-    return kept
+    """The rows of docs, all columns, but for those whose text is in a class with a smaller id. Null ids stay.
+
+    Of rows that share an id only those go whose own text is such a copy; rows of a class's smallest id all stay.
+    """
+    keyed, key = _keyed(docs, id_col, text_col)
+    found = _classed(keyed.select(F.col(key).alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    extra = found.where("doc_id <> class_id").select(F.col("key").alias("_extra")).distinct()
+    return keyed.join(extra, keyed[key] == extra["_extra"], "left_anti").select(*(keyed[c] for c in docs.columns))

@@ -73,6 +73,23 @@ def test_odd_rows(odd, odd_rows, empty):
     assert kept.columns == odd.columns and 6 not in {r.doc_id for r in kept.collect()}
 
 
+def test_shared_ids(spark, words):
+    """Rows of one id with different texts: each has its own text's class, and none goes for what another one repeats."""
+    x, y, z = words(90, 31), words(90, 32), words(90, 33)
+    rows = [(1, x), (2, mutated(x, 0.01, 1)), (2, y), (3, mutated(y, 0.01, 2)), (4, z), (4, z), (4, x), (5, mutated(z, 0.01, 3)), (5, words(90, 34)), (6, y)]
+    place = brute([(k, t) for k, (_, t) in enumerate(rows)])
+    smallest = {}
+    for k, c in place:
+        smallest[c] = min(rows[k][0], smallest.get(c, rows[k][0]))
+    for schema in ("doc_id bigint, text string", "doc_id int, text string"):
+        docs = spark.createDataFrame(rows, schema).repartition(3)
+        got = N.classes(docs)
+        assert got.schema["class_id"].dataType == docs.schema["doc_id"].dataType
+        assert sorted(map(tuple, got.collect())) == sorted((rows[k][0], smallest[c]) for k, c in place)
+        kept = sorted(map(tuple, N.keep_first(docs).collect()))
+        assert kept == sorted(rows[k] for k, c in place if rows[k][0] == smallest[c]) and (2, y) in kept and (4, x) not in kept
+
+
 def test_signatures_are_unbiased(words):
     base = words(300, 21)
     texts = [base, mutated(base, 0.02, 1), base + " " + base, " ".join([words(20, 5)] * 12), " ".join([words(20, 5)] * 9)]
