@@ -27,7 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document, by id, of each class of near duplicates.
 
-    Rows without an id, and texts without words, are like nothing and stay; all rows of the first id stay.
+    Rows without an id, and texts without words, are like nothing and stay. Rows that share an id are judged by their own
+    texts; those of a class's first id all stay.
     """
     return near_duplicates.keep_first(docs)
 
