@@ -12,16 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 #: The lists of open `scratch` blocks.
 _OPEN: list[list[str]] = []
+#: Local folders by application, where the setting is absent: a running session doesn't take it.
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where the setting is absent and the master is local (tests), a temporary one is made and set."""
+    """The cluster's shared folder; where the setting is absent and the master is local (tests), a temporary one is made."""
     found = spark.conf.get(SETTING, None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"{SETTING} must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lodestrand-")
-        spark.conf.set(SETTING, found)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="lodestrand-")
+        found = _OWN[app]
     return found.rstrip("/")
 
 
