@@ -329,7 +329,8 @@ def _classed(docs: DataFrame) -> DataFrame:
     named = materialise_joined(named.withColumn("stranger", F.col("mine") != F.col("theirs")), "near-members")
     more = materialise_joined(_stranger_links(named, copies.select("rep", "bands"), bags), "near-rest")
     if not more.isEmpty():
-        label = components(links.select("a", "b").union(more))
+        # The classes so far stand for their links.
+        label = components(label.select("node", "label").union(more))
     named_copies = copies.join(label, copies.rep == label.node, "left").select("c1", "c2", "rep", "first", F.coalesce("label", "rep").alias("class_id"))
     # Classes with a key that is no id are named by their smallest id.
     odd = materialise(named_copies.where("rep <> first").select("class_id").distinct(), "near-odd")
