@@ -51,4 +51,10 @@ SELECT policy, version, rule, count(*) FILTER (WHERE (failed & bit) <> 0) AS n_f
 FROM ({OP2}), (VALUES {_RULES}) AS p(policy, version, mask, rule, bit) GROUP BY policy, version, rule
 """
 
-ORACLES: dict[str, str] = {"op2_quality_ledger": OP2, "quality_ablations": ABLATIONS, "op4_byte_shards": OP4}
+OP12 = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+ORACLES: dict[str, str] = {"op2_quality_ledger": OP2, "quality_ablations": ABLATIONS, "op4_byte_shards": OP4, "op12_stream_dedup": OP12}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.documents import spread
-from . import decontamination, licences, near_duplicates, packing, quality, repeated_spans, sharding, token_files, toxicity, url_rules
+from . import decontamination, exact_copies, licences, near_duplicates, packing, quality, repeated_spans, sharding, token_files, toxicity, url_rules
 from .store import fresh_path
 
 
@@ -84,6 +84,12 @@ def op10_licence_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(documents(spark, sf_dir)).drop("spans")
 
 
+def op12_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = exact_copies.CopyIndex(spark, f"{sf_dir}/documents.parquet")
+    index.update()
+    return index.verdicts().select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_rules": op1_url_rules,
     "op2_quality_ledger": op2_quality_ledger,
@@ -96,4 +102,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_best_fit": op9_best_fit,
     "op10_licence_automaton": op10_licence_automaton,
+    "op12_stream_dedup": op12_stream_dedup,
 }
