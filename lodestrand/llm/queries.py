@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.documents import spread
-from . import decontamination, exact_copies, licences, near_duplicates, packing, quality, repeated_spans, sharding, token_files, toxicity, url_rules
+from . import conversations, decontamination, exact_copies, licences, near_duplicates, packing, quality, repeated_spans, sharding, token_files, toxicity, url_rules
 from .store import fresh_path
 
 
@@ -90,6 +90,10 @@ def op12_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.verdicts().select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op13_turn_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_rules": op1_url_rules,
     "op2_quality_ledger": op2_quality_ledger,
@@ -103,4 +107,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit": op9_best_fit,
     "op10_licence_automaton": op10_licence_automaton,
     "op12_stream_dedup": op12_stream_dedup,
+    "op13_turn_fold": op13_turn_fold,
 }
