@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.documents import spread
-from . import conversations, decontamination, exact_copies, licences, near_duplicates, packing, quality, repeated_spans, sharding, token_files, toxicity, url_rules
+from . import alignment, conversations, decontamination, exact_copies, licences, near_duplicates, packing, quality, repeated_spans, sharding, token_files, toxicity, url_rules
 from .store import fresh_path
 
 
@@ -84,6 +84,10 @@ def op10_licence_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(documents(spark, sf_dir)).drop("spans")
 
 
+def op11_segment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir))
+
+
 def op12_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_copies.CopyIndex(spark, f"{sf_dir}/documents.parquet")
     index.update()
@@ -106,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_best_fit": op9_best_fit,
     "op10_licence_automaton": op10_licence_automaton,
+    "op11_segment_alignment": op11_segment_alignment,
     "op12_stream_dedup": op12_stream_dedup,
     "op13_turn_fold": op13_turn_fold,
 }
