@@ -33,6 +33,51 @@ def line_count(c: Column) -> Column:
     return F.size(lines(c))
 
 
+#: Characters that are two units of UTF-16.
+ASTRAL = r"[\x{10000}-\x{10FFFF}]"
+
+
+def units(c: Column) -> Column:
+    """Length in units of UTF-16, in which the source semantics count."""
+    return F.length(c) + F.regexp_count(c, F.lit(ASTRAL))
+
+
+def has_units(c: Column, n: int) -> Column:
+    """Whether there are n units at least. Only a text of fewer characters is looked at for pairs of units."""
+    return F.when(F.length(c) >= n, True).otherwise(units(c) >= n)
+
+
+def first_units(c: Column, n: int) -> Column:
+    """The characters whose units are all among the first n: of a pair that the cut divides, nothing stays."""
+    head = F.substr(c, F.lit(1), F.lit(n))
+    width = lambda x: F.when(F.octet_length(x) == 4, 2).otherwise(1)
+    start = F.struct(F.lit(0).alias("units"), F.lit(0).alias("kept"))
+
+    def add(done: Column, x: Column) -> Column:
+        upto = done["units"] + width(x)
+        return F.struct(upto.alias("units"), F.when(upto <= n, done["kept"] + 1).otherwise(done["kept"]).alias("kept"))
+
+    kept = F.aggregate(F.regexp_extract_all(head, F.lit("(?s)."), F.lit(0)), start, add)["kept"]
+    return F.when(head.rlike(ASTRAL), F.substr(head, F.lit(1), kept)).otherwise(head)
+
+
+def one_json_object(c: Column) -> Column:
+    """Whether nothing but blanks stands around the text's first JSON value, an object, by the depth of brackets outside strings.
+
+    What is inside the brackets is left to the parser.
+    """
+    bare = F.regexp_replace(c, r'(?s)"(?:[^"\\]|\\.)*+"', '""')
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("ends"))
+
+    def step(done: Column, bracket: Column) -> Column:
+        depth = done["depth"] + F.when(bracket.isin("{", "["), 1).otherwise(-1)
+        return F.struct(depth.alias("depth"), (done["ends"] + (depth == 0).cast("int")).alias("ends"))
+
+    scan = lambda x: F.aggregate(F.regexp_extract_all(x, F.lit(r"[\[\]{}]"), F.lit(0)), start, step)
+    framed = lambda x: x.rlike(r"\A[ \t\n\r]*+\{") & x.rlike(r"\}[ \t\n\r]*+\z")
+    return F.transform(F.array(bare), lambda x: framed(x) & (scan(x) == F.struct(F.lit(0).alias("depth"), F.lit(1).alias("ends"))))[0]
+
+
 def first_truthy(*cs: Column) -> Column:
     """The first that is neither null nor empty; the last one as it is."""
     return F.coalesce(*(F.when(c != "", c) for c in cs[:-1]), cs[-1])

@@ -82,10 +82,14 @@ def download_name(lang: Column, ext: Column, prefix: str = "blocks") -> Column:
     return F.concat(F.lit(prefix + "_"), lang, F.lit("."), ext)
 
 
+def merged(rows: DataFrame, languages: DataFrame, prefix: str = "blocks") -> DataFrame:
+    """The merged files: doc_id, filename, lang, content."""
+    return with_language(merge_by_lang(rows), languages).select("doc_id", download_name(F.col("lang"), F.col("ext"), prefix).alias("filename"), "content", "lang")
+
+
 def write_merged(rows: DataFrame, languages: DataFrame, path: str, prefix: str = "blocks") -> None:
     """The merged files as rows (doc_id, filename, content), in folders by language."""
-    files = with_language(merge_by_lang(rows), languages).select("doc_id", download_name(F.col("lang"), F.col("ext"), prefix).alias("filename"), "content", "lang")
-    files.write.partitionBy("lang").parquet(path)
+    merged(rows, languages, prefix).write.partitionBy("lang").parquet(path)
 
 
 def next_language(blocks: Column, previous: Column) -> Column:

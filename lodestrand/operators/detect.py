@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import trim
+from ..functions.text import has_units, trim
 from .normalize import normalize, once
 
 THRESHOLD, SHORTEST = 5, 10
@@ -53,7 +53,7 @@ def detect(code: Column) -> Column:
     best = lambda s: F.struct(F.array_max(s).alias("top"), F.array_position(s, F.array_max(s)).alias("at"))
     label = lambda b: F.when(b["top"] >= THRESHOLD, F.element_at(F.array(*map(F.lit, LANGUAGES)), b["at"].cast("int"))).otherwise("unknown")
     found = once(once(once(normalize(code), scores), best), label)
-    return F.when(F.length(trim(code)) < SHORTEST, "unknown").otherwise(found)
+    return F.when(has_units(trim(code), SHORTEST), found).otherwise("unknown")
 
 
 def known(hint: Column) -> Column:

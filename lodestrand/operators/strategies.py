@@ -11,17 +11,20 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, first_truthy, trim
+from ..functions.text import WS, first_truthy, first_units, has_units, one_json_object, trim
 from .detect import SHORTEST, detect, known
 from .normalize import drop_output_lines, normalize, once
 
-#: Beginnings and ends of labelled code, and fences. Possessive, so that blanks don't backtrack.
+#: Beginnings and ends of labelled code, and fences.
 ANCHOR = rf"(?i)kode[{WS}]++[\w{WS}]*+:|syntax[{WS}]*+:|script[{WS}]*+:|program[{WS}]*+:"
 ANCHOR_END = rf"(?im)output[{WS}]+yang[{WS}]+dihasilkan|interpretasi[{WS}]|^contoh[{WS}]+[0-9]|penugasan"
 FENCE = r"```(\w*)\n?([\s\S]*?)```|~~~(\w*)\n?([\s\S]*?)~~~"
+#: A label ends with the first colon behind its beginning, and but for the colon it has only letters, digits, low lines and blanks.
+#: So a colon ends one if the words right before it are such: whether they do takes one pass, however many words begin one.
+BEFORE_WORDS, LABEL = rf"(?s)\A.*[^\w{WS}]", rf"(?i)kode[{WS}]|(?:syntax|script|program)[{WS}]*+\z"
 #: Words of which each label has one.
 LABEL_WORDS = ("kode", "syntax", "script", "program")
-#: Characters taken after a label without an end, and those of the shortest label.
+#: Units taken after a label without an end, and characters of the shortest label.
 REACH, SHORTEST_LABEL = 2000, 6
 #: Parts in which an end mark is looked for at first.
 NEAR = 64
@@ -37,7 +40,7 @@ def _recognised(blocks: Column) -> Column:
 
 
 def _long(codes: Column) -> Column:
-    return F.filter(codes, lambda c: F.length(c) >= SHORTEST)
+    return F.filter(codes, lambda c: has_units(c, SHORTEST))
 
 
 def _rest(array: Column) -> Column:
@@ -45,18 +48,21 @@ def _rest(array: Column) -> Column:
 
 
 def anchor_candidates(text: Column) -> Column:
-    """Of each label the text that it heads: up to the next end mark, or REACH characters. Labels don't end blocks.
+    """Of each label the text that it heads: up to the next end mark, or REACH units. Labels don't end blocks.
 
-    The text is cut once, behind each label; a part reaches from there to the end of the next label, so no end mark
-    crosses two parts. A block is the beginning of its label's part, or that part and the following ones up to the first
+    The text is cut once, at its colons; those that end a label begin a part, which reaches to the end of the next label, so
+    no end mark crosses two parts. A block is the beginning of its label's part, or that part and the following ones up to the first
     with an end mark, so only what is given is ever copied.
     """
     none = F.array().cast("array<string>")
-    marks = F.regexp_extract_all(text, F.lit(ANCHOR), F.lit(0))
-    pieces = lambda x: F.zip_with(_rest(x["between"]), _rest(x["marks"]), lambda s, m: F.concat(s, F.coalesce(m, F.lit(""))))
-    between = lambda m: F.when(F.size(m) > 0, once(F.struct(F.split(text, ANCHOR, -1).alias("between"), m.alias("marks")), pieces)).otherwise(none)
-    heads = once(F.lower(text), lambda low: reduce(or_, (low.contains(word) for word in LABEL_WORDS)))
-    cut = F.when(heads, once(marks, between)).otherwise(none)
+    has_word = lambda x: once(F.lower(x), lambda low: reduce(or_, (low.contains(word) for word in LABEL_WORDS)))
+    is_label = lambda x: F.when(has_word(x), F.regexp_replace(x, BEFORE_WORDS, "").rlike(LABEL)).otherwise(False)
+    # Of each label the number, from 1, of the stretch before its colon; the last stretch has none behind it.
+    at = lambda cut: F.filter(F.transform(cut, lambda x, i: F.when((i + 1 < F.size(cut)) & is_label(x), i + 1)), lambda i: i.isNotNull())
+    upto = lambda x, i, j: F.array_join(F.slice(x["cut"], i + 1, F.coalesce(j, F.size(x["cut"])) - i), ":")
+    parts = lambda x: F.zip_with(x["at"], _rest(x["at"]), lambda i, j: F.concat(upto(x, i, j), F.when(j.isNotNull(), ":").otherwise("")))
+    pieces = lambda cut: once(F.struct(cut.alias("cut"), at(cut).alias("at")), parts)
+    cut = F.when(text.contains(":") & has_word(text), once(F.split(text, ":", -1), pieces)).otherwise(none)
     # Where a part's first end mark begins, from 1; 0 without. Only for the part's own label is its beginning one of a line.
     own = lambda p: F.regexp_instr(p, F.lit(ANCHOR_END))
     later = lambda p, n: F.when(n != 1, n).otherwise(F.greatest(F.regexp_instr(F.concat(F.lit(":"), p), F.lit(ANCHOR_END)) - 1, F.lit(0)))
@@ -75,7 +81,7 @@ def _block(x: Column, part: Column, i: Column) -> Column:
     upto = lambda n: F.concat(
         F.array_join(F.slice(x["parts"], i + 1, n), ""), F.substr(F.get(x["parts"], i + n), F.lit(1), F.get(x["later"], i + n) - 1)
     )
-    reach = F.substr(F.array_join(F.slice(x["parts"], i + 1, F.lit(REACH // SHORTEST_LABEL + 1)), ""), F.lit(1), F.lit(REACH))
+    reach = first_units(F.array_join(F.slice(x["parts"], i + 1, F.lit(REACH // SHORTEST_LABEL + 1)), ""), REACH)
     far = once(F.coalesce(near, F.lit(0)), lambda n: F.when(n > 0, upto(n)).otherwise(reach))
     return F.when(own > 0, F.substr(part, F.lit(1), own - 1)).otherwise(far)
 
@@ -94,7 +100,7 @@ def fence_sections(text: Column) -> Column:
         zipped, lambda x: F.struct(F.lower(first_truthy(x["a"], x["c"])).alias("hint"), trim(first_truthy(x["b"], x["d"])).alias("code"))
     )
     none = F.array().cast("array<struct<hint:string,code:string>>")
-    return F.when(text.isNotNull(), F.coalesce(F.filter(sections, lambda x: F.length(x["code"]) >= SHORTEST), none))
+    return F.when(text.isNotNull(), F.coalesce(F.filter(sections, lambda x: has_units(x["code"], SHORTEST)), none))
 
 
 def fence_blocks(text: Column) -> Column:
@@ -105,8 +111,8 @@ def fence_blocks(text: Column) -> Column:
 
 def notebook_codes(text: Column) -> Column:
     """Trimmed code of notebook cells, up to the first that can't be read. Null for other texts."""
-    gate = text.contains('"source"') & text.contains('"cell_type"') & text.rlike(rf"\}}[{WS}]*\z")
-    cells = F.from_json(F.when(gate, text), NOTEBOOK, {"allowSingleQuotes": "false"})["cells"]
+    gate = F.when(text.contains('"source"') & text.contains('"cell_type"'), one_json_object(text))
+    cells = F.from_json(F.when(gate, text), NOTEBOOK, {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"})["cells"]
     broken = F.transform(cells, lambda c: c.isNull() | (F.coalesce(c["cell_type"] == "code", F.lit(False)) & c["source"].isNull()))
     first = F.array_position(broken, F.lit(True)).cast("int")
     whole = F.when(first > 0, F.slice(cells, 1, F.greatest(first - 1, F.lit(0)))).otherwise(cells)

@@ -6,7 +6,9 @@ something wins, and each is a projection of its own so that its result is comput
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import line_count, trim
@@ -47,6 +49,24 @@ def extract(docs: DataFrame) -> DataFrame:
     )
 
 
+STATUSES = (200, 400, 404, 422, 500)
+
+
+def observed(extracted: DataFrame, langs: tuple[str, ...]) -> tuple[DataFrame, Callable[[], list[tuple[str, str, int]]]]:
+    """extracted, and a function for its counts, (kind, name, n) by status and by language, that are more than 0.
+
+    The counts are metrics of whatever action runs over the rows first, and wait for it: they cost no job of their own.
+    Languages are those of the list; others, which there are none of with the detector's own, count as ''.
+    """
+    watch = Observation()
+    by_status = {f"status {s}": F.count_if(F.col("status") == s) for s in STATUSES}
+    named = lambda name: F.size(F.filter("blocks", lambda b: b["lang"] == name))
+    by_lang = {f"lang {name}": F.sum(F.coalesce(named(name), F.lit(0))) for name in langs}
+    other = F.sum(F.coalesce(F.size(F.filter("blocks", lambda b: ~b["lang"].isin(*langs))), F.lit(0)))
+    rows = extracted.observe(watch, *(c.cast("long").alias(n) for n, c in (by_status | by_lang | {"lang ": other}).items()))
+    return rows, lambda: [(*key.split(" ", 1), n) for key, n in watch.get.items() if n]
+
+
 def block_rows(extracted: DataFrame) -> DataFrame:
     """One row per block: doc_id, index, lang, code, lines.
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,27 +10,20 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import blocks as B
 from ..operators import detect as D
+from ..operators import histories as H
 from ..operators import normalize as N
 from ..operators import strategies as S
 from ..sources import derived, dims
+from ..sources import block_files
 from ..sources.documents import read_files, spread
-from .extract import EMPTY, NO_FILE, NOTHING, block_rows, extract
+from ..sources.tables import fresh_path
+from .extract import EMPTY, NO_FILE, NOTHING, block_rows, extract, observed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared one; a local master without the setting uses its own temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="lodestrand-")
-    return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -211,6 +202,44 @@ def notebook_cells(spark, sf_dir):
     return found.select("doc_id", F.col("nth").cast("bigint").alias("nth"), "code")
 
 
+#: What stands behind a notebook's JSON, by document: blanks only, or something that makes it none.
+BEHIND = ("", " \n", " {}", "x", '"a"', "]", "\u00a0", ",")
+STRICT = f"SELECT doc_id, text || ([{', '.join(map(q, BEHIND))}])[doc_id // 6 % {len(BEHIND)} + 1] AS text FROM ({CORPUS})"
+
+
+@query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY nth) - 1 AS BIGINT) AS nth, code FROM ({NOTEBOOKS.replace(CORPUS, STRICT)})")
+def strict_notebooks(spark, sf_dir):
+    """Cells of notebooks of which some have more than one JSON value."""
+    behind = F.element_at(F.array(*map(F.lit, BEHIND)), (F.floor(F.col("doc_id") / 6) % len(BEHIND) + 1).cast("int"))
+    docs = corpus(spark, sf_dir).withColumn("text", F.concat("text", behind))
+    found = docs.select("doc_id", F.posexplode(S.notebook_codes(F.col("text"))).alias("nth", "code"))
+    return found.select("doc_id", F.col("nth").cast("bigint").alias("nth"), "code")
+
+
+#: Labels with emoji around the shortest length and around the reach; each emoji is two units.
+EMOJI = (
+    "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'Kode a: ' || repeat('😀', 4) || repeat('z', 1 + CAST(doc_id // 4 % 3 AS INTEGER)) "
+    "ELSE 'Syntax : ' || substr(coalesce(text, ''), 1, 1975 + doc_id % 20) || repeat('😀', CAST(doc_id % 13 AS INTEGER)) || coalesce(text, '') END AS text FROM documents"
+)
+_PAIRS = f"regexp_replace(r, '{T.ASTRAL}', chr(1) || chr(2), 'g')"
+_REACH = f"replace(regexp_replace(substring({_PAIRS}, 1, {S.REACH}), '\\x01\\z', ''), chr(1) || chr(2), '😀')"
+
+
+@query(
+    f"SELECT doc_id, nth, code, n AS units FROM (SELECT *, length(code) + length(regexp_replace(code, '{T.ASTRAL.replace('[', '[^')}', '', 'g')) AS n "
+    f"FROM ({ANCHORS.replace(CORPUS, EMOJI).replace(f'substring(r, 1, {S.REACH})', _REACH)})) WHERE n >= {D.SHORTEST}"
+)
+def unit_candidates(spark, sf_dir):
+    """Labelled texts with characters of two units: what is long enough, and where the reach ends."""
+    emoji = lambda n: F.repeat(F.lit("😀"), n)
+    text, k = F.coalesce("text", F.lit("")), F.col("doc_id")
+    short = F.concat(F.lit("Kode a: "), emoji(F.lit(4)), F.repeat(F.lit("z"), (F.floor(k / 4) % 3 + 1).cast("int")))
+    long = F.concat(F.lit("Syntax : "), F.substr(text, F.lit(1), (1975 + k % 20).cast("int")), emoji((k % 13).cast("int")), text)
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.when(k % 4 == 0, short).otherwise(long).alias("text"))
+    found = docs.select("doc_id", F.posexplode(S.anchor_candidates(F.col("text"))).alias("nth", "code")).where(T.has_units(F.col("code"), D.SHORTEST))
+    return found.select("doc_id", F.col("nth").cast("bigint").alias("nth"), "code", T.units(F.col("code")).cast("bigint").alias("units"))
+
+
 @query(BLOCKS)
 def extract_blocks(spark, sf_dir):
     return rows_of(spark, sf_dir)
@@ -227,14 +256,16 @@ FROM (SELECT c.doc_id, c.filename, c.size, coalesce(b.n, 0) AS n, CASE WHEN c.fi
 FAULTY = f"SELECT doc_id, CASE WHEN doc_id % 17 = 3 THEN NULL ELSE filename END AS filename, size, CASE WHEN doc_id % 13 = 5 THEN ' ' || chr(10) ELSE text END AS text FROM ({CORPUS})"
 
 
-@query(STATUS.replace("SOURCE", FAULTY).replace("BLOCKS_OF", BLOCKS))
-def extract_status(spark, sf_dir):
-    docs = corpus(spark, sf_dir)
-    docs = docs.withColumns({
+def faulty(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({
         "filename": F.when(F.col("doc_id") % 17 != 3, F.col("filename")),
         "text": F.when(F.col("doc_id") % 13 == 5, " \n").otherwise(F.col("text")),
     })
-    return extract(docs).select("doc_id", "filename", "size", "status", "error", "total")
+
+
+@query(STATUS.replace("SOURCE", FAULTY).replace("BLOCKS_OF", BLOCKS))
+def extract_status(spark, sf_dir):
+    return extract(faulty(corpus(spark, sf_dir))).select("doc_id", "filename", "size", "status", "error", "total")
 
 
 @query(f"SELECT doc_id, 404 AS status, {q(NOTHING)} AS error FROM documents")
@@ -351,7 +382,7 @@ def merge_by_lang(spark, sf_dir):
 )
 def merged_files(spark, sf_dir):
     """The files of the merged download, written and read back."""
-    path = scratch_path(spark, "merged")
+    path = fresh_path(spark, "merged")
     B.write_merged(rows_of(spark, sf_dir), dims.languages(spark), path)
     return spark.read.schema("doc_id bigint, filename string, content string, lang string").parquet(path)
 
@@ -365,6 +396,62 @@ def result_states(spark, sf_dir):
     )
 
 
+TOGGLED = f"""
+WITH RECURSIVE a AS (SELECT event_id, user_id, CASE WHEN event_id % 5 <> 0 THEN event_id // 5 % 6 END AS i, CASE WHEN user_id % 7 = 0 THEN 0 ELSE user_id % 4 + 1 END AS v,
+                            row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+h AS (SELECT user_id, NULL::BIGINT AS event_id, 0::BIGINT AS k, []::BIGINT[] AS s, 0::BIGINT AS v FROM (SELECT DISTINCT user_id FROM a)
+  UNION ALL SELECT user_id, event_id, k, CASE WHEN i IS NOT NULL THEN CASE WHEN list_contains(s, i) THEN list_filter(s, lambda x: x <> i) ELSE list_append(s, i) END
+    WHEN v > 0 AND list_has_all(s, range(v)) THEN list_filter(s, lambda x: x >= v) ELSE list_distinct(list_concat(s, range(v))) END, v
+  FROM (SELECT a.*, h.s FROM h JOIN a ON a.user_id IS NOT DISTINCT FROM h.user_id AND a.k = h.k + 1))
+SELECT event_id, len(s)::BIGINT AS n_selected, v > 0 AND list_has_all(s, range(v)) AS every FROM h WHERE k > 0
+"""
+
+
+@query(TOGGLED)
+def selection_history(spark, sf_dir):
+    """Events as clicks in a panel for each user: one in five toggles all visible blocks, the others one of six."""
+    e, u = F.col("event_id"), F.col("user_id")
+    index = F.when(e % 5 != 0, F.floor(e / 5) % 6)
+    n_visible = F.when(u % 7 == 0, 0).otherwise(u % 4 + 1)
+    events = table(spark, sf_dir, "events").select(u.alias("panel"), "ts", "event_id", index.alias("index"), (index < n_visible).alias("visible"), n_visible.alias("n_visible"))
+    return H.selection_history(events, "ts", "event_id").select("event_id", "n_selected", "every")
+
+
+SHOWN = """
+WITH RECURSIVE v AS (SELECT event_id, user_id, epoch_ms(ts) AS t FROM events),
+s AS (SELECT user_id, min(t) AS t FROM v GROUP BY user_id
+  UNION ALL SELECT user_id, t FROM (SELECT s.user_id, min(v.t) AS t FROM s JOIN v ON v.user_id IS NOT DISTINCT FROM s.user_id AND v.t > s.t + 3600000 GROUP BY s.user_id)),
+f AS (SELECT user_id, t, min(event_id) AS event_id FROM v JOIN s USING (user_id, t) GROUP BY user_id, t)
+SELECT event_id, user_id, f.event_id IS NOT NULL AS shown FROM v LEFT JOIN f USING (event_id, user_id)
+"""
+
+
+@query(SHOWN)
+def splash_shows(spark, sf_dir):
+    """Events as visits: at which of them a user sees the splash screen."""
+    visits = table(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("millis"))
+    return H.splash_shows(visits).select(F.col("id").alias("event_id"), F.col("user").alias("user_id"), "shown")
+
+
+@query(ORACLES["merged_files"])
+def block_files_roundtrip(spark, sf_dir):
+    """The files of the merged download as real text files, one for each document and language, and read back from them."""
+    path = fresh_path(spark, "block-files")
+    block_files.write_files(B.merged(rows_of(spark, sf_dir), dims.languages(spark)), path)
+    return block_files.read_files(spark, path)
+
+
+@query(
+    f"SELECT 'status' AS kind, CAST(status AS VARCHAR) AS name, count(*) AS n FROM ({ORACLES['extract_status']}) GROUP BY status "
+    f"UNION ALL SELECT 'lang', lang, count(*) FROM ({BLOCKS.replace(CORPUS, FAULTY)}) WHERE doc_id % 17 <> 3 AND doc_id % 13 <> 5 GROUP BY lang"
+)
+def observed_counts(spark, sf_dir):
+    """Documents by status and blocks by language, counted while the results are written: no job of their own."""
+    found, counts = observed(extract(faulty(corpus(spark, sf_dir))), (*D.LANGUAGES, *D.ALIASES, "unknown"))
+    found.write.parquet(fresh_path(spark, "extracted"))
+    return spark.createDataFrame(counts(), "kind string, name string, n bigint")
+
+
 # --- static tables ------------------------------------------------------------------------------------------------
 
 
