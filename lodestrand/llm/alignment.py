@@ -22,13 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialise, partitions
+from .store import materialise, partitions, scratch
 from .texts import Texts, slices
 
 #: Bytes of text in a block, and at once while segments are looked for; a longer text makes a block of its own.
 BLOCK_BYTES, SLICE_BYTES = 16 << 20, 1 << 20
-#: Segments that are tokenized, and segment references whose links are counted at once.
-_TOKENIZED, _COUNTED = 20_000, 400_000
+#: Segments that are tokenized at once, alignments that are sorted by block and packed at once, and references whose links are counted at once.
+_TOKENIZED, _PACKED, _COUNTED = 20_000, 400_000, 400_000
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 STATISTICS = ("n_a", "n_b", "n_groups", "n_links")
 
@@ -159,28 +159,43 @@ class _Block:
     def row(self, block: int) -> pa.RecordBatch:
         _, where, merged = np.unique(np.concatenate(self.hashes), return_index=True, return_inverse=True)
         ids, refs = pa.concat_arrays(self.doc_ids), merged.astype(np.uint32)[np.concatenate(self.refs)]
-        strings = pa.array(np.concatenate(self.strings)[where].tolist(), pa.binary()).cast(pa.string())
+        # The most frequent first, so that most numbers are small and pack well.
+        order = np.argsort(-np.bincount(refs, minlength=len(where)), kind="stable")
+        rank = np.empty(len(order), dtype=np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        refs = rank[refs]
+        strings = pa.array(np.concatenate(self.strings)[where[order]].tolist(), pa.binary()).cast(pa.string())
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         return pa.RecordBatch.from_arrays(
-            [pa.array([block]), one(ids), pa.array([packed(np.concatenate(self.counts))]), pa.array([packed(refs)]), one(strings)],
-            ["block", "doc_ids", "counts", "refs", "segs"],
+            [pa.array([block]), one(ids), pa.array([packed(np.concatenate(self.counts), refs)], pa.binary()), one(strings)],
+            ["block", "doc_ids", "docs", "segs"],
         )
 
 
-def packed(numbers: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers, compressed byte plane by byte plane."""
-    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return len(numbers).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+def _planes(numbers: np.ndarray) -> bytes:
+    """The bytes of unsigned 32-bit numbers, plane by plane."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    n = int.from_bytes(raw[:8], "little")
-    planes = np.frombuffer(pa.Codec("zstd").decompress(raw[8:], decompressed_size=4 * n), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+def packed(*parts: np.ndarray | bytes) -> bytes:
+    """Arrays of unsigned 32-bit numbers, and bytes, compressed together."""
+    raw = [x if isinstance(x, bytes) else _planes(x) for x in parts]
+    sizes = np.array([sum(map(len, raw)), *map(len, raw)], dtype="<u4").tobytes()
+    return bytes([len(raw)]) + sizes + pa.Codec("zstd", 3).compress(b"".join(raw), asbytes=True)
+
+
+def unpacked(blob: bytes) -> list[bytes]:
+    total, *sizes = np.frombuffer(blob, "<u4", blob[0] + 1, 1).tolist()
+    raw, ends = pa.Codec("zstd").decompress(blob[5 + 4 * len(sizes) :], decompressed_size=total, asbytes=True), np.cumsum(sizes).tolist()
+    return [raw[e - n : e] for e, n in zip(ends, sizes)]
 
 
 def _blocks(docs: DataFrame, a: str, b: str) -> DataFrame:
-    """(block, doc_ids, counts, refs, segs): of each document how many segments, and their numbers among the block's distinct ones."""
+    """(block, doc_ids, docs, segs): of each document how many segments, and their numbers among the block's distinct ones, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, nth, cut = _Block(), TaskContext.get().partitionId() << 32, pair(a, b).safe_cuts
@@ -194,37 +209,42 @@ def _blocks(docs: DataFrame, a: str, b: str) -> DataFrame:
             yield block.row(nth)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"block bigint, doc_ids array<{kind}>, counts binary, refs binary, segs array<string>")
+    return docs.mapInArrow(run, f"block bigint, doc_ids array<{kind}>, docs binary, segs array<string>")
 
 
 def _alignments(blocks: DataFrame, a: str, b: str) -> DataFrame:
-    """(block, ref, n_a, n_b, groups, links) of each segment of a block; groups are null where bytes differ."""
+    """(block, segments): alignments of a block's segments, some of them packed in one row. Groups are empty where bytes differ."""
+
+    def rows(blocks_: np.ndarray, refs: np.ndarray, which: np.ndarray, found: list[tuple]) -> pa.RecordBatch:
+        order = np.argsort(blocks_, kind="stable")
+        cuts = np.flatnonzero(np.diff(blocks_[order], prepend=blocks_[order[:1]] - 1))
+        out = []
+        for mine in np.split(order, cuts[1:]):
+            n_a, n_b, groups, links = zip(*(found[k] for k in which[mine].tolist()))
+            out.append(packed(refs[mine], np.array(n_a), np.array(n_b), np.array([len(x) for x in links]), np.concatenate(links), "\n".join(groups).encode()))
+        return pa.RecordBatch.from_arrays([pa.array(blocks_[order[cuts]]), pa.array(out, pa.binary())], ["block", "segments"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, last, known = pair(a, b), None, None
+        both, empty = pair(a, b), (0, 0, "", np.zeros(0, np.int64))
+        last, found, held = None, [empty], []
         for batch in batches:
             for k in range(0, len(batch), _TOKENIZED):
                 part = batch.slice(k, _TOKENIZED)
                 segments = part.column(2).to_pylist()
-                new = [s for s, before in zip(segments, [last, *segments]) if s != before]
-                found = iter(both.align(new))
-                rows = []
-                for s, before in zip(segments, [last, *segments]):
-                    if s != before:
-                        known = next(found)
-                    rows.append(known)
+                fresh = [s != before for s, before in zip(segments, [last, *segments])]
+                which = len(found) - 1 + np.cumsum(fresh)
+                found += [r or empty for r in both.align([s for s, new in zip(segments, fresh) if new])]
+                held.append((part.column(0).to_numpy(), part.column(1).to_numpy(), which))
                 last = segments[-1]
-                empty = (0, 0, None, np.zeros(0, np.int64))
-                n_a, n_b, groups, links = zip(*(r or empty for r in rows))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(n_a, pa.int32()), pa.array(n_b, pa.int32()), pa.array(groups, pa.string()),
-                     pa.array([x.astype("<u4").tobytes() for x in links], pa.binary())],
-                    ["block", "ref", "n_a", "n_b", "groups", "links"],
-                )
+                if sum(len(h[2]) for h in held) >= _PACKED:
+                    yield rows(*(np.concatenate(x) for x in zip(*held)), found)
+                    found, held = found[-1:], []
+        if held:
+            yield rows(*(np.concatenate(x) for x in zip(*held)), found)
 
     seen = blocks.select("block", F.posexplode("segs").alias("ref", "seg"))
     met = seen.repartition(partitions(blocks.sparkSession), "seg").sortWithinPartitions("seg")
-    return met.mapInArrow(run, "block bigint, ref int, n_a int, n_b int, groups string, links binary")
+    return met.mapInArrow(run, "block bigint, segments binary")
 
 
 # --- documents --------------------------------------------------------------------------------------------------------
@@ -238,58 +258,66 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _pair_documents(docs: np.ndarray, refs: np.ndarray, ends: np.ndarray, links: np.ndarray, n_pairs: int) -> np.ndarray:
-    """In how many of the documents each pair is linked."""
-    out, first = np.zeros(n_pairs, dtype=np.int64), 0
-    while first < len(refs):
-        # Some whole documents at a time.
-        upto = len(refs) if first + _COUNTED >= len(refs) else int(np.searchsorted(docs, docs[first + _COUNTED], side="left"))
-        if upto <= first:
-            upto = int(np.searchsorted(docs, docs[first], side="right"))
-        keys = np.unique(docs[first:upto] * len(ends) + refs[first:upto])
-        owner, ref = np.divmod(keys, len(ends))
-        sizes = np.diff(ends, prepend=0)[ref]
-        at = np.arange(sizes.sum()) + np.repeat(ends[ref] - np.cumsum(sizes), sizes)
-        out += np.bincount(np.unique(np.repeat(owner, sizes) * n_pairs + links[at]) % n_pairs, minlength=n_pairs)
-        first = upto
-    return out
+    """In how many of some documents each pair is linked."""
+    owner, ref = np.divmod(np.unique(docs * len(ends) + refs), len(ends))
+    sizes = np.diff(ends, prepend=0)[ref]
+    at = np.arange(sizes.sum()) + np.repeat(ends[ref] - np.cumsum(sizes), sizes)
+    return np.bincount(np.unique(np.repeat(owner, sizes) * n_pairs + links[at]) % n_pairs, minlength=n_pairs)
+
+
+def _stretches(counts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Documents [d, e) and their references [r, s), some _COUNTED references at a time; a document is never divided."""
+    ends, d = np.cumsum(counts), 0
+    while d < len(counts):
+        r = int(ends[d - 1]) if d else 0
+        e = max(d + 1, int(np.searchsorted(ends, r + _COUNTED, side="right")))
+        yield d, e, r, int(ends[e - 1])
+        d = e
 
 
 def _composed(blocks: DataFrame, alignments: DataFrame, kind: str) -> DataFrame:
     """One row per block: its documents' statistics, and its segments' links as numbers of its distinct pairs, for the scores."""
 
     def run(block: pa.Table, segments: pa.Table) -> pa.Table:
-        counts, refs = unpacked(block["counts"][0].as_py()).astype(np.int64), unpacked(block["refs"][0].as_py()).astype(np.int64)
-        segments = segments.take(pa.array(np.argsort(segments["ref"].to_numpy()))).combine_chunks()
-        groups = segments["groups"].to_pylist()
-        raw = segments["links"].to_pylist()
-        links = np.frombuffer(b"".join(raw), "<u4").astype(np.int64)
-        sizes = np.array([len(x) >> 2 for x in raw], dtype=np.int64)
-        bad = np.array([g is None for g in groups], dtype=np.int64)
-        n_groups = np.array([g.count("|") if g else 0 for g in groups], dtype=np.int64)
-        per_segment = (segments["n_a"].to_numpy().astype(np.int64), segments["n_b"].to_numpy().astype(np.int64), n_groups, sizes)
-        good = _sums(bad[refs], counts) == 0 if len(refs) else counts == 0
-        stats = [np.where(good, _sums(x[refs], counts), 0) if len(refs) else counts * 0 for x in per_segment]
-        hashes, upto = [], np.cumsum(counts).tolist()
-        for n, end, fine in zip(counts.tolist(), upto, good.tolist()):
-            text = ";".join(map(groups.__getitem__, refs[end - n : end].tolist())) if fine and n else None
-            hashes.append("" if text is None else hashlib.sha256(text.encode()).hexdigest())
+        counts, refs = (_numbers(x) for x in unpacked(block["docs"][0].as_py()))
+        counts = counts.astype(np.int64)
+        parts = [unpacked(x.as_py()) for x in segments["segments"]]
+        column = lambda k: np.concatenate([_numbers(p[k]) for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
+        place, n_a, n_b, sizes, links = map(column, range(5))
+        groups = [g for p in parts for g in p[5].decode().split("\n")]
+        order = np.argsort(place)
+        starts, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        links = links[np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)]
+        groups, n_a, n_b = [groups[k] for k in order.tolist()], n_a[order], n_b[order]
+        n_groups = np.array([g.count("|") for g in groups], dtype=np.int64)
         pairs, local = np.unique(links, return_inverse=True)
-        docs = np.repeat(np.arange(len(counts)), counts)
-        kept = np.repeat(good, counts)
-        n_docs = _pair_documents(docs[kept], refs[kept], np.cumsum(sizes), local, len(pairs)) if len(pairs) else np.zeros(0, np.int64)
+        link_ends, n_docs = np.cumsum(sizes), np.zeros(len(pairs), np.int64)
+        stats, good, hashes = np.zeros((4, len(counts)), np.int64), np.ones(len(counts), bool), []
+        for d, e, r, s in _stretches(counts):
+            here, n = refs[r:s].astype(np.int64), counts[d:e]
+            good[d:e] = _sums((n_groups[here] == 0).astype(np.int64), n) == 0
+            for k, x in enumerate((n_a, n_b, n_groups, sizes)):
+                stats[k, d:e] = np.where(good[d:e], _sums(x[here], n), 0)
+            names, end = here.tolist(), 0
+            for m, fine in zip(n.tolist(), good[d:e].tolist()):
+                end += m
+                hashes.append(hashlib.sha256(";".join([groups[k] for k in names[end - m : end]]).encode()).hexdigest() if fine and m else "")
+            kept = np.repeat(good[d:e], n)
+            if kept.any():
+                n_docs += _pair_documents(np.repeat(np.arange(e - d), n)[kept], here[kept], link_ends, local, len(pairs))
         one = lambda x, t: pa.array([x.tolist() if isinstance(x, np.ndarray) else x], pa.list_(t))
         return pa.table({
-            "block": block["block"], "doc_ids": block["doc_ids"], "counts": block["counts"], "refs": block["refs"], **{c: one(x, pa.int64()) for c, x in zip(STATISTICS, stats)},
-            "good": one(good, pa.bool_()), "groups_sha256": one(hashes, pa.string()), "link_sizes": pa.array([packed(sizes)]), "links": pa.array([packed(local)]),
+            "block": block["block"], "doc_ids": block["doc_ids"], "docs": block["docs"], **{c: one(x, pa.int64()) for c, x in zip(STATISTICS, stats)},
+            "good": one(good, pa.bool_()), "groups_sha256": one(hashes, pa.string()), "links": pa.array([packed(sizes, local)], pa.binary()),
             "pairs": one(pairs, pa.int64()), "pair_docs": one(n_docs, pa.int64()),
         })
 
     fields = ", ".join(f"{c} array<bigint>" for c in STATISTICS)
     schema = (
-        f"block bigint, doc_ids array<{kind}>, counts binary, refs binary, {fields}, good array<boolean>, groups_sha256 array<string>, link_sizes binary, "
-        "links binary, pairs array<bigint>, pair_docs array<bigint>"
+        f"block bigint, doc_ids array<{kind}>, docs binary, {fields}, good array<boolean>, groups_sha256 array<string>, links binary, "
+        "pairs array<bigint>, pair_docs array<bigint>"
     )
-    plain = blocks.select("block", "doc_ids", "counts", "refs")
+    plain = blocks.select("block", "doc_ids", "docs")
     return plain.groupBy("block").cogroup(alignments.groupBy("block")).applyInArrow(run, schema)
 
 
@@ -302,16 +330,19 @@ def pair_counts(composed: DataFrame, n_b: int) -> DataFrame:
 
 def _scored(composed: DataFrame, scores: DataFrame, kind: str) -> DataFrame:
     def run(block: pa.Table, pairs: pa.Table) -> pa.Table:
-        counts, refs, sizes, links = (unpacked(block[c][0].as_py()).astype(np.int64) for c in ("counts", "refs", "link_sizes", "links"))
-        n, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
-        at = pairs["nth"].to_numpy()
-        n[at], best[at] = pairs["n"].to_numpy(), pairs["best"].to_numpy()
-        column = lambda c: block[c].combine_chunks().values if len(block) else None
-        good = np.array(column("good"))
-        over = lambda x: np.where(good, _sums(_sums(x[links], sizes)[refs], counts), 0) if len(links) and len(refs) else counts * 0
-        return pa.table(
-            {"doc_id": column("doc_ids"), **{c: column(c) for c in STATISTICS}, "n_best": over(best), "count_sum": over(n), "groups_sha256": column("groups_sha256")}
-        )
+        counts, refs = (_numbers(x) for x in unpacked(block["docs"][0].as_py()))
+        sizes, links = (_numbers(x) for x in unpacked(block["links"][0].as_py()))
+        counts, scores = counts.astype(np.int64), np.zeros((2, len(pairs)), np.int64)
+        scores[:, pairs["nth"].to_numpy()] = pairs["best"].to_numpy(), pairs["n"].to_numpy()
+        by_segment = [_sums(x[links], sizes) for x in scores]
+        out = np.zeros((2, len(counts)), np.int64)
+        for d, e, r, s in _stretches(counts):
+            for k, x in enumerate(by_segment):
+                out[k, d:e] = _sums(x[refs[r:s]], counts[d:e]) if len(x) else 0
+        column = lambda c: block[c].combine_chunks().values
+        out *= np.array(column("good"))
+        stats = {c: column(c) for c in STATISTICS}
+        return pa.table({"doc_id": column("doc_ids"), **stats, "n_best": out[0], "count_sum": out[1], "groups_sha256": column("groups_sha256")})
 
     schema = f"doc_id {kind}, {', '.join(f'{c} bigint' for c in STATISTICS)}, n_best bigint, count_sum bigint, groups_sha256 string"
     named = composed.drop("pairs", "pair_docs")
@@ -329,8 +360,10 @@ def align(docs: DataFrame, a: str = A, b: str = B, id_col: str = "doc_id", text_
         raise ValueError("pairs of ids must fit 32 bits")
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = plain.schema["doc_id"].dataType.simpleString()
-    blocks = materialise(_blocks(plain, a, b), "segment-blocks")
-    composed = materialise(_composed(blocks, _alignments(blocks, a, b), kind), "composed-blocks")
+    with scratch(docs.sparkSession) as tables:
+        blocks = materialise(_blocks(plain, a, b), "segment-blocks")
+        composed = materialise(_composed(blocks, _alignments(blocks, a, b), kind), "composed-blocks")
+        tables.pop()
     counts = materialise(pair_counts(composed, n_b), "pair-counts")
     held = composed.select("block", F.posexplode("pairs").alias("nth", "pair"))
     scores = held.join(counts, "pair").select(F.col("block").alias("of"), "nth", "n", F.col("best").cast("long").alias("best"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from lodestrand.llm import alignment
-from lodestrand.llm.alignment import A, B, align, packed, pair, unpacked
+from lodestrand.llm.alignment import A, B, _numbers, align, packed, pair, unpacked
 
 
 def tokens(text):
@@ -87,7 +87,8 @@ def test_query(spark, small, small_docs):
 def test_odd_texts(spark, monkeypatch, block):
     monkeypatch.setattr(alignment, "BLOCK_BYTES", block)
     monkeypatch.setattr(alignment, "SLICE_BYTES", min(block, 1 << 20))
-    monkeypatch.setattr(alignment, "_COUNTED", 7)
+    for name in ("_COUNTED", "_TOKENIZED", "_PACKED"):
+        monkeypatch.setattr(alignment, name, 7)
     rng = random.Random(2)
     letters = [" ", " ", " ", "\n", "\t", " ", " ", "a", "the", "é", "'s", "1", ".", "😀", "▁", "ing"]
     rows = [*enumerate(ODD), *((100 + k, "".join(rng.choices(letters[:14], k=rng.randint(1, 12)))) for k in range(150)), (None, "the the"), (None, None), (5, ""), (5, "the")]
@@ -104,7 +105,9 @@ def test_odd_rows(odd, odd_rows, empty):
 
 def test_packed():
     x = np.array([0, 1, 255, 256, 70_000, 2**32 - 1])
-    assert unpacked(packed(x)).tolist() == x.tolist() and unpacked(packed(x[:0])).tolist() == []
+    for numbers in (x, x[:0]):
+        back, text = unpacked(packed(numbers, b"text"))
+        assert _numbers(back).tolist() == numbers.tolist() and text == b"text"
 
 
 def test_cuts_only_where_safe():
