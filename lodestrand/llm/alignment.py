@@ -62,14 +62,17 @@ class Pair:
         cut_by_a = a.get("normalizer") is None and splits.get("type") == "ByteLevel" and splits.get("use_regex") and not splits.get("add_prefix_space")
         return bool(cut_by_a) and not any(x != "▁" and y == "▁" for p in pieces for x, y in zip(p, p[1:]))
 
-    def align(self, segments: list[str]) -> list[tuple[int, int, str, np.ndarray] | None]:
-        """Of each segment, a space before it: tokens of a and b, groups as text, and links as a * |b| + b; None if bytes differ."""
+    def align(self, segments: list[str]) -> list[tuple[str, bytes] | None]:
+        """Of each segment, a space before it: groups as text, and a step for each link; None if bytes differ.
+
+        A step says whether the link has the next token of a (1), of b (2), or of both (3).
+        """
         ids_a = [e.ids for e in self.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)]
         ids_b = self.b.encode(segments, num_threads=1)
         raw = [(" " + s).encode() for s in segments]
         joined = lambda table, ids: b"".join(map(table.__getitem__, ids))
         good = [k for k, x in enumerate(raw) if joined(self.a_bytes, ids_a[k]) == x == joined(self.b_bytes, ids_b[k])]
-        out: list[tuple[int, int, str, np.ndarray] | None] = [None] * len(segments)
+        out: list[tuple[str, bytes] | None] = [None] * len(segments)
         if not good:
             return out
         # All good segments one after another: bytes agree, so ends of tokens do across them.
@@ -77,7 +80,7 @@ class Pair:
         ends_a, ends_b = np.cumsum(self.a_sizes[flat_a]), np.cumsum(self.b_sizes[flat_b])
         # Each stretch between two ends, of either, is in one token of a and one of b: a link.
         stretches = np.union1d(ends_a, ends_b)
-        links = flat_a[np.searchsorted(ends_a, stretches)] * len(self.b_bytes) + flat_b[np.searchsorted(ends_b, stretches)]
+        steps = sum(k * np.diff(np.searchsorted(e, stretches), prepend=-1) for k, e in ((1, ends_a), (2, ends_b))).astype(np.uint8).tobytes()
         both = np.intersect1d(ends_a, ends_b, assume_unique=True)
         to_a, to_b = (np.searchsorted(e, both) + 1 for e in (ends_a, ends_b))
         names_a, names_b = [self.a_names[i] for i in flat_a.tolist()], [self.b_names[i] for i in flat_b.tolist()]
@@ -89,7 +92,7 @@ class Pair:
         last_group, last_link = (np.searchsorted(at, segment_ends) + 1 for at in (both, stretches))
         g = n = 0
         for k, group_end, link_end in zip(good, last_group.tolist(), last_link.tolist()):
-            out[k] = (len(ids_a[k]), len(ids_b[k]), ";".join(groups[g:group_end]), links[n:link_end])
+            out[k] = (";".join(groups[g:group_end]), steps[n:link_end])
             g, n = group_end, link_end
         return out
 
@@ -220,12 +223,12 @@ def _alignments(blocks: DataFrame, a: str, b: str) -> DataFrame:
         cuts = np.flatnonzero(np.diff(blocks_[order], prepend=blocks_[order[:1]] - 1))
         out = []
         for mine in np.split(order, cuts[1:]):
-            n_a, n_b, groups, links = zip(*(found[k] for k in which[mine].tolist()))
-            out.append(packed(refs[mine], np.array(n_a), np.array(n_b), np.array([len(x) for x in links]), np.concatenate(links), "\n".join(groups).encode()))
+            groups, steps = zip(*(found[k] for k in which[mine].tolist()))
+            out.append(packed(refs[mine], np.array([len(x) for x in steps]), b"".join(steps), "\n".join(groups).encode()))
         return pa.RecordBatch.from_arrays([pa.array(blocks_[order[cuts]]), pa.array(out, pa.binary())], ["block", "segments"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, empty = pair(a, b), (0, 0, "", np.zeros(0, np.int64))
+        both, empty = pair(a, b), ("", b"")
         last, found, held = None, [empty], []
         for batch in batches:
             for k in range(0, len(batch), _TOKENIZED):
@@ -275,7 +278,26 @@ def _stretches(counts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         d = e
 
 
-def _composed(blocks: DataFrame, alignments: DataFrame, kind: str) -> DataFrame:
+_BLANKS = bytes.maketrans(b",|;\n", b"    ")
+
+
+def _read_groups(groups: list[str], steps: np.ndarray, n_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of groups as text: tokens of a and of b in each, and all links by their steps."""
+    full = np.flatnonzero([bool(g) for g in groups])
+    raw = "\n".join([groups[k] for k in full.tolist()]).encode()
+    ids = np.fromstring(raw.translate(_BLANKS), dtype=np.int64, sep=" ") if raw else np.zeros(0, np.int64)
+    signs = np.frombuffer(raw, np.uint8)
+    signs = signs[(signs < 0x30) | (signs > 0x39)]
+    # Behind each id but the last stands a sign; b's ids stand between a bar and the group's end.
+    before = lambda marks: np.concatenate(([0], np.cumsum(marks)))[: len(ids)]
+    is_b = before(signs == 0x7C) > before((signs == 0x3B) | (signs == 0x0A))
+    owner = full[before(signs == 0x0A)]
+    counts = [np.bincount(owner[side], minlength=len(groups)) for side in (~is_b, is_b)]
+    links = ids[~is_b][np.cumsum(steps & 1) - 1] * n_b + ids[is_b][np.cumsum(steps >> 1) - 1]
+    return counts[0], counts[1], links
+
+
+def _composed(blocks: DataFrame, alignments: DataFrame, kind: str, n_b_ids: int) -> DataFrame:
     """One row per block: its documents' statistics, and its segments' links as numbers of its distinct pairs, for the scores."""
 
     def run(block: pa.Table, segments: pa.Table) -> pa.Table:
@@ -283,8 +305,10 @@ def _composed(blocks: DataFrame, alignments: DataFrame, kind: str) -> DataFrame:
         counts = counts.astype(np.int64)
         parts = [unpacked(x.as_py()) for x in segments["segments"]]
         column = lambda k: np.concatenate([_numbers(p[k]) for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
-        place, n_a, n_b, sizes, links = map(column, range(5))
-        groups = [g for p in parts for g in p[5].decode().split("\n")]
+        place, sizes = column(0), column(1)
+        steps = np.frombuffer(b"".join(p[2] for p in parts), np.uint8).astype(np.int64)
+        groups = [g for p in parts for g in p[3].decode().split("\n")]
+        n_a, n_b, links = _read_groups(groups, steps, n_b_ids) if groups else (sizes, sizes, sizes)
         order = np.argsort(place)
         starts, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
         links = links[np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)]
@@ -362,7 +386,7 @@ def align(docs: DataFrame, a: str = A, b: str = B, id_col: str = "doc_id", text_
     kind = plain.schema["doc_id"].dataType.simpleString()
     with scratch(docs.sparkSession) as tables:
         blocks = materialise(_blocks(plain, a, b), "segment-blocks")
-        composed = materialise(_composed(blocks, _alignments(blocks, a, b), kind), "composed-blocks")
+        composed = materialise(_composed(blocks, _alignments(blocks, a, b), kind, n_b), "composed-blocks")
         tables.pop()
     counts = materialise(pair_counts(composed, n_b), "pair-counts")
     held = composed.select("block", F.posexplode("pairs").alias("nth", "pair"))
