@@ -110,13 +110,17 @@ def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_
           id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of all documents, in ascending id order (null ids first), to files under path.
 
-    A null text is an empty one: only the end id. Rows that tie in id are ordered by text. Other columns are ignored.
-    An empty table gives files without rows. Texts are tokenized once; only the vocabulary's counts reach the driver.
+    A null text is an empty one: only the end id. Rows that tie in id are ordered by their texts' first 32 characters, then by a hash;
+    repeated rows by where they were read, so that many rows of one id, or of none, don't fall into one range. A text of any length
+    counts whole and is tokenized at once. Other columns are ignored. An empty table gives files without rows. Texts are
+    tokenized once; only the vocabulary's counts reach the driver.
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sorted_docs = plain.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "head", "body", "tie"]
+    keyed = plain.withColumns({"head": F.substring("text", 1, 32), "body": F.xxhash64("text"), "tie": F.monotonically_increasing_id()})
+    sorted_docs = keyed.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
     blocks = materialise(_tokenized(sorted_docs, tokenizer, end_id, id_type), "token-ids")
     counts = [(r.id, r.n) for r in _frequencies(blocks).collect()]  # at most the vocabulary
     order = np.array([i for i, _ in sorted(counts, key=lambda x: (-x[1], x[0]))], dtype=np.int64)

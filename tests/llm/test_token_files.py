@@ -60,3 +60,12 @@ def test_odd_rows(spark, odd, odd_rows, empty, tmp_path):
     assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
     F.write(empty, str(tmp_path / "none"))
     assert F.read(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_many_rows_of_one_id_or_none(spark, tmp_path):
+    rows = [(None if k % 2 else 7, f"text number {k % 300}") for k in range(6000)]
+    F.write(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), str(tmp_path / "many"))
+    got = F.read(spark, str(tmp_path / "many")).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 3000 + [7] * 3000 and [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    sizes = {r.part: r.n for r in spark.read.parquet(str(tmp_path / "many" / "blocks")).selectExpr("part", "size(doc_ids) n").groupBy("part").sum("n").toDF("part", "n").collect()}
+    assert max(sizes.values()) < 3000
