@@ -31,8 +31,6 @@ MIN_ROWS = 10
 MIN_CONFIDENCE = 0.6
 #: A longer token is its beginning and a hash of the whole.
 TOKEN_CHARS = 64
-#: Words of hosts that mark a page as bad, besides what its label says.
-SEEDS = ("adult", "ads", "bets", "casino", "pills", "porn", "spam", "viagra", "warez", "xxx")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -75,7 +73,7 @@ def url_tokens(host: Column, path: Column, url: Column) -> Column:
     )
 
 
-def seeded(tokens: Column, seeds: tuple[str, ...] = SEEDS) -> Column:
+def seeded(tokens: Column, seeds: tuple[str, ...]) -> Column:
     """Whether a host label, or a word of one, is a seed."""
     return F.arrays_overlap(tokens, F.array(*(F.lit(tag + x) for x in seeds for tag in ("h:", "w:")))) if seeds else F.lit(False)
 
@@ -105,10 +103,15 @@ def mine(labelled: DataFrame, tokens: str = "tokens", bad: str = "bad", min_supp
     )
     same = ["n_rows", "n_bad", "x", "y"]
     items = materialise(single.where(F.col("n_bad") >= least_bad).withColumn("item", F.min("token").over(Window.partitionBy(*same))), "url-items")
+    if items.isEmpty():
+        return spark.createDataFrame([], schema)
     reps = items.where("token = item").select(F.array("item").alias("tokens"), "n_rows", "n_bad")
     # Items in combinations: neither in bad rows alone (where such a set is common enough) nor in all rows.
     sure = (F.col("n_bad") == F.col("n_rows")) & (F.col("n_rows") >= least) & (_low(F.col("n_bad"), F.col("n_rows")) >= min_confidence)
     joining = materialise(items.where((F.col("token") == F.col("item")) & ~sure & (F.col("n_rows") < total)).select("item"), "url-joining")
+    if joining.limit(2).count() < 2:
+        # Nothing to combine: single items are all the sets there are, and none of them is part of another.
+        return _good(reps, least, min_confidence)
     one = baskets.select("bad", "row", F.explode(F.array_distinct("items")).alias("item")).join(joining, "item")
     rows = materialise(one.groupBy("row", "bad").agg(F.array_sort(F.collect_list("item")).alias("items")).where(F.size("items") > 1), "url-rows")
     bad_rows = rows.where("bad").select("items")
@@ -120,8 +123,9 @@ def mine(labelled: DataFrame, tokens: str = "tokens", bad: str = "bad", min_supp
         found = materialise(found.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n_bad")).withColumn("rule", F.monotonically_increasing_id()), "url-sets")
         counted = match(rows, found, "row", "items").groupBy("rule").agg(F.count("*").alias("n_rows")).join(found, "rule")
         sets = reps.unionByName(counted.select("tokens", "n_rows", "n_bad"))
-    good = sets.where((F.col("n_rows") >= least) & (_low(F.col("n_bad"), F.col("n_rows")) >= min_confidence))
-    kept = materialise(good.select("tokens", (F.col("n_bad") / F.col("n_rows")).alias("confidence"), "n_rows"), "url-good")
+    kept = materialise(_good(sets, least, min_confidence), "url-good")
+    if kept.where(F.size("tokens") > 1).isEmpty():
+        return kept
     kept = materialise(kept.withColumn("rule", F.monotonically_increasing_id()), "url-kept")
     # A rule goes if a smaller kept one with its tokens is as sure: each rule is matched like a URL against the rest.
     smaller = kept.select("rule", "tokens", F.col("confidence").alias("their_confidence"))
@@ -134,6 +138,11 @@ def mine(labelled: DataFrame, tokens: str = "tokens", bad: str = "bad", min_supp
     return kept.join(covered, "rule", "left_anti").select("tokens", "confidence", "n_rows")
 
 
+def _good(sets: DataFrame, least: float, min_confidence: float) -> DataFrame:
+    good = sets.where((F.col("n_rows") >= least) & (_low(F.col("n_bad"), F.col("n_rows")) >= min_confidence))
+    return good.select("tokens", (F.col("n_bad") / F.col("n_rows")).alias("confidence"), "n_rows")
+
+
 def _low(n_bad: Column, n_rows: Column) -> Column:
     """The lower end of the 95 % Wilson interval of a share."""
     p, z = n_bad / n_rows, 1.96
@@ -157,14 +166,14 @@ def match(rows: DataFrame, rules: DataFrame, key: str, tokens: str) -> DataFrame
 
 
 def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id",
-          min_confidence: float = MIN_CONFIDENCE, max_tokens: int | None = None, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
+          min_confidence: float = MIN_CONFIDENCE, max_tokens: int | None = None, seeds: tuple[str, ...] = ()) -> DataFrame:
     """page_id, host, path, rule, verdict, mined (the strongest mined rule that fits, else null).
 
     `labels` gives (label_id, quality, toxic) of pages; bad means quality 0 or toxic 1, and labels of one page that
-    differ count by the worst; a page whose host has a seed is bad as well. The verdict is the prefix rule's; without one, block
+    differ count by the worst; a page whose host has one of the words `seeds`, if any are given, is bad as well. The verdict is the prefix rule's; without one, block
     where a mined rule fits, else allow. Null and malformed URLs have an empty host and path and are allowed. URLs of any length
     are read whole. Repeated page ids are judged by their own URL, and each row gives a row, also one with a null id (which has
-    no label). An empty table of pages gives no rows, one of labels leaves the seeds. Other columns are ignored.
+    no label). An empty table of pages gives no rows, one of labels no mined rules. Other columns are ignored.
     """
     host, path = split_url(F.col("url"))
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).select(

@@ -113,8 +113,9 @@ def test_seeds(spark):
     urls = [(k, f"http://m.adult-{k % 3}.example.net/en/{k}") for k in range(60)] + [(100 + k, f"http://m.fine.example.net/en/{k}") for k in range(60)]
     pages = spark.createDataFrame(urls, "page_id bigint, url string")
     labels = spark.createDataFrame([(100 + k, 1, 0) for k in range(60)], "doc_id bigint, quality int, toxic int")
-    got = url_rules.judge(pages, labels).collect()
+    got = url_rules.judge(pages, labels, seeds=("adult",)).collect()
     assert all((r.verdict == "block") == (r.page_id < 100) for r in got) and {r.mined for r in got} == {"w:adult", None}
+    assert {(r.verdict, r.mined) for r in url_rules.judge(pages, labels).collect()} == {("allow", None)}
 
 
 def test_empty_tables(spark):
