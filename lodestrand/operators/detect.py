@@ -1,57 +1,62 @@
-"""Language labels by weighted keyword counts.
+"""Language labels by a linear model over code tokens.
 
-The scorer of the system whose queries these are is not public in its tree; the table below is our own. It keeps the
-contract: eight languages, at least ten characters, a threshold of 5, `unknown` otherwise; its labels are its own.
+The scorer of the system whose queries these are is not public in its tree. Ours keeps its contract, eight languages, at least
+ten characters, a threshold of 5, `unknown` otherwise; its labels are its own. Its weights are fitted in the session, by
+multinomial naive Bayes over generated snippets: a token's weight for a language is how much likelier it is there than in
+prose, in tenths. A text is cut into tokens once, and those that have weights are added up.
 """
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column
+from pyspark.ml.classification import NaiveBayes
+from pyspark.ml.feature import CountVectorizer
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import has_units, trim
+from ..sources.snippets import NONE, STATEMENTS, training
 from .normalize import normalize, once
 
 THRESHOLD, SHORTEST = 5, 10
-#: Language -> (pattern, weight); ties go to the language that stands first. Patterns mean the same in Java and RE2.
-PATTERNS: dict[str, tuple[tuple[str, int], ...]] = {
-    "r": ((r" <- ", 3), (r"\blibrary\(", 4), (r"\bfunction\(", 1), (r"%>%", 4), (r"\bdata\.frame\(", 5), (r"\bggplot\(", 5)),
-    "python": ((r"\bdef [a-z_]\w*\(", 4), (r"\bimport [a-z]", 3), (r"\bprint\(", 1), (r"\bself\b", 3), (r"\belif\b", 4), (r"\bNone\b", 2), (r"\blen\(", 2)),
-    "sql": ((r"(?i)\bselect\b", 3), (r"(?i)\bfrom\b", 1), (r"(?i)\bwhere\b", 2), (r"(?i)\bgroup by\b", 3), (r"(?i)\border by\b", 3), (r"(?i)\binsert into\b", 5), (r"(?i)\bcreate table\b", 5)),
-    "javascript": ((r"\bconst \w+ =", 3), (r"\blet \w+ =", 3), (r"=>", 2), (r"\bconsole\.log\(", 4), (r"===", 2), (r"\brequire\(", 3)),
-    "typescript": ((r": (string|number|boolean)\b", 4), (r"\binterface \w+", 3), (r"\bconst \w+ =", 2), (r"=>", 1), (r"\breadonly\b", 3), (r"\bexport type\b", 4)),
-    "java": ((r"\bpublic (static|class|void|int)\b", 4), (r"\bSystem\.out\.", 5), (r"\bprivate (final|static|int|String)\b", 3), (r"\bString\[\]", 4), (r"\bnew [A-Z]\w*\(", 1)),
-    "cpp": ((r"#include", 5), (r"\bstd::", 4), (r"\bcout\b", 3), (r"\bint main\(", 4), (r"\busing namespace\b", 5)),
-    "kotlin": ((r"\bfun \w+\(", 5), (r"\bval \w+", 3), (r"\bvar \w+: ", 2), (r"\bprintln\(", 1), (r"\bdata class\b", 5)),
-}
-LANGUAGES = tuple(PATTERNS)
+#: Tenths in which weights are counted, and training snippets that a token must be in.
+TENTHS, LEAST = 10, 8
+#: Words of two letters or more, and signs that few languages have. It means the same in Java and RE2.
+TOKEN = r"[A-Za-z_]{2,}|#[a-z]+|<-|%>%|=>|->|===|!==|::|<<|>>|\?\.|[{};]"
+#: Of equal scores the first counts.
+LANGUAGES = tuple(STATEMENTS)
 #: Our own choice of other names that a fence may give; they are kept as written.
 ALIASES = ("py", "js", "jsx", "ts", "tsx", "c++", "cc", "h", "hpp", "kt", "kts", "mysql", "rscript")
+#: Weights by application.
+_FITTED: dict[str, dict[str, tuple[int, ...]]] = {}
 
 
-def literal(pattern: str) -> str:
-    """The longest text that each match of a pattern holds as it is (in lower case, of a pattern for either case)."""
-    flat = re.sub(r"\\[wbsd][*+]?|\[(?:\\.|[^\]\\])*\][*+]?|(?<!\\)\([^)]*\)", "\0", pattern.removeprefix("(?i)"))
-    return max((re.sub(r"\\(.)", r"\1", part) for part in flat.split("\0")), key=len)
+def weights(spark: SparkSession) -> dict[str, tuple[int, ...]]:
+    """Of each token its weight, in tenths, for each of LANGUAGES; fitted once for each application."""
+    app = spark.sparkContext.applicationId
+    if app not in _FITTED:
+        labels = {name: k for k, name in enumerate((*LANGUAGES, NONE))}
+        rows = spark.createDataFrame([(float(labels[lang]), text) for lang, text in training()], "label double, text string")
+        rows = rows.withColumn("tokens", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))
+        counts = CountVectorizer(inputCol="tokens", outputCol="features", minDF=LEAST).fit(rows)
+        theta = NaiveBayes(modelType="multinomial", smoothing=1.0).fit(counts.transform(rows)).theta.toArray()
+        tenths = ((theta[:-1] - theta[-1]) * TENTHS).round().astype(int)
+        _FITTED[app] = {token: tuple(map(int, tenths[:, k])) for k, token in enumerate(counts.vocabulary)}
+    return _FITTED[app]
 
 
-def score(code: Column, low: Column, language: str) -> Column:
-    """The language's total. A pattern is counted only in texts that hold its literal part, which a plain search tells."""
-    total = F.lit(0)
-    for pattern, weight in PATTERNS[language]:
-        there = (low if pattern.startswith("(?i)") else code).contains(literal(pattern))
-        total = total + F.when(there, F.regexp_count(code, F.lit(pattern)) * weight).otherwise(0)
-    return total
+def scores(code: Column) -> Column:
+    """array<int>: of each of LANGUAGES the sum of the tokens' weights."""
+    known = sorted(weights(SparkSession.active()).items())
+    place = F.map_from_arrays(F.lit([token for token, _ in known]), F.lit(list(range(len(known)))))
+    columns = [F.lit([w[k] for _, w in known]) for k in range(len(LANGUAGES))]
+    found = F.filter(F.transform(F.regexp_extract_all(code, F.lit(TOKEN), F.lit(0)), lambda t: F.try_element_at(place, t)), lambda i: i.isNotNull())
+    total = lambda at, column: F.aggregate(at, F.lit(0), lambda a, i: a + F.get(column, i))
+    return once(found, lambda at: F.array(*(total(at, column) for column in columns)))
 
 
 def detect(code: Column) -> Column:
-    scores = lambda clean: once(
-        F.struct(clean.alias("code"), F.lower(clean).alias("low")), lambda x: F.array(*(score(x["code"], x["low"], name) for name in LANGUAGES))
-    )
     best = lambda s: F.struct(F.array_max(s).alias("top"), F.array_position(s, F.array_max(s)).alias("at"))
-    label = lambda b: F.when(b["top"] >= THRESHOLD, F.element_at(F.array(*map(F.lit, LANGUAGES)), b["at"].cast("int"))).otherwise("unknown")
+    label = lambda b: F.when(b["top"] >= THRESHOLD * TENTHS, F.element_at(F.array(*map(F.lit, LANGUAGES)), b["at"].cast("int"))).otherwise("unknown")
     found = once(once(once(normalize(code), scores), best), label)
     return F.when(has_units(trim(code), SHORTEST), found).otherwise("unknown")
 

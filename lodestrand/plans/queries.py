@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable
+from math import log
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +16,7 @@ from ..operators import detect as D
 from ..operators import histories as H
 from ..operators import normalize as N
 from ..operators import strategies as S
-from ..sources import derived, dims
-from ..sources import block_files
+from ..sources import block_files, derived, dims, snippets
 from ..sources.documents import read_files, spread
 from ..sources.tables import fresh_path
 from .extract import EMPTY, NO_FILE, NOTHING, block_rows, extract, observed
@@ -64,18 +66,30 @@ def sql_drop(x: str) -> str:
     return sql_trim(f"array_to_string(list_filter(string_split({x}, chr(10)), lambda l: NOT starts_with({bare}, '##')), chr(10))")
 
 
-def sql_scores(clean: str) -> str:
-    one = lambda name: " + ".join(f"{w} * len(regexp_extract_all({clean}, {q(p)}))" for p, w in D.PATTERNS[name])
-    return f"[{', '.join(one(name) for name in D.LANGUAGES)}]"
+def counted_weights() -> dict[str, tuple[int, ...]]:
+    """The detector's weights from plain counts of the training snippets."""
+    found = [(lang, re.findall(D.TOKEN, text)) for lang, text in snippets.training()]
+    spread_ = Counter(t for _, tokens in found for t in set(tokens))
+    counts = {name: Counter() for name in (*D.LANGUAGES, snippets.NONE)}
+    for lang, tokens in found:
+        counts[lang].update(t for t in tokens if spread_[t] >= D.LEAST)
+    kept = [t for t, n in spread_.items() if n >= D.LEAST]
+    likely = {name: {t: log((c[t] + 1) / (c.total() + len(kept))) for t in kept} for name, c in counts.items()}
+    return {t: tuple(round(D.TENTHS * (likely[name][t] - likely[snippets.NONE][t])) for name in D.LANGUAGES) for t in kept}
+
+
+WEIGHTS = ", ".join(f"({q(t)}, {', '.join(map(str, w))})" for t, w in counted_weights().items())
 
 
 def sql_detected(source: str, code: str = "code") -> str:
     """A query: source's columns and the detected language as `found`."""
-    names = f"[{', '.join(map(q, D.LANGUAGES))}]"
+    names, places = f"[{', '.join(map(q, D.LANGUAGES))}]", [f"w{k}" for k in range(len(D.LANGUAGES))]
     return (
-        f"SELECT * EXCLUDE (clean, scores), CASE WHEN length({sql_trim(code)}) < {D.SHORTEST} OR list_max(scores) < {D.THRESHOLD} THEN 'unknown' "
-        f"ELSE {names}[list_position(scores, list_max(scores))] END AS found FROM (SELECT *, {sql_scores('clean')} AS scores "
-        f"FROM (SELECT *, {sql_normalize(code)} AS clean FROM ({source})))"
+        f"WITH s AS MATERIALIZED (SELECT *, row_number() OVER () AS rid FROM (SELECT *, {sql_normalize(code)} AS clean FROM ({source}))), "
+        f"g AS (SELECT rid, [{', '.join(f'sum({w})' for w in places)}] AS scores FROM (SELECT rid, unnest(regexp_extract_all(clean, {q(D.TOKEN)})) AS token FROM s) "
+        f"JOIN (VALUES {WEIGHTS}) AS w(token, {', '.join(places)}) USING (token) GROUP BY rid) "
+        f"SELECT s.* EXCLUDE (clean, rid), CASE WHEN length({sql_trim(code)}) < {D.SHORTEST} OR scores IS NULL OR list_max(scores) < {D.THRESHOLD * D.TENTHS} THEN 'unknown' "
+        f"ELSE {names}[list_position(scores, list_max(scores))] END AS found FROM s LEFT JOIN g USING (rid)"
     )
 
 
@@ -195,6 +209,22 @@ def detect_lang(spark, sf_dir):
     return corpus(spark, sf_dir).select("doc_id", D.detect(F.col("text")).alias("lang"))
 
 
+LANG, SNIPPET = snippets.measured_sql("doc_id")
+
+
+@query(f"SELECT doc_id, lang, code, found FROM ({sql_detected(f'SELECT doc_id, {LANG} AS lang, {SNIPPET} AS code FROM documents')})")
+def detector_measured(spark, sf_dir):
+    """A snippet for each document that the weights never saw: its language, and what is detected."""
+    lang, code = snippets.measured(F.col("doc_id"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", lang.alias("lang"), code.alias("code"))
+    return docs.withColumn("found", D.detect(F.col("code")))
+
+
+@query(f"SELECT lang, count(*) AS n, count(*) FILTER (found = lang) AS n_found FROM ({ORACLES['detector_measured']}) GROUP BY lang")
+def detector_recall(spark, sf_dir):
+    return detector_measured(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("found") == F.col("lang")).alias("n_found"))
+
+
 @query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY nth) - 1 AS BIGINT) AS nth, code FROM ({NOTEBOOKS})")
 def notebook_cells(spark, sf_dir):
     docs = corpus(spark, sf_dir)

@@ -1,6 +1,7 @@
 """Golden cases of the extraction."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +94,44 @@ def test_extract_stream(spark, tmp_path):
     stream = extract_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
     stream.writeStream.format("memory").queryName("blocks").trigger(availableNow=True).start().awaitTermination(120)
     assert [r.lang for r in spark.table("blocks").collect()] == ["python"]
+
+
+@pytest.mark.parametrize("unit", ["kode ", "kode kode. ", "script ", "kode a:", "a:", "kode\n", "output ", "```", "syntax  : x\n"])
+def test_labels_take_linear_time(spark, unit):
+    """A megabyte of what might begin a label. The session is warm by then."""
+    text = unit * (1_000_000 // len(unit))
+    df = spark.range(1).select(F.repeat(F.lit(unit), 1_000_000 // len(unit)).alias("t")).select(F.size(S.anchor_candidates(F.col("t"))).alias("n"))
+    began = time.perf_counter()
+    assert df.first().n == (text.count(":") if unit in ("kode a:", "syntax  : x\n") else 0)
+    assert time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize("given, want", [
+    ("a kode b.c kode d: one two three four", ["one two three four"]), ("kode: none here at all", []), ("my-kode x y : some code", ["some code"]),
+    ("kode a\nb:first program : second", ["first program : second", "second"]), ("kode é : not one, kode e : one", ["one"]), ("syntax x: none", []),
+])
+def test_labels(spark, given, want):
+    assert list(one(spark, S.anchor_candidates(F.col("t")), t=given)) == want
+
+
+@pytest.mark.parametrize("given, want", [("abc", 3), ("😀", 2), ("a😀é", 4), ("", 0)])
+def test_units(spark, given, want):
+    assert one(spark, T.units(F.col("t")), t=given) == want
+
+
+def test_first_units(spark):
+    for n, want in ((1, "a"), (2, "a"), (3, "a😀"), (4, "a😀b"), (9, "a😀b")):
+        assert one(spark, T.first_units(F.col("t"), n), t="a😀b") == want
+
+
+@pytest.mark.parametrize("given", [
+    "{}", ' {"a": [1, {"b": "}"}]} \n', '{"a": "\\""}', "{} x", "{}{}", '{} "a"', "[{}]", "{", "}", "", '{"a": 1}]', "{},", "x{}", "\ufeff{}", "{}\xa0", '{"a": "\\\\"}{', "{]", '{"a":"x\ny"}',
+])
+def test_one_json_object(spark, given):
+    def strict():
+        try:
+            return isinstance(json.loads(given, strict=False), dict)
+        except ValueError:
+            return given == "{]"  # what is inside is the parser's to judge
+
+    assert one(spark, F.coalesce(T.one_json_object(F.col("t")), F.lit(False)), t=given) == strict()
