@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable
+from functools import reduce
 from math import log
 
 from pyspark.sql import DataFrame, SparkSession
@@ -485,27 +486,55 @@ def observed_counts(spark, sf_dir):
 # --- static tables ------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT id, label, emoji, color, ext FROM {DIM}")
+@query(f"SELECT id, label, emoji, color, ext, coalesce(n, 0) AS n_blocks FROM {DIM} d LEFT JOIN (SELECT lang, count(*) AS n FROM ({BLOCKS}) GROUP BY lang) b ON d.id = b.lang")
 def languages(spark, sf_dir):
-    return dims.languages(spark)
+    """All languages of the static table, with the number of blocks that the corpus has in each."""
+    counts = rows_of(spark, sf_dir).groupBy(F.col("lang").alias("id")).agg(F.count("*").alias("n"))
+    return dims.languages(spark).join(counts, "id", "left").select("id", "label", "emoji", "color", "ext", F.coalesce("n", F.lit(0)).alias("n_blocks"))
 
 
-@query(f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(q, r)) + ')' for r in dims.STATS)}) AS t(label, val, color)")
+@query(
+    f"WITH b AS ({BLOCKS}) SELECT label, val, color FROM (VALUES {', '.join('(' + ', '.join(map(q, (r[0], r[2]))) + ')' for r in dims.STATS)}) AS t(label, color) JOIN ("
+    f"SELECT {q(dims.STATS[0][0])} AS label, format('{{:,}}', count(*)) AS val FROM documents UNION ALL SELECT {q(dims.STATS[1][0])}, format('{{:,}}', count(*)) FROM b "
+    f"UNION ALL SELECT {q(dims.STATS[2][0])}, format('{{:,}}', count(DISTINCT lang)) FROM b "
+    f"UNION ALL SELECT {q(dims.STATS[3][0])}, printf('%.1f%%', floor(1000.0 * count(*) FILTER (found = lang) / count(*) + 0.5) / 10) FROM ({ORACLES['detector_measured']})) USING (label)"
+)
 def stats(spark, sf_dir):
-    return dims.stats(spark)
+    """The figures of the static table, counted instead of stated: documents, blocks, their languages, and what the detector gets right."""
+    found = rows_of(spark, sf_dir).agg(F.count("*").alias("a"), F.count_distinct("lang").alias("b"))
+    right = detector_measured(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(F.col("found") == F.col("lang")).alias("r"))
+    share = F.format_string("%.1f%%", F.floor(1000.0 * F.col("r") / F.col("n") + 0.5) / 10)
+    one = lambda df, label, val: df.select(F.lit(label).alias("label"), val.alias("val"))
+    parts = (
+        one(table(spark, sf_dir, "documents").agg(F.count("*").alias("n")), dims.STATS[0][0], F.format_number("n", 0)), one(found, dims.STATS[1][0], F.format_number("a", 0)),
+        one(found, dims.STATS[2][0], F.format_number("b", 0)), one(right, dims.STATS[3][0], share),
+    )
+    values = reduce(DataFrame.unionByName, parts)
+    return dims.stats(spark).drop("val").join(values, "label").select("label", "val", "color")
 
 
-RECENT = ", ".join(f"({r[0]}, {', '.join(map(q, r[1:6]))}, {r[6]})" for r in dims.RECENT_FILES)
+RECENT = f"""
+SELECT s.doc_id, coalesce(s.filename, '-') AS nama, upper(string_split(s.filename, '.')[-1]) AS jenis, coalesce(label, lang, '-') AS bahasa,
+       CASE WHEN s.status = 200 THEN '✅ Berhasil' ELSE '❌ Gagal' END AS badge
+FROM ({ORACLES['extract_status']}) s LEFT JOIN (SELECT doc_id, arg_min(lang, index) AS lang FROM ({BLOCKS.replace(CORPUS, FAULTY)}) GROUP BY doc_id) b ON b.doc_id = s.doc_id AND s.status = 200
+LEFT JOIN {DIM} d ON d.id = b.lang
+"""
 
 
-@query(f"SELECT nama, CASE WHEN ok THEN '✅ ' ELSE '❌ ' END || status AS badge FROM (VALUES {RECENT}) AS t(ord, nama, jenis, bahasa, status, tgl, ok) ORDER BY ord LIMIT 3")
-def recent_limit(spark, sf_dir):
-    return dims.recent_files(spark).orderBy("ord").limit(3).select("nama", B.status_badge(F.col("ok"), F.col("status")).alias("badge"))
+@query(RECENT)
+def recent_files(spark, sf_dir):
+    """Documents as the list of recent files: name, type, language of the first block, and how it went."""
+    found = extract(faulty(corpus(spark, sf_dir)))
+    rows = found.select("doc_id", F.coalesce("filename", F.lit("-")).alias("nama"), F.upper(T.file_ext(F.col("filename"))).alias("jenis"), F.try_element_at("blocks", F.lit(1))["lang"].alias("first"), "status")
+    ok = F.col("status") == 200
+    named = B.with_language(rows, dims.languages(spark), "first")
+    return named.select("doc_id", "nama", "jenis", F.coalesce("label", F.lit("-")).alias("bahasa"), B.status_badge(ok, F.when(ok, "Berhasil").otherwise("Gagal")).alias("badge"))
 
 
-@query(f"SELECT nama, jenis, bahasa, CASE WHEN ok THEN '✅ ' ELSE '❌ ' END || status AS badge, tgl FROM (VALUES {RECENT}) AS t(ord, nama, jenis, bahasa, status, tgl, ok)")
-def recent_files(spark, sf_dir):
-    return dims.recent_files(spark).select("nama", "jenis", "bahasa", B.status_badge(F.col("ok"), F.col("status")).alias("badge"), "tgl")
+@query(f"SELECT * FROM ({RECENT}) ORDER BY doc_id DESC LIMIT 3")
+def recent_limit(spark, sf_dir):
+    """The three that came last."""
+    return recent_files(spark, sf_dir).orderBy(F.desc("doc_id")).limit(3)
 
 
 @query()

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 #: Whether shuffle files go when the statement that made them has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings for Python stages over whole texts: batches of some MB, not of 10,000 texts of any length.
+SMALL_BATCHES = {"spark_sql_execution_arrow_maxRecordsPerBatch": "1000"}
 #: The lists of open `scratch` blocks.
 _OPEN: list[list[str]] = []
 #: Local folders by application, where the setting is absent: a running session doesn't take it.
@@ -39,19 +41,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, **settings: str) -> DataFrame:
     """Write a table once and read it back: cuts lineage, and every later reader sees the same rows.
 
     A lost executor costs nothing, as the files are in the shared folder. They stay until `scratch` or `clean_up` removes them; files
-    of shuffles that led to the table go at once.
+    of shuffles that led to the table go at once. Settings hold while it is written (`a_b` stands for `a.b`).
     """
-    spark = df.sparkSession
-    path, before = fresh_path(spark, name), spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    wanted = {_CLEANUP: "true"} | {k.replace("_", "."): v for k, v in settings.items()}
+    before = {k: spark.conf.get(k, None) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

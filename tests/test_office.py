@@ -96,3 +96,13 @@ def test_each_damaged_file_is_a_row(spark, tmp_path):
     got = {r.filename: (r.status, r.error) for r in extract(docs).collect()}
     assert got.pop("good.txt")[0] == 404 and got.pop("missing.docx")[0] == 422
     assert set(got) == set(bad) - {"missing.docx"} and all(s == 500 and e.startswith("unreadable: ") for s, e in got.values())
+
+
+def test_large_files_are_rows(spark, tmp_path):
+    (tmp_path / "big.txt").write_text("x" * 5000)
+    (tmp_path / "big.docx").write_bytes(b"x" * 5000)
+    (tmp_path / "small.txt").write_text("x")
+    got = {r.filename: (r.size, r.text, r.error) for r in read_files(spark, str(tmp_path), 4000).collect()}
+    assert got == {"big.txt": (5000, None, "too large"), "big.docx": (5000, None, "too large"), "small.txt": (1, "x", None)}
+    plan = read_files(spark, str(tmp_path), 4000).where("error = 'too large'")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(length,4000)" in plan
