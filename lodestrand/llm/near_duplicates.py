@@ -308,7 +308,7 @@ def _classed(docs: DataFrame) -> DataFrame:
     """(key, doc_id, class_id) of each row of docs (key, doc_id, text)."""
     sketched = materialise(_sketches(docs), "near-sketches")
     worded = sketched.where(F.col("key").isNotNull() & (F.size("bands") > 0))
-    copies = worded.groupBy("c1", "c2").agg(F.min("key").alias("rep"), F.min("doc_id").alias("first"), F.first("bands").alias("bands"))
+    copies = worded.groupBy("c1", "c2").agg(F.min("key").alias("rep"), F.min("doc_id").alias("first"), F.first("bands").alias("bands"), F.count("*").alias("n"))
     copies = materialise(copies, "near-copies")
     members = copies.select("rep", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last")
@@ -327,17 +327,24 @@ def _classed(docs: DataFrame) -> DataFrame:
     named = named.join(label.select(F.col("node").alias("leader"), F.col("label").alias("theirs")), "leader", "left")
     named = named.select("key", "rep", "similarity", F.coalesce("mine", "rep").alias("mine"), F.coalesce("theirs", "leader").alias("theirs"))
     named = materialise_joined(named.withColumn("stranger", F.col("mine") != F.col("theirs")), "near-members")
-    more = materialise_joined(_stranger_links(named, copies.select("rep", "bands"), bags), "near-rest")
-    if not more.isEmpty():
-        # The classes so far stand for their links.
-        label = components(label.select("node", "label").union(more))
-    named_copies = copies.join(label, copies.rep == label.node, "left").select("c1", "c2", "rep", "first", F.coalesce("label", "rep").alias("class_id"))
+    if not named.where("stranger").isEmpty():
+        more = materialise_joined(_stranger_links(named, copies.select("rep", "bands"), bags), "near-rest")
+        if not more.isEmpty():
+            # The classes so far stand for their links.
+            label = components(label.select("node", "label").union(more))
+    named_copies = copies.join(label, copies.rep == label.node, "left").select("c1", "c2", "rep", "first", "n", F.coalesce("label", "rep").alias("class_id"))
     # Classes with a key that is no id are named by their smallest id.
     odd = materialise(named_copies.where("rep <> first").select("class_id").distinct(), "near-odd")
     if not odd.isEmpty():
         names = named_copies.join(odd, "class_id", "left_semi").groupBy("class_id").agg(F.min("first").alias("name"))
         named_copies = named_copies.join(names, "class_id", "left").withColumn("class_id", F.coalesce("name", "class_id"))
-    found = worded.select("key", "doc_id", "c1", "c2").join(named_copies.select("c1", "c2", "class_id"), ["c1", "c2"])
+    # Contents with more than a 1/HUBS of all rows, fewer than HUBS, are broadcast, so that no group of copies is a hot key.
+    limit = (copies.agg(F.sum("n")).first()[0] or 0) / HUBS
+    many = F.broadcast(named_copies.where(F.col("n") > limit).select("c1", "c2", F.col("class_id").alias("hub")))
+    rows = worded.select("key", "doc_id", "c1", "c2").join(many, ["c1", "c2"], "left")
+    few = named_copies.where(F.col("n") <= limit).select("c1", "c2", "class_id")
+    found = rows.where("hub IS NULL").drop("hub").join(few, ["c1", "c2"]).select("key", "doc_id", "class_id")
+    found = found.unionByName(rows.where("hub IS NOT NULL").select("key", "doc_id", F.col("hub").alias("class_id")))
     alone = sketched.where(F.col("key").isNull() | (F.size("bands") == 0)).select("key", "doc_id", F.col("doc_id").alias("class_id"))
     id_type = docs.schema["doc_id"].dataType
     return found.select("key", "doc_id", F.col("class_id").cast(id_type).alias("class_id")).union(alone)

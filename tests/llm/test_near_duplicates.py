@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from lodestrand.llm import near_duplicates as N
 from lodestrand.llm.queries import QUERIES
@@ -104,3 +105,32 @@ def test_signatures_are_unbiased(words):
     for a in range(5):
         for b in range(5):
             assert abs(hits[a, b] / rounds - similarity(bags[a], bags[b])) < 0.03
+
+
+@pytest.mark.parametrize("hubs", [1, 3, 2000])
+def test_components_with_few_hubs(spark, monkeypatch, hubs):
+    """With few hubs most nodes go through the shuffles."""
+    monkeypatch.setattr(N, "HUBS", hubs)
+    rng = random.Random(hubs)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000, k) for k in range(1001, 1060)] + [(k, k + 1) for k in range(2000, 2040)]
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    want = {x: root(x) for x in parent if root(x) != x}
+    found = N.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert {r.node: r.label for r in found} == want
+
+
+def test_a_group_of_copies_is_no_hot_key(spark, words, monkeypatch):
+    monkeypatch.setattr(N, "HUBS", 10)
+    rows = [(k, words(40, 1)) for k in range(500)] + [(1000 + k, words(40, 100 + k // 2)) for k in range(60)]
+    got = {r.doc_id: r.class_id for r in N.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {k: 0 for k in range(500)} | {1000 + k: 1000 + k // 2 * 2 for k in range(60)}
