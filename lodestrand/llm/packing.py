@@ -187,8 +187,8 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null text is an empty one: a piece of the end id alone. Only documents longer than the capacity are cut. Repeated
-    rows and null ids are documents of their own. Other columns are ignored. An empty table gives no rows.
+    A null text is an empty one: a piece of the end id alone. Only documents longer than the capacity are cut; a text of any
+    length is tokenized whole. Repeated rows and null ids are documents of their own. Other columns are ignored. An empty table gives no rows.
     """
     cut = materialise(pieces(docs, tokenizer, end_id, capacity, id_col, text_col), "pack-pieces")
     by_task = cut.groupBy("part", "length").agg(F.count("*").alias("n"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keys import fresh
 from .store import materialise, partitions
 
 #: Range partitions per shuffle partition, so that hashing ranges to tasks stays even.
@@ -70,14 +71,40 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write whole documents under shard=N/ folders, sorted by slot. Ids must be unique and not null."""
-    plan = shard_by_bytes(docs, shards, id_col, text_col).select(F.col("doc_id").alias("_id"), "shard", "slot")
+    """Write whole documents, all columns, under shard=N/ folders, sorted by slot.
+
+    Every row is written once, whatever its id: null ids, ids that come several times and repeated rows too. Of rows with one id and text it
+    doesn't matter which gets which of their slots. Columns named shard and slot are replaced. An empty table gives a table without rows.
+    """
+    plan = shard_by_bytes(docs, shards, id_col, text_col)
+    names = fresh(docs, "_id", "_crc", "_size", "_nth", "shard_", "slot_")
+    i, crc, size, nth, shard, slot = names
+    # Rows of one id, checksum and size are told apart by a number. Many of them may be one group, so numbers are per partition, then per group.
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.withColumns({i: F.col(id_col), crc: F.crc32(text.cast("binary")), size: F.octet_length(text).cast("long") + 1})
+    left = _numbered(materialise(keyed, "shard-rows"), [i, crc, size], nth)
+    right = _numbered(materialise(plan.select(F.col("doc_id").alias(i), F.col("text_crc32").alias(crc), F.col("size").alias(size), F.col("shard").alias(shard), F.col("slot").alias(slot)), "shard-plan"), [i, crc, size], nth)
+    right = right.select(*(F.col(c).alias(f"r{c}") if c in (i, crc, size, nth) else F.col(c) for c in (i, crc, size, nth, shard, slot)))
+    same = F.col(i).eqNullSafe(F.col(f"r{i}"))
+    for c in (crc, size, nth):
+        same = same & (F.col(c) == F.col(f"r{c}"))
     keep = [F.col(c) for c in docs.columns if c not in ("shard", "slot")]
     (
-        docs.join(plan, F.col(id_col) == F.col("_id"))
-        .select(*keep, "shard", "slot")
-        .repartitionByRange(RANGES * shards, "shard", "slot")
-        .sortWithinPartitions("shard", "slot")
-        .write.partitionBy("shard")
-        .parquet(path)
-    )
+        left.join(right, same).select(*keep, F.col(shard).alias("shard"), F.col(slot).alias("slot"))
+        .repartitionByRange(RANGES * shards, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    )
+
+
+def _numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """rows with a gapless number, from 0, among those of equal keys: by partition, and counts of earlier partitions."""
+    part, row, base = fresh(rows, "_part", "_row", "_base")
+    rows = rows.withColumns({part: F.spark_partition_id(), row: F.monotonically_increasing_id()})
+    own = F.row_number().over(Window.partitionBy(part, *keys).orderBy(row)) - 1
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy(part, *keys).agg(F.count("*").alias("n")).withColumn(base, F.sum("n").over(before)).where(F.col(base).isNotNull())
+    other = bases.select(base, *(F.col(c).alias(f"b{c}") for c in (part, *keys)))
+    same = F.col(part) == F.col(f"b{part}")
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"b{c}"))
+    found = rows.withColumn(name, own).join(other, same, "left")
+    return found.withColumn(name, F.col(name) + F.coalesce(base, F.lit(0))).select(*(rows[c] for c in rows.columns if c not in (part, row)), name)

@@ -45,3 +45,17 @@ def test_write_shards(spark, small, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "out"), 4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == docs.count() and {r.shard for r in back.select("shard").distinct().collect()} == {0, 1, 2, 3}
+
+
+def test_write_shards_keeps_every_row(odd, odd_rows, empty, tmp_path, spark):
+    sharding.write_shards(odd.drop("shard", "slot"), str(tmp_path / "odd"), 3)
+    got = spark.read.parquet(str(tmp_path / "odd"))
+    key = lambda r: repr((r[0], r[1]))
+    assert sorted(map(key, got.select("doc_id", "text").collect())) == sorted(map(key, odd_rows))
+    for rows in got.select("shard", "slot").groupBy("shard").agg({"slot": "collect_list"}).collect():
+        assert sorted(rows[1]) == list(range(len(rows[1])))
+    want = {(r.doc_id, r.size, r.shard, r.slot) for r in sharding.shard_by_bytes(odd, 3).collect()}
+    assert {(r.doc_id, len((r.text or "").encode()) + 1, r.shard, r.slot) for r in got.collect()} == want
+    same = spark.createDataFrame([(1, "x")] * 500 + [(2, "y")], "doc_id bigint, text string").repartition(4)
+    sharding.write_shards(same, str(tmp_path / "same"), 4)
+    assert spark.read.parquet(str(tmp_path / "same")).count() == 501
