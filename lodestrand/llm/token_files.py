@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import materialise, partitions
+from .store import SMALL_BATCHES, materialise, partitions
 from .texts import slices
 from .tokens import TEXT_BYTES, encoder
 
@@ -121,7 +121,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_
     order = ["doc_id", "head", "body", "tie"]
     keyed = plain.withColumns({"head": F.substring("text", 1, 32), "body": F.xxhash64("text"), "tie": F.monotonically_increasing_id()})
     sorted_docs = keyed.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
-    blocks = materialise(_tokenized(sorted_docs, tokenizer, end_id, id_type), "token-ids")
+    blocks = materialise(_tokenized(sorted_docs, tokenizer, end_id, id_type), "token-ids", **SMALL_BATCHES)
     counts = [(r.id, r.n) for r in _frequencies(blocks).collect()]  # at most the vocabulary
     order = np.array([i for i, _ in sorted(counts, key=lambda x: (-x[1], x[0]))], dtype=np.int64)
     rank_of = np.zeros(int(order.max(initial=0)) + 1, dtype=np.uint32)

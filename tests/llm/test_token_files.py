@@ -1,4 +1,5 @@
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -12,9 +13,15 @@ from lodestrand.llm.queries import QUERIES
 from lodestrand.llm.tokens import encoder
 
 
-def plain_ids(name, texts):
+@lru_cache
+def tokenizer(name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
     t.encode_special_tokens = True
+    return t
+
+
+def plain_ids(name, texts):
+    t = tokenizer(name)
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
