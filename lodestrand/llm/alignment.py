@@ -22,13 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialise, partitions, scratch
+from .store import SMALL_BATCHES, materialise, partitions, scratch
 from .texts import Texts, slices
 
 #: Bytes of text in a block, and at once while segments are looked for; a longer text makes a block of its own.
 BLOCK_BYTES, SLICE_BYTES = 16 << 20, 1 << 20
 #: Segments that are tokenized at once, alignments that are sorted by block and packed at once, and references whose links are counted at once.
-_TOKENIZED, _PACKED, _COUNTED = 20_000, 400_000, 400_000
+_TOKENIZED, _PACKED, _COUNTED = 20_000, 400_000, 150_000
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 STATISTICS = ("n_a", "n_b", "n_groups", "n_links")
 
@@ -385,7 +385,7 @@ def align(docs: DataFrame, a: str = A, b: str = B, id_col: str = "doc_id", text_
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = plain.schema["doc_id"].dataType.simpleString()
     with scratch(docs.sparkSession) as tables:
-        blocks = materialise(_blocks(plain, a, b), "segment-blocks")
+        blocks = materialise(_blocks(plain, a, b), "segment-blocks", **SMALL_BATCHES)
         composed = materialise(_composed(blocks, _alignments(blocks, a, b), kind, n_b), "composed-blocks")
         tables.pop()
     counts = materialise(pair_counts(composed, n_b), "pair-counts")

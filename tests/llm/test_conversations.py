@@ -133,7 +133,7 @@ def test_many_chunks(spark, monkeypatch, chunk, composed):
     monkeypatch.setattr(conversations, "COMPOSED", composed)
     rng = random.Random(5)
     given = {k: made(rng, n) for k, n in enumerate((1, 3, 4, 9, 30, 70))}
-    given[9] = [(i, rng.choice(("user", "assistant", "system")), rng.choice(("Same.", f"text {i}."))) for i in range(200)]
+    given[9] = [(i, rng.choice(("user", "assistant", "system")), rng.choice(("Same.", f"text {i}."))) for i in range(90)]
     given[10] = [(i, "user", " ") for i in range(20)]
     got = frame(spark, given)
     assert results(repair(got)) == {k: expected(rows, looped) for k, rows in given.items()}
