@@ -15,6 +15,8 @@ from unicodedata import normalize
 
 import numpy as np
 
+from .texts import Texts
+
 #: Pieces kept per worker; the cache starts afresh beyond that.
 CACHE_PIECES = 600_000
 #: Bytes of text that callers hand over at once, and new pieces that go to the tokenizer at once and in one text.
@@ -145,18 +147,60 @@ class PieceEncoder:
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > CACHE_PIECES:
             self.clear()
-        lists = [self._pieces(t) for t in texts]
-        index = self._look_up([p for pieces in lists for p in pieces])
-        if self.spaced and (index == _UNSAFE).any():
-            owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-            for i in np.unique(owner[index == _UNSAFE]):
-                lists[i] = self._pieces(texts[i], safely=True)
-            index = self._look_up([p for pieces in lists for p in pieces])
+        index, counts = self._distinct(texts)
+        odd = np.unique(np.repeat(np.arange(len(texts)), counts)[index == _UNSAFE])
+        if not len(odd):
+            return self._joined(index, counts)
+        # Texts that can't be cut at each space are cut with care, one by one.
+        mine, rest = odd.tolist(), np.setdiff1d(np.arange(len(texts)), odd)
+        lists = [self._pieces(texts[i], safely=True) for i in mine]
+        found = [
+            self._joined(self._look_up([p for pieces in lists for p in pieces]), np.array([len(x) for x in lists])),
+            self._joined(*self._distinct([texts[i] for i in rest.tolist()])),
+        ]
+        n = np.zeros(len(texts), dtype=np.int64)
+        for places, (_, sizes) in zip((odd, rest), found):
+            n[places] = sizes
+        starts, out = np.cumsum(n) - n, np.zeros(n.sum(), dtype=self.pool.dtype)
+        for places, (ids, sizes) in zip((odd, rest), found):
+            out[_runs(starts[places], sizes)] = ids
+        return out, n
+
+    def _distinct(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The cache's number of each piece between spaces, and each text's number of pieces. Only distinct ones become strings."""
+        raw = [t.encode() for t in texts]
+        joined = b"".join(raw)
+        data, bounds = np.frombuffer(joined, dtype=np.uint8), np.append(0, np.cumsum([len(x) for x in raw])).astype(np.int64)
+        spaces = np.flatnonzero(data == 0x20)
+        counts = 1 + np.searchsorted(spaces, bounds[1:]) - np.searchsorted(spaces, bounds[:-1]) if texts else np.zeros(0, np.int64)
+        # A text's first piece begins where it does, each other one behind a space.
+        first = np.zeros(counts.sum(), dtype=bool)
+        first[np.cumsum(counts) - counts] = True
+        starts, ends = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        starts[first], starts[~first] = bounds[:-1], spaces + 1
+        last = np.append(first[1:], True)[: len(first)]
+        ends[last], ends[~last] = bounds[1:], spaces
+        part = Texts(data, bounds)
+        names = part.hashes(part.prefix_hash(), starts, ends)
+        if self.spaced:
+            names = np.where(first, ~names, names)
+        _, where, inverse = np.unique(names, return_index=True, return_inverse=True)
+        mark = [" " if f else "" for f in (first[where] & self.spaced).tolist()]
+        pieces = [m + joined[s:e].decode() for m, s, e in zip(mark, starts[where].tolist(), ends[where].tolist())]
+        return self._look_up(pieces)[inverse], counts
+
+    def _joined(self, index: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts with so many pieces each, and each text's number of ids."""
         lengths = self.length[index]
-        ends = np.cumsum(lengths)
-        flat = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.at[index] - ends + lengths, lengths)
-        per_text = np.add.reduceat(np.append(lengths, 0), np.cumsum([0, *(len(x) for x in lists)])[:-1]) if texts else np.zeros(0, np.int64)
-        return self.pool[flat], per_text
+        total = np.append(0, np.cumsum(lengths))
+        ends = np.cumsum(counts, dtype=np.int64)
+        return self.pool[_runs(self.at[index], lengths)], total[ends] - total[ends - counts]
+
+
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all runs of such lengths that begin at such starts."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
 
 
 def _room(array: np.ndarray, n: int) -> np.ndarray:
