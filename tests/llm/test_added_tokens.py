@@ -1,4 +1,5 @@
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -14,9 +15,14 @@ FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 PIECES = st.sampled_from(["a", " ", "  ", "\n", " \n", ".", ",", "don't", "İ", "́", "日本", "word", "The ", "<|endoftext|>", "<|startoftext|>", "<|endoftext|", "<|ENDOFTEXT|>", "|>"])
 
 
+@lru_cache
+def library(name):
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
 def library_ids(name, texts):
     """Of the tokenizer as it comes."""
-    t = Tokenizer.from_file(public_tokenizers.path(name))
+    t = library(name)
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
