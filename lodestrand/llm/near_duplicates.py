@@ -331,7 +331,7 @@ def _classed(docs: DataFrame) -> DataFrame:
         more = materialise_joined(_stranger_links(named, copies.select("rep", "bands"), bags), "near-rest")
         if not more.isEmpty():
             # The classes so far stand for their links.
-            label = components(label.select("node", "label").union(more))
+            label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
     named_copies = copies.join(label, copies.rep == label.node, "left").select("c1", "c2", "rep", "first", "n", F.coalesce("label", "rep").alias("class_id"))
     # Classes with a key that is no id are named by their smallest id.
     odd = materialise(named_copies.where("rep <> first").select("class_id").distinct(), "near-odd")

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrand.llm import near_duplicates as N
 from lodestrand.llm.queries import QUERIES
@@ -134,3 +135,21 @@ def test_a_group_of_copies_is_no_hot_key(spark, words, monkeypatch):
     rows = [(k, words(40, 1)) for k in range(500)] + [(1000 + k, words(40, 100 + k // 2)) for k in range(60)]
     got = {r.doc_id: r.class_id for r in N.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {k: 0 for k in range(500)} | {1000 + k: 1000 + k // 2 * 2 for k in range(60)}
+
+
+def test_links_between_strangers(spark, words, monkeypatch):
+    """All documents share all buckets, whose leader is like none of the others, which are all linked to each other."""
+    sketches = N._sketches
+    monkeypatch.setattr(N, "_sketches", lambda docs: sketches(docs).withColumn("bands", F.transform("bands", lambda x, i: i.cast("long"))))
+    base = words(100, 77).split()
+    rng = random.Random(9)
+
+    def changed(n):
+        out = list(base)
+        for k in rng.sample(range(5, 95), n):
+            out[k] = f"new{rng.randrange(10**9)}"
+        return " ".join(out)
+
+    rows = [(0, changed(3))] + [(k, changed(1)) for k in range(1, 40)]
+    got = {r.doc_id: r.class_id for r in N.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {0: 0} | {k: 1 for k in range(1, 40)}
