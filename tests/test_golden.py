@@ -98,9 +98,10 @@ def test_extract_stream(spark, tmp_path):
 
 @pytest.mark.parametrize("unit", ["kode ", "kode kode. ", "script ", "kode a:", "a:", "kode\n", "output ", "```", "syntax  : x\n"])
 def test_labels_take_linear_time(spark, unit):
-    """A megabyte of what might begin a label. The session is warm by then."""
-    text = unit * (1_000_000 // len(unit))
-    df = spark.range(1).select(F.repeat(F.lit(unit), 1_000_000 // len(unit)).alias("t")).select(F.size(S.anchor_candidates(F.col("t"))).alias("n"))
+    """A megabyte of what might begin a label, or 100 KB of labels: each of these heads 2,000 characters. The session is warm by then."""
+    many = (100_000 if unit in ("kode a:", "syntax  : x\n") else 1_000_000) // len(unit)
+    text = unit * many
+    df = spark.range(1).select(F.repeat(F.lit(unit), many).alias("t")).select(F.size(S.anchor_candidates(F.col("t"))).alias("n"))
     began = time.perf_counter()
     assert df.first().n == (text.count(":") if unit in ("kode a:", "syntax  : x\n") else 0)
     assert time.perf_counter() - began < 5
@@ -132,6 +133,6 @@ def test_one_json_object(spark, given):
         try:
             return isinstance(json.loads(given, strict=False), dict)
         except ValueError:
-            return given == "{]"  # what is inside is the parser's to judge
+            return False
 
     assert one(spark, F.coalesce(T.one_json_object(F.col("t")), F.lit(False)), t=given) == strict()
