@@ -12,9 +12,9 @@ Texts are also taken as plain words, all lower-cased, without placeholders. Wind
 for case, whatever numbers and names they hold, so that copies of texts dense in placeholders, short ones and copies
 in another case are found too. An item of fewer than ALONE words must be a whole line or sentence of the document.
 
-Windows that many items hold (boilerplate, families of items) are joined with the first of those items only; where other
-windows tie a document to an item, its shared windows count for that item as well. So a document that has nothing but a
-family's common text gives one row, not one for each item, and `families` tells which items those are.
+A document's windows meet all items that hold them, however many those are, so every leak is judged by all of its windows. Where
+many items have a text in common (boilerplate, families of items), `leaks` can give the first of those that rest on the same
+common windows only, one row instead of one for each item; `families` tells which items have windows in common.
 
 Before the join, a window must find its bit in a map of the benchmark's hashes. The map has a fixed size (MAP_BITS),
 so it can go to every task whatever the benchmark's size; a full map only lets more rows into the join.
@@ -39,7 +39,7 @@ WINDOW = 8
 LITERALS = 4
 #: An item of fewer words is no evidence; one of fewer than ALONE only as a whole line or sentence.
 SHORTEST, ALONE = 2, 5
-#: A window that more items hold stands for a family of items.
+#: A window that more items hold is one of a family of items. Only `families`, and `leaks` where it gives one row for those alike, look at that.
 FAMILY = 16
 #: An item leaks if windows cover so many of its words in all, or this share of them or of its canonical tokens.
 RUN, SHARE = 13, 0.5
@@ -197,36 +197,33 @@ def families(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "t
     return found.select(F.col("first").alias("family"), "item_id").distinct()
 
 
-def _pairs(found: DataFrame, items: DataFrame) -> DataFrame:
-    """Windows of documents with those of items. A family's windows meet its first item, and items that other windows lead to.
+def _one_of_each_family(leaks: DataFrame, items: DataFrame) -> DataFrame:
+    """Leaks but for those of items that rest on the same windows of families as a smaller item of the document.
 
-    Those other windows must have LITERALS words at least that stand in no family's window: a word beside the common text is chance.
+    A leak rests on them if fewer than LITERALS of its words stand in no family's window: a word beside the common text is chance, and
+    doesn't count as covered. Each document with a leak has a row.
     """
-    keys = ["form", "n", "hash"]
-    items = materialise(_with_families(items), "leak-families")
-    led = found.join(items.where("first IS NULL OR first = item_id"), keys)
-    rest = items.where("first IS NOT NULL AND first <> item_id")
-    if rest.isEmpty():
-        return led.drop("first")
-    led = materialise(led, "leak-pairs")
     words = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
     common = items.where("first IS NOT NULL").groupBy("item_id").agg(words("places").alias("common"))
-    own = led.where("first IS NULL").groupBy("doc_id", "item_id").agg(words("places").alias("own")).join(common, "item_id", "left")
-    sure = own.where(F.size(F.array_except("own", F.coalesce("common", F.array().cast("array<bigint>")))) >= LITERALS).select("doc_id", "item_id")
-    alone = led.where("first IS NULL").join(sure, ["doc_id", "item_id"], "left_semi").select(*led.columns)
-    led = materialise(led.where("first IS NOT NULL").unionByName(alone), "leak-led")
-    wanted = led.select("doc_id", "item_id").distinct().join(rest, "item_id")
-    shared = found.join(rest.select(*keys).distinct(), keys, "left_semi")
-    return led.unionByName(shared.join(wanted, ["doc_id", *keys]).select(*led.columns)).drop("first")
+    leaks = leaks.join(common, "item_id", "left")
+    own = F.size(F.array_except("own", F.coalesce("common", F.array().cast("array<bigint>"))))
+    alike = Window.partitionBy("doc_id", "shared").orderBy("item_id")
+    rests = (own < LITERALS) & (F.size("shared") > 0)
+    first = F.when(rests, F.min(F.when(rests, F.col("item_id"))).over(alike.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    leaks = leaks.withColumns({"_first": first, "covered": F.col("covered") - F.when(rests, own).otherwise(0)})
+    return leaks.where("_first IS NULL OR _first = item_id").drop("_first")
 
 
-def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str) -> DataFrame:
+def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, every: bool = True) -> DataFrame:
     """The rows of `leaks`, where doc_id is a document's name: its id and its text's hash."""
     items = materialise(_item_windows(benchmark, item_id, item_text), "leak-items")
+    if not every:
+        items = materialise(_with_families(items), "leak-families")
+        every = items.where("first IS NOT NULL").isEmpty()
     used = tuple((r.form, r.n) for r in items.select("form", "n").distinct().collect()) or ((0, WINDOW),)  # at most 2 * WINDOW rows
     named = docs.select(_name(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
     found = template_windows(named, used, _bits(items), "doc", "text").select(F.col("id").alias("doc_id"), "form", "n", "hash", "at", "slots")
-    pairs = _pairs(found, items)
+    pairs = found.join(items, ["form", "n", "hash"])
     slot_pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda x: x["i"] != 0)
     # Words in one case have no slots to agree on, so it doesn't matter where in the document they stand.
     pairs = pairs.withColumn("shift", F.when(F.col("form") == 0, F.col("at") - F.col("item_at")))
@@ -235,7 +232,8 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     pairs = pairs.withColumn("gap", (F.col("item_at") > F.lag(F.col("item_at") + F.col("n")).over(along)).cast("int"))
     pairs = pairs.withColumn("run", F.coalesce(F.sum("gap").over(along.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
     hit = F.struct("places", slot_pairs.alias("pairs"),
-                   (F.col("item_slots") == F.col("slots")).alias("same"))
+                   (F.col("item_slots") == F.col("slots")).alias("same"), *(() if every else (
+                   F.when(F.col("first").isNull(), F.col("places")).alias("own"), F.when(F.col("first").isNotNull(), F.array("hash")).alias("shared"))))
     # Hits are pre-aggregated by run: a document's windows stay few rows, however often an item is copied.
     runs = pairs.groupBy("doc_id", "item_id", "item_words", "item_tokens", "form", "shift", "run").agg(F.collect_set(hit).alias("hits"))
     runs = runs.withColumn("values", F.array_distinct(F.flatten(F.transform("hits", lambda h: h["pairs"]))))
@@ -246,14 +244,20 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     sound = lambda h: h["same"] | ~F.arrays_overlap(F.transform(h["pairs"], lambda v: v["i"]), F.col("broken"))
     runs = runs.withColumn("hits", F.filter("hits", sound)).where(F.size("hits") > 0)
     joined = lambda f: F.array_distinct(F.flatten(F.transform("hits", lambda h: h[f])))
-    consistent = runs.select("doc_id", "item_id", "item_words", "item_tokens", "form", joined("places").alias("places"), joined("pairs").alias("values"))
-    count = lambda lists: F.size(F.array_distinct(F.flatten(F.collect_list(lists)))).cast("long")
-    return (
+    known = lambda f: F.array_distinct(F.flatten(F.filter(F.transform("hits", lambda h: h[f]), lambda x: x.isNotNull())))
+    rest = () if every else ("own", "shared")
+    consistent = runs.select("doc_id", "item_id", "item_words", "item_tokens", "form", joined("places").alias("places"), joined("pairs").alias("values"),
+                             *(known(c).alias(c) for c in rest))
+    union = lambda lists: F.array_distinct(F.flatten(F.collect_list(lists)))
+    count = lambda lists: F.size(union(lists)).cast("long")
+    found = (
         consistent.groupBy("doc_id", "item_id", "item_words", "item_tokens")
-        .agg(count("places").alias("covered"), count("values").alias("n_slots"), count(F.when(F.col("form") == 0, F.col("places"))).alias("templates"))
+        .agg(count("places").alias("covered"), count("values").alias("n_slots"), count(F.when(F.col("form") == 0, F.col("places"))).alias("templates"),
+             *(F.sort_array(union(c)).alias(c) for c in rest))
         .where((F.col("covered") >= RUN) | (F.col("covered") >= SHARE * F.col("item_words")) | (F.col("templates") >= SHARE * F.col("item_tokens")))
-        .select("doc_id", "item_id", F.col("item_words").alias("item_tokens"), "covered", "n_slots")
-    )
+    )
+    found = found if every else _one_of_each_family(found, items)
+    return found.select("doc_id", "item_id", F.col("item_words").alias("item_tokens"), "covered", "n_slots")
 
 
 def _name(id_col: str, text_col: str) -> Column:
@@ -261,16 +265,17 @@ def _name(id_col: str, text_col: str) -> Column:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+          item_id: str = "item_id", item_text: str = "text", every: bool = False) -> DataFrame:
     """One row per document and benchmark item that leaks into it: doc_id, item_id, item_tokens, covered, n_slots.
 
     `item_tokens` counts the item's words, `covered` those in matching windows without contradicted slots (a
     placeholder is one word); n_slots its distinct slot values there. Rows that share an id, or have none, are documents of their own
     if their texts differ, and one document otherwise; repeated items count as one. Null and empty texts, items without an id and
     items of fewer than SHORTEST words match nothing. Texts of any length are read whole. Other columns are ignored. An empty
-    table on either side gives no rows. Of items whose shared windows alone are in a document, only the family's first has a row.
+    table on either side gives no rows. With `every`, all items that leak have their rows; without, of items that rest on the same windows of
+    families in a document (see FAMILY) the first. Either way each document with a leak has a row.
     """
-    return _leaks(docs, benchmark, id_col, text_col, item_id, item_text).withColumn("doc_id", F.col("doc_id.id"))
+    return _leaks(docs, benchmark, id_col, text_col, item_id, item_text, every).withColumn("doc_id", F.col("doc_id.id"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",

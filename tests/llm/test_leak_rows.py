@@ -40,6 +40,23 @@ def test_a_family_gives_one_row_for_each_document(spark, words):
     assert {(r.family, r.item_id) for r in members} == {(0, k) for k in range(200)}
 
 
+def test_two_families_together_make_a_leak(spark, words):
+    """Items of two families of 30, of which ten have both common texts; either one alone is too little of an item."""
+    one, two = words(9, 71), words(9, 72)
+    items = [(k, f"{one if k < 30 else words(9, 2000 + k)} {words(40, 3000 + k)} {two if k >= 20 else words(9, 4000 + k)}") for k in range(50)]
+    docs = [(1, f"{words(30, 81)} {one} {words(30, 82)} {two} {words(30, 83)}"), (2, f"{words(30, 84)} {one} {words(30, 85)}")]
+    t = tables(spark, docs, items)
+    assert {(r.doc_id, r.item_id) for r in D.leaks(*t, every=True).collect()} == {(1, k) for k in range(20, 30)}
+    assert {(r.doc_id, r.item_id) for r in D.leaks(*t).collect()} == {(1, 20)}
+
+
+def test_every_item_of_a_family(spark, words):
+    items = [(k, f"{FAMILY} {words(20, 100 + k)}") for k in range(40)]
+    docs = [(k, f"{words(30, 500 + k)}. {FAMILY} {words(30, 900 + k)}") for k in range(10)] + [(100, words(90, 5))]
+    got = D.leaks(*tables(spark, docs, items), every=True).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, j) for k in range(10) for j in range(40)} and len(got) == 400
+
+
 def test_very_short_items_are_whole_sentences(spark):
     items = [(1, "in the"), (2, "Four more words here")]
     docs = [(1, "A cat in the house. It was in the garden."), (2, "What now?\nIn the\nNothing."), (3, "x four more words here y"), (4, "So. Four more words here! y")]
