@@ -1,6 +1,7 @@
 """Exact copies against a dictionary, with digests that clash, files that land later, and odd rows."""
 
 import hashlib
+import os
 from collections import Counter, defaultdict
 
 import pytest
@@ -65,3 +66,14 @@ def test_files_land_later(spark, tmp_path):
         assert index.state().agg(F.sum("n")).first()[0] == len(rows)
     index.update()
     check(index.verdicts(), rows)
+
+
+def test_small_state_takes_little_disk(spark, tmp_path):
+    """Partitions of the state that hold next to nothing don't take megabytes each."""
+    local = spark._jvm.org.apache.spark.util.Utils.getLocalDir(spark.sparkContext._jsc.sc().conf())
+    manifests = lambda: {os.path.join(d, f) for d, _, names in os.walk(local) for f in names if f.startswith("MANIFEST")}
+    before, path = manifests(), f"file://{tmp_path}/rows"
+    spark.createDataFrame([(i, f"text {i}") for i in range(100)], "doc_id bigint, text string").write.parquet(path)
+    CopyIndex(spark, path, checkpoint=f"file://{tmp_path}/state").update()
+    new = manifests() - before
+    assert new and all(os.stat(f).st_blocks * 512 < 1 << 20 for f in new)
