@@ -36,7 +36,9 @@ def extract(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<lang:string,code:string>>")
     found = base.withColumn("_one", F.coalesce(anchor_blocks(text), none))
     found = found.withColumn("_two", F.when(F.size("_one") > 0, F.col("_one")).otherwise(F.coalesce(fence_blocks(text), none)))
-    found = found.withColumn("_all", F.when(F.size("_two") > 0, F.col("_two")).otherwise(notebook_blocks(text)))
+    found = found.withColumn("_found", F.when(F.size("_two") > 0, F.col("_two")).otherwise(notebook_blocks(text)))
+    # Of one array, one row: filters on the results don't pass this, as they would evaluate the strategies once more each.
+    found = found.withColumn("_all", F.explode_outer(F.array("_found")))
     blocks = F.transform(
         "_all", lambda b, i: F.struct(i.alias("index"), b["lang"].alias("lang"), b["code"].alias("code"), line_count(b["code"]).alias("lines"))
     )
