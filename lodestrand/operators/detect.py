@@ -8,6 +8,9 @@ prose, in tenths. A text is cut into tokens once, and those that have weights ar
 
 from __future__ import annotations
 
+import json
+from zlib import crc32
+
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, SparkSession
@@ -26,6 +29,8 @@ TOKEN = r"[A-Za-z_]{2,}|#[a-z]+|<-|%>%|=>|->|===|!==|::|<<|>>|\?\.|[{};]"
 LANGUAGES = tuple(STATEMENTS)
 #: Our own choice of other names that a fence may give; they are kept as written.
 ALIASES = ("py", "js", "jsx", "ts", "tsx", "c++", "cc", "h", "hpp", "kt", "kts", "mysql", "rscript")
+#: Maps by which tokens are looked up: Spark searches a map from its beginning, so each holds few.
+MAPS = 1024
 #: Weights by application.
 _FITTED: dict[str, dict[str, tuple[int, ...]]] = {}
 
@@ -44,12 +49,23 @@ def weights(spark: SparkSession) -> dict[str, tuple[int, ...]]:
     return _FITTED[app]
 
 
+def _maps(tokens: list[str]) -> list[dict[str, int]]:
+    """The place of each token, in the map of its checksum."""
+    maps: list[dict[str, int]] = [{} for _ in range(MAPS)]
+    for i, token in enumerate(tokens):
+        maps[crc32(token.encode()) % MAPS][token] = i
+    return maps
+
+
 def scores(code: Column) -> Column:
     """array<int>: of each of LANGUAGES the sum of the tokens' weights."""
     known = sorted(weights(SparkSession.active()).items())
-    place = F.map_from_arrays(F.lit([token for token, _ in known]), F.lit(list(range(len(known)))))
-    columns = [F.lit([w[k] for _, w in known]) for k in range(len(LANGUAGES))]
-    found = F.filter(F.transform(F.regexp_extract_all(code, F.lit(TOKEN), F.lit(0)), lambda t: F.try_element_at(place, t)), lambda i: i.isNotNull())
+    # As JSON, which is one call of the JVM and is parsed once, when the plan is made.
+    constant = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
+    places = constant(_maps([token for token, _ in known]), "array<map<string,int>>")
+    place = lambda t: F.try_element_at(F.get(places, (F.crc32(t) % MAPS).cast("int")), t)
+    columns = [constant([w[k] for _, w in known], "array<int>") for k in range(len(LANGUAGES))]
+    found = F.filter(F.transform(F.regexp_extract_all(code, F.lit(TOKEN), F.lit(0)), place), lambda i: i.isNotNull())
     total = lambda at, column: F.aggregate(at, F.lit(0), lambda a, i: a + F.get(column, i))
     return once(found, lambda at: F.array(*(total(at, column) for column in columns)))
 

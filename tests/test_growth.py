@@ -11,3 +11,10 @@ def test_the_strategies_are_evaluated_once(spark, small, name):
 
     times = lambda q: entry.queries()[q](spark, small)._jdf.queryExecution().optimizedPlan().toString().count("penugasan")
     assert times(name) == times("extract_blocks")
+
+
+def test_a_token_is_looked_up_among_few(spark):
+    tokens = sorted(D.weights(spark))
+    maps = D._maps(tokens)
+    assert sorted(t for m in maps for t in m) == tokens and all(tokens[i] == t for m in maps for t, i in m.items())
+    assert max(map(len, maps)) <= 8
