@@ -504,10 +504,12 @@ def stats(spark, sf_dir):
     found = rows_of(spark, sf_dir).agg(F.count("*").alias("a"), F.count_distinct("lang").alias("b"))
     right = detector_measured(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(F.col("found") == F.col("lang")).alias("r"))
     share = F.format_string("%.1f%%", F.floor(1000.0 * F.col("r") / F.col("n") + 0.5) / 10)
-    one = lambda df, label, val: df.select(F.lit(label).alias("label"), val.alias("val"))
+    figure = lambda k, val: F.struct(F.lit(dims.STATS[k][0]).alias("label"), val.alias("val"))
+    some = lambda df, *figures: df.select(F.inline(F.array(*figures)))
+    # Both figures of the blocks come from one extraction.
     parts = (
-        one(table(spark, sf_dir, "documents").agg(F.count("*").alias("n")), dims.STATS[0][0], F.format_number("n", 0)), one(found, dims.STATS[1][0], F.format_number("a", 0)),
-        one(found, dims.STATS[2][0], F.format_number("b", 0)), one(right, dims.STATS[3][0], share),
+        some(table(spark, sf_dir, "documents").agg(F.count("*").alias("n")), figure(0, F.format_number("n", 0))),
+        some(found, figure(1, F.format_number("a", 0)), figure(2, F.format_number("b", 0))), some(right, figure(3, share)),
     )
     values = reduce(DataFrame.unionByName, parts)
     return dims.stats(spark).drop("val").join(values, "label").select("label", "val", "color")

@@ -5,7 +5,7 @@ import pytest
 from lodestrand.operators import detect as D
 
 
-@pytest.mark.parametrize("name", ["active_visible"])
+@pytest.mark.parametrize("name", ["active_visible", "stats"])
 def test_the_strategies_are_evaluated_once(spark, small, name):
     import __spark_entry__ as entry
 
