@@ -19,7 +19,7 @@ from ..operators import normalize as N
 from ..operators import strategies as S
 from ..sources import block_files, derived, dims, snippets
 from ..sources.documents import read_files, spread
-from ..sources.tables import fresh_path
+from ..sources.tables import fresh_path, partitions
 from .extract import EMPTY, NO_FILE, NOTHING, block_rows, extract, observed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -468,8 +468,11 @@ def splash_shows(spark, sf_dir):
 def block_files_roundtrip(spark, sf_dir):
     """The files of the merged download as real text files, one for each document and language, and read back from them."""
     path = fresh_path(spark, "block-files")
-    block_files.write_files(B.merged(rows_of(spark, sf_dir), dims.languages(spark)), path)
-    return block_files.read_files(spark, path)
+    # So many tasks in any case: by their bytes, which are few, all files would be those of one or two tasks.
+    tasks = max(partitions(spark), spark.sparkContext.defaultParallelism)
+    rows = rows_of(spark, sf_dir).repartition(tasks, "doc_id", "lang")
+    block_files.write_files(B.merged(rows, dims.languages(spark)), path)
+    return block_files.read_files(spark, path, folders=1)
 
 
 @query(

@@ -139,6 +139,7 @@ def write_files(files: DataFrame, path: str, mode: str = "append") -> None:
     files.select("doc_id", "filename", "lang", "content").write.format("block_files").mode(mode).save(path)
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
+def read_files(spark: SparkSession, path: str, folders: int = FOLDERS) -> DataFrame:
+    """The files under path; a partition reads so many tasks' folders."""
     spark.dataSource.register(BlockFiles)
-    return spark.read.format("block_files").load(path)
+    return spark.read.format("block_files").option("folders", folders).load(path)

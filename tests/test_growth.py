@@ -18,3 +18,9 @@ def test_a_token_is_looked_up_among_few(spark):
     maps = D._maps(tokens)
     assert sorted(t for m in maps for t in m) == tokens and all(tokens[i] == t for m in maps for t, i in m.items())
     assert max(map(len, maps)) <= 8
+
+
+def test_block_files_are_those_of_many_tasks(spark, small):
+    import __spark_entry__ as entry
+
+    assert entry.queries()["block_files_roundtrip"](spark, small).rdd.getNumPartitions() >= 4
