@@ -35,7 +35,9 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     padded = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
     padded[: len(ranks)] = lengths - 1
     control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < lengths[:, None]]
+    # No byte above the longest rank's is looked at.
+    width = 2 if lengths.max(initial=1) <= 2 else 4
+    data = ranks.astype(f"<u{width}").view(np.uint8).reshape(-1, width)[np.arange(width) < lengths[:, None]]
     return control.tobytes(), data.tobytes()
 
 
@@ -53,15 +55,21 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def _tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_type: str) -> DataFrame:
-    """Blocks of plain ids: (part, block, first, doc_ids, counts, ids), in the order of the input's partitions."""
+    """Blocks of plain ids: (part, block, first, doc_ids, counts, ids), in the order of the input's partitions.
+
+    The last row of each partition with rows isn't a block: its part is null, and its counts are how often the partition has each id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part, block, first = encoder(tokenizer, added=True), TaskContext.get().partitionId(), 0, 0
-        keys, counts, ids = [], [], []
+        keys, counts, ids, total = [], [], [], np.zeros(0, dtype=np.int64)
 
         def flush():
-            nonlocal block, first, keys, counts, ids
+            nonlocal block, first, keys, counts, ids, total
             every = np.concatenate(ids)
+            now = np.bincount(every, minlength=len(total))
+            now[: len(total)] += total
+            total = now
             out = pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()),
                  pa.ListArray.from_arrays(pa.array([0, sum(map(len, keys))], pa.int32()), pa.concat_arrays(keys)),
@@ -73,6 +81,7 @@ def _tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_type: str) -> Da
             return out
 
         for batch in batches:
+            key_type = batch.schema.field(0).type
             for piece in slices(batch.column(1), TEXT_BYTES):
                 rows = batch.column(1).slice(piece.row, len(piece)).to_pylist()
                 found, n = tok.encode([t or "" for t in rows])
@@ -83,6 +92,10 @@ def _tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_type: str) -> Da
                     yield flush()
         if ids:
             yield flush()
+        if len(total):
+            nothing = [pa.array([None], t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.list_(key_type))]
+            each = pa.ListArray.from_arrays(pa.array([0, len(total)], pa.int32()), pa.array(total))
+            yield pa.RecordBatch.from_arrays([*nothing, each, pa.array([None], pa.binary())], ["part", "block", "first", "doc_ids", "counts", "ids"])
 
     return docs.mapInArrow(
         run, f"part int, block int, first bigint, doc_ids array<{id_type}>, counts array<bigint>, ids binary"
@@ -90,20 +103,21 @@ def _tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_type: str) -> Da
 
 
 def _frequencies(blocks: DataFrame) -> DataFrame:
-    """(id, n): at most a row per id of the vocabulary from each task."""
+    """(id, n), from the tasks' counts: at most a row per id of the vocabulary from each task. The ids aren't read again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                now = np.bincount(np.frombuffer(ids.as_buffer(), dtype="<u4"))
+            for counts in batch.column(0):
+                now = np.array(counts.values)
                 if len(now) > len(total):
-                    total, now = now, total
+                    total, now = now.copy(), total
                 total[: len(now)] += now
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
 
-    return blocks.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = blocks.where("part IS NULL").select("counts")
+    return counts.mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0,
@@ -134,7 +148,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], *streams], [*batch.schema.names[:5], "control", "data"])
 
     schema = f"part int, block int, first bigint, doc_ids array<{id_type}>, counts array<bigint>, control binary, data binary"
-    blocks.mapInArrow(run, schema).write.parquet(f"{path}/blocks")
+    blocks.where("part IS NOT NULL").mapInArrow(run, schema).write.parquet(f"{path}/blocks")
     ranked = spark.createDataFrame([(k, int(i)) for k, i in enumerate(order)], "rank int, id int")
     ranked.coalesce(1).write.parquet(f"{path}/ids")
 

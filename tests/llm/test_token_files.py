@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -76,3 +77,14 @@ def test_many_rows_of_one_id_or_none(spark, tmp_path):
     assert [r.doc_id for r in got] == [None] * 3000 + [7] * 3000 and [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
     sizes = {r.part: r.n for r in spark.read.parquet(str(tmp_path / "many" / "blocks")).selectExpr("part", "size(doc_ids) n").groupBy("part").sum("n").toDF("part", "n").collect()}
     assert max(sizes.values()) < 3000
+
+
+def test_ids_are_counted_where_they_are_made(spark, words, tmp_path):
+    """The counts come from the tasks that tokenize, not from another pass over the ids; both widths of ranks come back."""
+    docs = spark.createDataFrame([(k, words(50, k)) for k in range(40)], "doc_id bigint, text string").repartition(3)
+    blocks = F._tokenized(docs, "byte_bpe_50k.json", 0, "bigint").cache()
+    want = Counter(i for r in blocks.where("part IS NOT NULL").collect() for i in np.frombuffer(r.ids, dtype="<u4").tolist())
+    counted = F._frequencies(blocks.drop("ids"))
+    assert {r.id: r.n for r in counted.collect()} == dict(want) and want[0] == 40
+    for ranks in ([0, 255, 256, 65535], [1, 65536, 3, 1 << 24, 255], []):
+        assert F.decode_ranks(*F.encode_ranks(np.array(ranks, dtype=np.uint32)), len(ranks)).tolist() == ranks
