@@ -50,6 +50,13 @@ def test_two_families_together_make_a_leak(spark, words):
     assert {(r.doc_id, r.item_id) for r in D.leaks(*t).collect()} == {(1, 20)}
 
 
+def test_no_document_with_two_families_is_kept(spark, words):
+    one, two = words(9, 71), words(9, 72)
+    items = [(k, f"{one if k < 30 else words(9, 2000 + k)} {words(40, 3000 + k)} {two if k >= 20 else words(9, 4000 + k)}") for k in range(50)]
+    docs = [(1, f"{words(30, 81)} {one} {words(30, 82)} {two} {words(30, 83)}"), (2, f"{words(30, 84)} {one} {words(30, 85)}")]
+    assert [r.doc_id for r in D.keep_clean(*tables(spark, docs, items)).collect()] == [2]
+
+
 def test_every_item_of_a_family(spark, words):
     items = [(k, f"{FAMILY} {words(20, 100 + k)}") for k in range(40)]
     docs = [(k, f"{words(30, 500 + k)}. {FAMILY} {words(30, 900 + k)}") for k in range(10)] + [(100, words(90, 5))]
