@@ -1,12 +1,16 @@
-"""Tokenizing whole texts with a public tokenizer, through a cache of the pieces between spaces.
+"""Tokenizing whole texts with a public tokenizer, through a cache of pieces.
 
 Both supported kinds split texts before they merge anything, and never across a space that a non-space follows.
 So a text's ids are its pieces' ids joined, and the same few hundred thousand pieces make up most of a corpus.
 New pieces go to the tokenizer many at a time, as one text whose ids can be told apart again.
+
+Byte-level vocabularies have the pieces between spaces. Word vocabularies never merge a letter with anything else and ignore
+case, so their pieces are shorter and fewer: lower-cased words, digits, and whatever else stands between them (`units`).
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -15,16 +19,99 @@ from unicodedata import normalize
 
 import numpy as np
 
-from .texts import Texts
+from .texts import LOWER, U64, Texts, byte_class
 
-#: Pieces kept per worker; the cache starts afresh beyond that.
-CACHE_PIECES = 600_000
+#: Pieces kept per worker, by their strings or by their hashes; the cache starts afresh beyond that.
+CACHE_PIECES, CACHE_UNITS = 600_000, 2_000_000
 #: Bytes of text that callers hand over at once, and new pieces that go to the tokenizer at once and in one text.
 TEXT_BYTES = 1 << 20
 _AT_ONCE, _JOINED = 8192, 256
 _SAFE_SPLIT = re.compile(r" (?=\S)")
 _UNSAFE, _MISSING = -2, -1
 
+#: What `units` relies on: the normalizer and the pre-tokenizer's pattern of word vocabularies.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Kinds of bytes. Odd ones are those of characters beyond ASCII but the letters of Latin-1 and the two blocks after it.
+_SPACE, _LETTER, _DIGIT, _QUOTE, _SYMBOL, _ODD = range(6)
+_KIND = np.select([byte_class((0x20, 0x20), (0x09, 0x0D)), byte_class((0x41, 0x5A), (0x61, 0x7A)), byte_class((0x30, 0x39)), byte_class((0x27, 0x27)),
+                   byte_class((0x80, 0xFF))], [_SPACE, _LETTER, _DIGIT, _QUOTE, _ODD], _SYMBOL).astype(np.uint8)
+#: Whether texts may be cut between two kinds. A quote may be the head of 's; odd characters may join what stands beside them.
+_CUT = np.ones((6, 6), dtype=bool)
+_CUT[_ODD, 1:] = _CUT[1:, _ODD] = False
+for _a, _b in ((_SPACE, _SPACE), (_LETTER, _LETTER), (_SYMBOL, _SYMBOL), (_SYMBOL, _QUOTE), (_QUOTE, _SYMBOL), (_QUOTE, _QUOTE), (_QUOTE, _LETTER)):
+    _CUT[_a, _b] = False
+#: The multiplication and division signs, and the I with a dot, of which lower-casing makes a letter and a mark.
+_NO_LETTERS = np.array([0xC397, 0xC3B7, 0xC4B0])
+
+
+def units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the parts that a word vocabulary's tokenizer never merges, whether they are Latin letters alone, and their bytes.
+
+    White space is in none. The bytes are the texts', in lower case but where there are odd characters.
+    """
+    kind, low = _KIND[data], LOWER[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC8))
+    code = data[lead].astype(np.int64) << 8 | data[np.minimum(lead + 1, len(data) - 1)]
+    letter = ~np.isin(code, _NO_LETTERS)
+    kind[lead[letter]] = kind[lead[letter] + 1] = _LETTER
+    low[lead[letter & (code <= 0xC39E)] + 1] |= 0x20
+    edge = np.ones(len(data) + 1, dtype=bool)
+    edge[1:-1] = _CUT.reshape(-1)[kind[:-1] * np.uint8(6) + kind[1:]]
+    edge[bounds] = True
+    at = np.flatnonzero(edge)
+    starts, ends = at[:-1], at[1:]
+    inside = kind[starts] != _SPACE if len(data) else np.zeros(len(starts), dtype=bool)
+    starts, ends = starts[inside], ends[inside]
+    plain = kind[starts] == _LETTER
+    odd = kind == _ODD
+    if odd.any():
+        odd = np.append(0, np.cumsum(odd))
+        odd = odd[ends] > odd[starts]
+        plain &= ~odd
+        as_is = _runs(starts[odd], (ends - starts)[odd])
+        low[as_is] = data[as_is]
+    return starts, ends, plain, low
+
+
+class Numbers:
+    """Numbers by 64-bit hashes: a table of twice as many slots at least, searched from each hash's own slot on."""
+
+    def __init__(self) -> None:
+        self.n, self.keys, self.values = 0, np.zeros(1 << 16, dtype=U64), np.zeros(1 << 16, dtype=np.int32)
+
+    def get(self, names: np.ndarray) -> np.ndarray:
+        """The names' numbers, _MISSING for others."""
+        last = U64(len(self.keys) - 1)
+        slot = names & last
+        found = self.keys[slot]
+        out = np.where(found == names, self.values[slot], _MISSING)
+        open_ = np.flatnonzero((found != names) & (found != 0))
+        while len(open_):
+            slot[open_] = slot[open_] + U64(1) & last
+            found = self.keys[slot[open_]]
+            hit = found == names[open_]
+            out[open_[hit]] = self.values[slot[open_[hit]]]
+            open_ = open_[~hit & (found != 0)]
+        return out
+
+    def put(self, names: np.ndarray, values: np.ndarray) -> None:
+        """Add names that differ, none of them 0 or in the table."""
+        self.n += len(names)
+        if 2 * self.n > len(self.keys):
+            old = np.flatnonzero(self.keys)
+            names, values = np.append(self.keys[old], names), np.append(self.values[old], values)
+            size = 1 << (2 * self.n).bit_length()
+            self.keys, self.values = np.zeros(size, dtype=U64), np.zeros(size, dtype=np.int32)
+        last = U64(len(self.keys) - 1)
+        slot = names & last
+        while len(names):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = names[free]  # of several at one slot one stays
+            there = self.keys[slot] == names
+            self.values[slot[there]] = values[there]
+            names, values, slot = names[~there], values[~there], slot[~there] + U64(1) & last
+
 
 class PieceEncoder:
     """Ids of texts, as `Tokenizer.encode(text, add_special_tokens=False)` gives them.
@@ -36,7 +123,7 @@ class PieceEncoder:
     def __init__(self, path: str, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path if os.sep in path else public_tokenizers.path(path))
         # Texts are cut at added tokens before their pieces come here, so pieces are always plain.
@@ -52,17 +139,27 @@ class PieceEncoder:
         mark = (lambda t: t.startswith("Ġ")) if self.spaced else (lambda t: t.endswith("</w>"))
         self.marks = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.marks[[i for t, i in vocab.items() if mark(t)]] = True
+        if not self.spaced:
+            normalizer, splitter = (json.loads(x.__getstate__()) for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
+            if normalizer.get("normalizers") != _NORMALIZERS or splitter["pretokenizers"][0]["pattern"] != {"Regex": _PATTERN}:
+                raise ValueError(f"{path}: not the word vocabulary's way to normalize and to split texts")
+            # Lower-cased Latin words are what they are to the normalizer and the pattern, so they go to the same model without these.
+            self.words = Tokenizer(self.tokenizer.model)
+            self.words.pre_tokenizer = pre_tokenizers.Sequence([
+                pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            ])
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.numbers = Numbers()
         self.pool = np.zeros(1 << 16, dtype=np.uint32)
         self.used = self.n = 0
         self.at = np.zeros(1 << 14, dtype=np.int64)
         self.length = np.zeros(1 << 14, dtype=np.int64)
 
-    def _raw(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _raw(self, texts: list[str], tokenizer=None) -> list[list[int]]:
+        return [e.ids for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _marks_of(self, piece: str) -> int:
         """How many marked ids the piece has when it is one of many in a text; 0: it can't be joined."""
@@ -80,23 +177,27 @@ class PieceEncoder:
             for p in (p for p in pieces if not p or p != " " and p[0] != " " and p[0].isspace()):
                 self.index[p] = _UNSAFE
             pieces = [p for p in pieces if p not in self.index]
-        counts = [self._marks_of(p) if p else 0 for p in pieces]
-        easy, hard = [p for p, c in zip(pieces, counts) if c], [p for p, c in zip(pieces, counts) if not c]
-        many = np.array([c for c in counts if c], dtype=np.int64)
-        found, sizes, joined = [], [], []
-        glue = (lambda g: "".join([" " + p for p in g])) if self.spaced else " ".join
-        starts = range(0, len(easy), _JOINED)
-        for s, ids in zip(starts, self._raw([glue(easy[s : s + _JOINED]) for s in starts])):
-            ids, ends = np.array(ids, dtype=np.uint32), np.cumsum(many[s : s + _JOINED])
+        first, order = self._store(pieces, [self._marks_of(p) if p else 0 for p in pieces])
+        self.index.update(zip([pieces[i] for i in order], range(first, self.n)))
+
+    def _store(self, pieces: list[str], marks: list[int], tokenizer=None) -> tuple[int, list[int]]:
+        """Encode pieces, those with marks many at once; their first number in the cache, and which of them have that and those after it."""
+        easy, hard = [i for i, c in enumerate(marks) if c], [i for i, c in enumerate(marks) if not c]
+        found, sizes, order = [], [], []
+        glue = (lambda g: "".join([" " + pieces[i] for i in g])) if self.spaced else (lambda g: " ".join([pieces[i] for i in g]))
+        groups = [easy[s : s + _JOINED] for s in range(0, len(easy), _JOINED)]
+        for group, ids in zip(groups, self._raw([glue(g) for g in groups], tokenizer)):
+            ids, ends = np.array(ids, dtype=np.uint32), np.cumsum([marks[i] for i in group])
             places = np.flatnonzero(self.marks[ids])
             if len(places) != ends[-1]:  # not as foreseen: one by one
-                hard += easy[s : s + _JOINED]
+                hard += group
                 continue
-            joined += easy[s : s + _JOINED]
+            order += group
             cuts = np.append(places, len(ids)) if self.spaced else np.append(0, places[ends - 1] + 1)
             found.append(ids)
             sizes.append(np.diff(cuts))
-        alone = self._raw([(p[1:] if p[0] == " " else " " + p) if self.spaced else p for p in hard])
+        alone = [pieces[i] for i in hard]
+        alone = self._raw([(p[1:] if p[0] == " " else " " + p) if self.spaced else p for p in alone], tokenizer)
         found += [np.array(x, dtype=np.uint32) for x in alone]
         sizes.append(np.array([len(x) for x in alone], dtype=np.int64))
         ids, lengths = np.concatenate([*found, np.zeros(0, np.uint32)]), np.concatenate(sizes)
@@ -107,7 +208,7 @@ class PieceEncoder:
         self.length[first : self.n] = lengths
         self.at[first : self.n] = self.used + np.cumsum(lengths) - lengths
         self.used += len(ids)
-        self.index.update(zip([*joined, *hard], range(first, self.n)))
+        return first, [*order, *hard]
 
     def _look_up(self, pieces: list[str]) -> np.ndarray:
         out = np.fromiter(map(self.index.get, pieces, repeat(_MISSING)), np.int64, len(pieces))
@@ -119,10 +220,9 @@ class PieceEncoder:
             out[missing] = np.fromiter(map(self.index.get, [pieces[i] for i in missing]), np.int64, len(missing))
         return out
 
-    def _pieces(self, text: str, safely: bool = False) -> list[str]:
-        pieces = _SAFE_SPLIT.split(text) if safely else text.split(" ")
-        if self.spaced:
-            pieces[0] = " " + pieces[0]
+    def _pieces(self, text: str) -> list[str]:
+        pieces = _SAFE_SPLIT.split(text)
+        pieces[0] = " " + pieces[0]
         return pieces
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -145,15 +245,17 @@ class PieceEncoder:
         return ids, np.add.reduceat(n, firsts)
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > CACHE_PIECES:
+        if len(self.index) > CACHE_PIECES or self.numbers.n > CACHE_UNITS:
             self.clear()
+        if not self.spaced:
+            return self._joined(*self._units(texts))
         index, counts = self._distinct(texts)
         odd = np.unique(np.repeat(np.arange(len(texts)), counts)[index == _UNSAFE])
         if not len(odd):
             return self._joined(index, counts)
         # Texts that can't be cut at each space are cut with care, one by one.
         mine, rest = odd.tolist(), np.setdiff1d(np.arange(len(texts)), odd)
-        lists = [self._pieces(texts[i], safely=True) for i in mine]
+        lists = [self._pieces(texts[i]) for i in mine]
         found = [
             self._joined(self._look_up([p for pieces in lists for p in pieces]), np.array([len(x) for x in lists])),
             self._joined(*self._distinct([texts[i] for i in rest.tolist()])),
@@ -168,9 +270,7 @@ class PieceEncoder:
 
     def _distinct(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The cache's number of each piece between spaces, and each text's number of pieces. Only distinct ones become strings."""
-        raw = [t.encode() for t in texts]
-        joined = b"".join(raw)
-        data, bounds = np.frombuffer(joined, dtype=np.uint8), np.append(0, np.cumsum([len(x) for x in raw])).astype(np.int64)
+        joined, data, bounds = _bytes(texts)
         spaces = np.flatnonzero(data == 0x20)
         counts = 1 + np.searchsorted(spaces, bounds[1:]) - np.searchsorted(spaces, bounds[:-1]) if texts else np.zeros(0, np.int64)
         # A text's first piece begins where it does, each other one behind a space.
@@ -182,13 +282,37 @@ class PieceEncoder:
         ends[last], ends[~last] = bounds[1:], spaces
         part = Texts(data, bounds)
         names = part.hashes(part.prefix_hash(), starts, ends)
-        if self.spaced:
-            names = np.where(first, ~names, names)
+        names = np.where(first, ~names, names)
         _, where, inverse = np.unique(names, return_index=True, return_inverse=True)
-        mark = [" " if f else "" for f in (first[where] & self.spaced).tolist()]
+        mark = [" " if f else "" for f in first[where].tolist()]
         pieces = [m + joined[s:e].decode() for m, s, e in zip(mark, starts[where].tolist(), ends[where].tolist())]
         return self._look_up(pieces)[inverse], counts
 
+    def _units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The cache's number of each unit, and each text's number of units. Only new ones become strings."""
+        _, data, bounds = _bytes(texts)
+        starts, ends, plain, low = units(data, bounds)
+        part = Texts(low, bounds)
+        names = np.maximum(part.hashes(part.prefix_hash(), starts, ends), U64(1))
+        index = self.numbers.get(names)
+        missing = np.flatnonzero(index == _MISSING)
+        if len(missing):
+            new, where = np.unique(names[missing], return_index=True)
+            where = missing[where]
+            for some, tokenizer in ((plain[where], self.words), (~plain[where], None)):
+                chosen, named, raw = where[some], new[some], low.tobytes()
+                for k in range(0, len(chosen), _AT_ONCE):
+                    at = chosen[k : k + _AT_ONCE]
+                    strings = [raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist())]
+                    if tokenizer:
+                        strings, marks = [x.lower() for x in strings], [1] * len(strings)  # letters beyond Latin-1 are as they were
+                    else:
+                        marks = [self._marks_of(x) for x in strings]
+                    first, order = self._store(strings, marks, tokenizer)
+                    self.numbers.put(named[k : k + _AT_ONCE][order], np.arange(first, self.n))
+            index[missing] = self.numbers.get(names[missing])
+        return index, np.searchsorted(starts, bounds[1:]) - np.searchsorted(starts, bounds[:-1])
+
     def _joined(self, index: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts with so many pieces each, and each text's number of ids."""
         lengths = self.length[index]
@@ -203,6 +327,13 @@ def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
 
 
+def _bytes(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The texts' bytes one after another, the same as an array, and each text's bounds there."""
+    raw = [t.encode() for t in texts]
+    joined = b"".join(raw)
+    return joined, np.frombuffer(joined, dtype=np.uint8), np.append(0, np.cumsum([len(x) for x in raw])).astype(np.int64)
+
+
 def _room(array: np.ndarray, n: int) -> np.ndarray:
     if n <= len(array):
         return array
