@@ -99,6 +99,27 @@ def plain(doc, item):
     return len(covered), len(slots)
 
 
+def test_kept_documents_against_all_pairs(spark, words):
+    """Common texts that 10 to 40 items hold, two in each item; documents of one to three of them. Rows and kept ones are those of a plain count."""
+    common = [words(9, 700 + k) for k in range(6)]
+    items = [(k, f"{common[k % 6]} {words(30 + k % 9 * 4, 7000 + k)} {common[(k % 6 + 1 + k // 6 % 5) % 6]}") for k in range(120)]
+    docs = [(k, " ".join([words(20, 8000 + k), *(f"{common[(k * j + j) % 6]} {words(12, 9000 + 9 * k + j)}" for j in range(1, 2 + k % 3))])) for k in range(40)]
+    held = Counter(c for _, t in items for c in common if c in t)
+    assert max(held.values()) > 2 * D.FAMILY
+    enough = lambda n, t: n >= D.RUN or n >= D.SHARE * len(re.findall(r"[^\W_]+", t))
+    split = lambda t: re.findall(r"[^\W_]+", t.lower())
+    at = lambda t: [tuple(split(t)[k : k + D.WINDOW]) for k in range(len(split(t)) - D.WINDOW + 1)]
+    want = set()
+    for d, text in docs:
+        there = set(at(text))
+        want |= {(d, i) for i, t in items if enough(len({k + j for k, w in enumerate(at(t)) if w in there for j in range(D.WINDOW)}), t)}
+    t = tables(spark, docs, items)
+    assert {(r.doc_id, r.item_id) for r in D.leaks(*t, every=True).collect()} == want
+    dirty = {d for d, _ in want}
+    assert 0 < len(dirty) < len(docs)
+    assert {r.doc_id for r in D.keep_clean(*t).collect()} == {d for d, _ in docs} - dirty
+
+
 @pytest.mark.parametrize("change", [
     lambda t: t, lambda t: t.replace("7", "9"), lambda t: t.replace("7", "9", 1), lambda t: t.replace("30", "7").replace("5", "6"),
     lambda t: t[: len(t) // 2] + " zzz " + t[len(t) // 2 :], lambda t: "zzz " + t.replace("12", "13") + " " + t.replace("5", "8"),
