@@ -1,11 +1,11 @@
 """Tokenizing whole texts with a public tokenizer, through a cache of pieces.
 
-Both supported kinds split texts before they merge anything, and never across a space that a non-space follows.
-So a text's ids are its pieces' ids joined, and the same few hundred thousand pieces make up most of a corpus.
-New pieces go to the tokenizer many at a time, as one text whose ids can be told apart again.
+Both supported kinds split texts before they merge anything, so a text's ids are its pieces' ids joined, and the same few
+hundred thousand pieces make up most of a corpus. Pieces are found at bytes and looked up by their hashes; only new ones become
+strings and go to the tokenizer, many at a time, as one text whose ids can be told apart again.
 
-Byte-level vocabularies have the pieces between spaces. Word vocabularies never merge a letter with anything else and ignore
-case, so their pieces are shorter and fewer: lower-cased words, digits, and whatever else stands between them (`units`).
+Byte-level vocabularies have words, numbers and marks, each with the space before it, and white space (`byte_units`). Word vocabularies
+never merge a letter with anything else and ignore case: lower-cased words, digits, and whatever else stands between them (`units`).
 """
 
 from __future__ import annotations
@@ -14,22 +14,21 @@ import json
 import os
 import re
 from functools import lru_cache
-from itertools import repeat
 from unicodedata import normalize
 
 import numpy as np
 
 from .texts import LOWER, U64, Texts, byte_class
 
-#: Pieces kept per worker, by their strings or by their hashes; the cache starts afresh beyond that.
-CACHE_PIECES, CACHE_UNITS = 600_000, 2_000_000
+#: Pieces kept per worker; the cache starts afresh beyond that.
+CACHE_UNITS = 2_000_000
 #: Bytes of text that callers hand over at once, and new pieces that go to the tokenizer at once and in one text.
 TEXT_BYTES = 1 << 20
 _AT_ONCE, _JOINED = 8192, 256
-_SAFE_SPLIT = re.compile(r" (?=\S)")
-_UNSAFE, _MISSING = -2, -1
+_MISSING = -1
 
-#: What `units` relies on: the normalizer and the pre-tokenizer's pattern of word vocabularies.
+#: What `units` relies on: the normalizer and the pre-tokenizer's pattern of word vocabularies. A byte-level pre-tokenizer has its pattern built in:
+#: 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
 _NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Kinds of bytes. Odd ones are those of characters beyond ASCII but the letters of Latin-1 and the two blocks after it.
@@ -44,6 +43,19 @@ for _a, _b in ((_SPACE, _SPACE), (_LETTER, _LETTER), (_SYMBOL, _SYMBOL), (_SYMBO
 #: The multiplication and division signs, and the I with a dot, of which lower-casing makes a letter and a mark.
 _NO_LETTERS = np.array([0xC397, 0xC3B7, 0xC4B0])
 
+#: The same for byte-level vocabularies. The last kind is white space beyond ASCII (and two characters that once were), whose bytes follow.
+_BLANK, _WHITE, _WORD, _NUMBER, _MARK, _TICK, _OTHER, _FAR = range(8)
+_BYTE_KIND = np.select([byte_class((0x20, 0x20)), byte_class((0x09, 0x0D)), byte_class((0x41, 0x5A), (0x61, 0x7A)), byte_class((0x30, 0x39)),
+                        byte_class((0x27, 0x27)), byte_class((0x80, 0xFF))], [_BLANK, _WHITE, _WORD, _NUMBER, _TICK, _OTHER], _MARK).astype(np.uint8)
+_FAR_SPACES = [c.encode() for c in map(chr, [0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
+#: Whether the pattern always ends a match between two kinds. A space belongs to what follows; of white space the last may belong elsewhere.
+_BYTE_CUT = np.ones((8, 8), dtype=bool)
+_BYTE_CUT[_FAR] = _BYTE_CUT[:, _FAR] = _BYTE_CUT[_BLANK] = _BYTE_CUT[_WHITE, : _WHITE + 1] = False
+_BYTE_CUT[_WORD, [_WORD, _OTHER]] = _BYTE_CUT[_NUMBER, [_NUMBER, _OTHER]] = _BYTE_CUT[_MARK, [_MARK, _TICK, _OTHER]] = False
+_BYTE_CUT[_TICK, [_WORD, _MARK, _TICK, _OTHER]] = _BYTE_CUT[_OTHER, _WORD:] = False
+#: Pieces that can stand in a line of their own among others.
+_LINE = re.compile(r" ?\S+")
+
 
 def units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the parts that a word vocabulary's tokenizer never merges, whether they are Latin letters alone, and their bytes.
@@ -74,6 +86,35 @@ def units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, plain, low
 
 
+def byte_units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the parts that a byte-level tokenizer never merges, whether they are one match of its pattern for sure, and the bytes.
+
+    Characters beyond ASCII, but for Latin letters, stay with what stands beside them up to ASCII white space; white space among them also with that.
+    """
+    if not len(data):
+        return bounds[:0], bounds[:0], np.zeros(0, dtype=bool), data
+    kind = _BYTE_KIND[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC8))
+    letter = lead[~np.isin(data[lead].astype(np.int64) << 8 | data[lead + 1], _NO_LETTERS)]
+    kind[letter] = kind[letter + 1] = _WORD
+    for space in _FAR_SPACES if (kind == _OTHER).any() else ():
+        at = np.flatnonzero(data[: len(data) - len(space) + 1] == space[0])
+        for k in range(1, len(space)):
+            at = at[data[at + k] == space[k]]
+        for k in range(len(space)):
+            kind[at + k] = _FAR
+    edge = np.ones(len(data) + 1, dtype=bool)
+    edge[1:-1] = _BYTE_CUT.reshape(-1)[kind[:-1] << 3 | kind[1:]]
+    end = np.zeros(len(data) + 1, dtype=bool)
+    end[bounds] = True
+    # Of a run of white space before something else, all but the last is a match.
+    last = np.flatnonzero((kind[:-2] <= _WHITE) & (kind[1:-1] <= _WHITE) & (kind[2:] > _WHITE) & (kind[2:] < _FAR)) + 1
+    edge[last[~end[last + 1]]] = True
+    at = np.flatnonzero(edge | end)
+    most = np.maximum.reduceat(kind, at[:-1])
+    return at[:-1], at[1:], (most >= _WORD) & (most <= _MARK), data
+
+
 class Numbers:
     """Numbers by 64-bit hashes: a table of twice as many slots at least, searched from each hash's own slot on."""
 
@@ -134,57 +175,52 @@ class PieceEncoder:
         # The library finds them from left to right, the longest first, in the text as it is.
         self.cut = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
         vocab = self.tokenizer.get_vocab()
-        # Byte-level vocabularies write a space as U+0120 and begin a piece with it; word vocabularies end words with a mark.
-        self.spaced = "Ġthe" in vocab
-        mark = (lambda t: t.startswith("Ġ")) if self.spaced else (lambda t: t.endswith("</w>"))
+        # Byte-level vocabularies write a space as U+0120 and a line end, which is put behind each piece, as U+010A; word vocabularies end words with a mark.
+        self.bytes = "Ġthe" in vocab
+        mark = (lambda t: t == "Ċ") if self.bytes else (lambda t: t.endswith("</w>"))
         self.marks = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.marks[[i for t, i in vocab.items() if mark(t)]] = True
-        if not self.spaced:
+        if self.bytes:
+            splitter = json.loads(self.tokenizer.pre_tokenizer.__getstate__())
+            if self.tokenizer.normalizer or (splitter["type"], splitter["add_prefix_space"], splitter["use_regex"]) != ("ByteLevel", False, True):
+                raise ValueError(f"{path}: not the byte-level vocabulary's way to split texts")
+            # Pieces that are one match need no pattern.
+            lines = pre_tokenizers.Split("\n", "isolated")
+        else:
             normalizer, splitter = (json.loads(x.__getstate__()) for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
             if normalizer.get("normalizers") != _NORMALIZERS or splitter["pretokenizers"][0]["pattern"] != {"Regex": _PATTERN}:
                 raise ValueError(f"{path}: not the word vocabulary's way to normalize and to split texts")
             # Lower-cased Latin words are what they are to the normalizer and the pattern, so they go to the same model without these.
-            self.words = Tokenizer(self.tokenizer.model)
-            self.words.pre_tokenizer = pre_tokenizers.Sequence([
-                pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-            ])
+            lines = pre_tokenizers.Split(" ", "removed")
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([lines, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
         self.numbers = Numbers()
-        self.pool = np.zeros(1 << 16, dtype=np.uint32)
+        # Ids of all pieces one after another, in as few bytes as the vocabulary needs, and where each piece's begin; the last entry is the end.
+        self.pool = np.zeros(1 << 16, dtype=np.min_scalar_type(len(self.marks)))
         self.used = self.n = 0
         self.at = np.zeros(1 << 14, dtype=np.int64)
-        self.length = np.zeros(1 << 14, dtype=np.int64)
 
     def _raw(self, texts: list[str], tokenizer=None) -> list[list[int]]:
         return [e.ids for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _marks_of(self, piece: str) -> int:
         """How many marked ids the piece has when it is one of many in a text; 0: it can't be joined."""
-        if self.spaced:
-            return int(piece[0] != " " and " " not in piece)
+        if self.bytes:
+            return int(_LINE.fullmatch(piece) is not None)
         if not piece.isascii():
             piece = normalize("NFC", piece)  # as the tokenizer does; some letters become a letter and a mark
         if piece.isalpha() and piece.lower().isalpha():
             return 1
         return 2 if piece[-1:] in (".", ",", "!") and piece[:-1].isalpha() and piece[:-1].lower().isalpha() else 0
 
-    def _add(self, pieces: list[str]) -> None:
-        """Encode pieces that aren't in the cache. A key that begins with a space stands at the start of its text."""
-        if self.spaced:
-            for p in (p for p in pieces if not p or p != " " and p[0] != " " and p[0].isspace()):
-                self.index[p] = _UNSAFE
-            pieces = [p for p in pieces if p not in self.index]
-        first, order = self._store(pieces, [self._marks_of(p) if p else 0 for p in pieces])
-        self.index.update(zip([pieces[i] for i in order], range(first, self.n)))
-
     def _store(self, pieces: list[str], marks: list[int], tokenizer=None) -> tuple[int, list[int]]:
         """Encode pieces, those with marks many at once; their first number in the cache, and which of them have that and those after it."""
         easy, hard = [i for i, c in enumerate(marks) if c], [i for i, c in enumerate(marks) if not c]
         found, sizes, order = [], [], []
-        glue = (lambda g: "".join([" " + pieces[i] for i in g])) if self.spaced else (lambda g: " ".join([pieces[i] for i in g]))
+        glue = (lambda g: "".join([pieces[i] + "\n" for i in g])) if self.bytes else (lambda g: " ".join([pieces[i] for i in g]))
         groups = [easy[s : s + _JOINED] for s in range(0, len(easy), _JOINED)]
         for group, ids in zip(groups, self._raw([glue(g) for g in groups], tokenizer)):
             ids, ends = np.array(ids, dtype=np.uint32), np.cumsum([marks[i] for i in group])
@@ -193,38 +229,20 @@ class PieceEncoder:
                 hard += group
                 continue
             order += group
-            cuts = np.append(places, len(ids)) if self.spaced else np.append(0, places[ends - 1] + 1)
-            found.append(ids)
-            sizes.append(np.diff(cuts))
-        alone = [pieces[i] for i in hard]
-        alone = self._raw([(p[1:] if p[0] == " " else " " + p) if self.spaced else p for p in alone], tokenizer)
+            found.append(ids[~self.marks[ids]] if self.bytes else ids)
+            sizes.append(np.diff(np.append(0, places[ends - 1] + 1)) - int(self.bytes))
+        alone = self._raw([pieces[i] for i in hard], tokenizer)
         found += [np.array(x, dtype=np.uint32) for x in alone]
         sizes.append(np.array([len(x) for x in alone], dtype=np.int64))
         ids, lengths = np.concatenate([*found, np.zeros(0, np.uint32)]), np.concatenate(sizes)
         first, self.n = self.n, self.n + len(lengths)
         self.pool = _room(self.pool, self.used + len(ids))
-        self.at, self.length = _room(self.at, self.n), _room(self.length, self.n)
+        self.at = _room(self.at, self.n + 1)
         self.pool[self.used : self.used + len(ids)] = ids
-        self.length[first : self.n] = lengths
-        self.at[first : self.n] = self.used + np.cumsum(lengths) - lengths
+        self.at[first + 1 : self.n + 1] = self.used + np.cumsum(lengths)
         self.used += len(ids)
         return first, [*order, *hard]
 
-    def _look_up(self, pieces: list[str]) -> np.ndarray:
-        out = np.fromiter(map(self.index.get, pieces, repeat(_MISSING)), np.int64, len(pieces))
-        missing = np.flatnonzero(out == _MISSING)
-        if len(missing):
-            new = list({pieces[i]: 0 for i in missing})
-            for k in range(0, len(new), _AT_ONCE):
-                self._add(new[k : k + _AT_ONCE])
-            out[missing] = np.fromiter(map(self.index.get, [pieces[i] for i in missing]), np.int64, len(missing))
-        return out
-
-    def _pieces(self, text: str) -> list[str]:
-        pieces = _SAFE_SPLIT.split(text)
-        pieces[0] = " " + pieces[0]
-        return pieces
-
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and each text's number of ids."""
         if not any(content in t for content in self.added for t in texts):
@@ -245,53 +263,14 @@ class PieceEncoder:
         return ids, np.add.reduceat(n, firsts)
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > CACHE_PIECES or self.numbers.n > CACHE_UNITS:
+        if self.numbers.n > CACHE_UNITS:
             self.clear()
-        if not self.spaced:
-            return self._joined(*self._units(texts))
-        index, counts = self._distinct(texts)
-        odd = np.unique(np.repeat(np.arange(len(texts)), counts)[index == _UNSAFE])
-        if not len(odd):
-            return self._joined(index, counts)
-        # Texts that can't be cut at each space are cut with care, one by one.
-        mine, rest = odd.tolist(), np.setdiff1d(np.arange(len(texts)), odd)
-        lists = [self._pieces(texts[i]) for i in mine]
-        found = [
-            self._joined(self._look_up([p for pieces in lists for p in pieces]), np.array([len(x) for x in lists])),
-            self._joined(*self._distinct([texts[i] for i in rest.tolist()])),
-        ]
-        n = np.zeros(len(texts), dtype=np.int64)
-        for places, (_, sizes) in zip((odd, rest), found):
-            n[places] = sizes
-        starts, out = np.cumsum(n) - n, np.zeros(n.sum(), dtype=self.pool.dtype)
-        for places, (ids, sizes) in zip((odd, rest), found):
-            out[_runs(starts[places], sizes)] = ids
-        return out, n
-
-    def _distinct(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The cache's number of each piece between spaces, and each text's number of pieces. Only distinct ones become strings."""
-        joined, data, bounds = _bytes(texts)
-        spaces = np.flatnonzero(data == 0x20)
-        counts = 1 + np.searchsorted(spaces, bounds[1:]) - np.searchsorted(spaces, bounds[:-1]) if texts else np.zeros(0, np.int64)
-        # A text's first piece begins where it does, each other one behind a space.
-        first = np.zeros(counts.sum(), dtype=bool)
-        first[np.cumsum(counts) - counts] = True
-        starts, ends = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
-        starts[first], starts[~first] = bounds[:-1], spaces + 1
-        last = np.append(first[1:], True)[: len(first)]
-        ends[last], ends[~last] = bounds[1:], spaces
-        part = Texts(data, bounds)
-        names = part.hashes(part.prefix_hash(), starts, ends)
-        names = np.where(first, ~names, names)
-        _, where, inverse = np.unique(names, return_index=True, return_inverse=True)
-        mark = [" " if f else "" for f in first[where].tolist()]
-        pieces = [m + joined[s:e].decode() for m, s, e in zip(mark, starts[where].tolist(), ends[where].tolist())]
-        return self._look_up(pieces)[inverse], counts
+        return self._joined(*self._units(texts))
 
     def _units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The cache's number of each unit, and each text's number of units. Only new ones become strings."""
-        _, data, bounds = _bytes(texts)
-        starts, ends, plain, low = units(data, bounds)
+        data, bounds = _bytes(texts)
+        starts, ends, plain, low = (byte_units if self.bytes else units)(data, bounds)
         part = Texts(low, bounds)
         names = np.maximum(part.hashes(part.prefix_hash(), starts, ends), U64(1))
         index = self.numbers.get(names)
@@ -305,7 +284,9 @@ class PieceEncoder:
                     at = chosen[k : k + _AT_ONCE]
                     strings = [raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist())]
                     if tokenizer:
-                        strings, marks = [x.lower() for x in strings], [1] * len(strings)  # letters beyond Latin-1 are as they were
+                        marks = [1] * len(strings)
+                        if not self.bytes:
+                            strings = [x.lower() for x in strings]  # letters beyond Latin-1 are as they were
                     else:
                         marks = [self._marks_of(x) for x in strings]
                     first, order = self._store(strings, marks, tokenizer)
@@ -315,10 +296,11 @@ class PieceEncoder:
 
     def _joined(self, index: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts with so many pieces each, and each text's number of ids."""
-        lengths = self.length[index]
+        starts = self.at[index]
+        lengths = self.at[index + 1] - starts
         total = np.append(0, np.cumsum(lengths))
         ends = np.cumsum(counts, dtype=np.int64)
-        return self.pool[_runs(self.at[index], lengths)], total[ends] - total[ends - counts]
+        return self.pool[_runs(starts, lengths)].astype(np.uint32), total[ends] - total[ends - counts]
 
 
 def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -327,11 +309,10 @@ def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
 
 
-def _bytes(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """The texts' bytes one after another, the same as an array, and each text's bounds there."""
+def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes one after another, and each text's bounds there."""
     raw = [t.encode() for t in texts]
-    joined = b"".join(raw)
-    return joined, np.frombuffer(joined, dtype=np.uint8), np.append(0, np.cumsum([len(x) for x in raw])).astype(np.int64)
+    return np.frombuffer(b"".join(raw), dtype=np.uint8), np.append(0, np.cumsum([len(x) for x in raw])).astype(np.int64)
 
 
 def _room(array: np.ndarray, n: int) -> np.ndarray:
