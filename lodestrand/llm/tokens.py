@@ -20,8 +20,8 @@ import numpy as np
 
 from .texts import LOWER, U64, Texts, byte_class
 
-#: Pieces kept per worker; the cache starts afresh beyond that.
-CACHE_UNITS = 2_000_000
+#: Pieces kept per worker, and their ids, as scripts without spaces have long pieces; the cache starts afresh beyond that.
+CACHE_UNITS, CACHE_IDS = 2_000_000, 1 << 24
 #: Bytes of text that callers hand over at once, and new pieces that go to the tokenizer at once and in one text.
 TEXT_BYTES = 1 << 20
 _AT_ONCE, _JOINED = 8192, 256
@@ -263,7 +263,7 @@ class PieceEncoder:
         return ids, np.add.reduceat(n, firsts)
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self.numbers.n > CACHE_UNITS:
+        if self.numbers.n > CACHE_UNITS or self.used > CACHE_IDS:
             self.clear()
         return self._joined(*self._units(texts))
 

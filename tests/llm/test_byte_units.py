@@ -2,7 +2,8 @@
 
 import random
 
-from test_added_tokens import library_ids
+import pytest
+from test_added_tokens import FILES, library_ids
 from test_word_units import PARTS, ids
 
 from lodestrand.llm import tokens
@@ -40,3 +41,14 @@ def test_words_are_encoded_once_whatever_marks_follow(monkeypatch):
     text = "".join(f' {a}, {b}.\n{c}; 12\n\n' for a, b, c in zip(names, names[1:], names[2:]))
     assert ids(tok, [text]) == library_ids(NAME, [text])
     assert {p for t in sent for p in t.split("\n")} <= {"", ",", ".", ";", " 12"}
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_long_pieces_dont_pile_up(name, monkeypatch):
+    """Texts without spaces are pieces of their own; however many there are, the cache holds no more ids than its limit and a call's."""
+    monkeypatch.setattr(tokens, "CACHE_IDS", 5000, raising=False)
+    tok, rng = PieceEncoder(name, added=True), random.Random(6)
+    for _ in range(30):
+        texts = ["".join(rng.choices("日本語文字列処理。", k=100)) for _ in range(20)]
+        assert ids(tok, texts) == library_ids(name, texts)
+        assert tok.used <= 5000 + 20 * 300
